@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from proseloom.llm import bpe
+from proseloom.llm import bpe, langid, quality, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
 
@@ -20,12 +20,24 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.count_tokens(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER), budget=1024)
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(_table(spark, sf_dir, "documents"))
+
+
 def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op8_bpe_round_trip)}
+    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op4_language_id, op5_quality_rules, op8_bpe_round_trip)}
 
 
 def oracle_sql() -> dict[str, str]:
