@@ -8,9 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseloom.llm import bpe, chat, decontaminate, jaccard, langid, linededup, quality, toxicity
+from proseloom.llm import bpe, chat, decontaminate, jaccard, langid, linededup, pii, quality, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
+#: For the registered query only; a real run takes its key from a secret store.
+PII_KEY = "registered-query"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +52,10 @@ def op8_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(_table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
 
+def op9_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.replace_pii(_table(spark, sf_dir, "documents"), key=PII_KEY)
+
+
 #: Conversation -1 of op10: both turns hold control strings.
 CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 
@@ -90,7 +96,7 @@ FROM made GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_jaccard_join, op4_language_id, op5_quality_rules, op6_decontamination, op7_line_dedup, op8_bpe_round_trip, op10_chat_format)}
+    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_jaccard_join, op4_language_id, op5_quality_rules, op6_decontamination, op7_line_dedup, op8_bpe_round_trip, op9_pii_surrogates, op10_chat_format)}
 
 
 def oracle_sql() -> dict[str, str]:
