@@ -9,39 +9,39 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from proseloom.llm import bpe, decontaminate, jaccard, linededup, quality
-from proseloom.llm.store import settle
+from proseloom.llm.store import settle, small
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Near duplicates: shingles of five words, similarity of 80 % or more.
 SHINGLE, PERCENT = 5, 80
 
 
-def _verdict(docs: DataFrame, verdict: DataFrame, how: str) -> DataFrame:
-    return docs.join(verdict, "doc_id", how).select(*COLUMNS)
+def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Documents other than those with the given ids; up to a million ids are broadcast, more are joined by a shuffle."""
+    return docs.join(small(gone.select("doc_id").distinct()), "doc_id", "left_anti").select(*COLUMNS)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that a rule rejects go."""
-    return _verdict(docs, quality.quality(docs).where("kept").select("doc_id").distinct(), "left_semi")
+    return quality.kept_documents(docs.select(*COLUMNS))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines that came earlier go; documents of which nothing with a word is left go."""
-    kept = linededup.dedup_lines(docs).where(F.col("n_removed") > 0).select("doc_id", F.col("text").alias("kept")).dropDuplicates(["doc_id"])
-    joined = docs.join(kept, "doc_id", "left").withColumn("text", F.coalesce("kept", "text")).withColumn("n_chars", F.length("text").cast("long"))
-    return joined.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*COLUMNS)
+    kept = linededup.dedup_lines(docs, carry=("lang", "source"))
+    return kept.where(F.col("text").rlike(r"[^\x20\x09-\x0D]")).withColumn("n_chars", F.length("text").cast("long")).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest id stays."""
     groups = jaccard.jaccard_components(docs, SHINGLE, PERCENT)
-    return _verdict(docs, groups.where("component_id < doc_id").select("doc_id").distinct(), "left_anti")
+    return _without(docs, settle(groups.where("component_id < doc_id").select("doc_id"), "duplicates"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a passage of the benchmark go."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    return _verdict(docs, decontaminate.contaminated(docs, benchmark).select("doc_id").distinct(), "left_anti")
+    return _without(docs, settle(decontaminate.contaminated(docs, benchmark).select("doc_id"), "contaminated"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

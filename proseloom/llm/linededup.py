@@ -99,10 +99,10 @@ def _without(text: Column, runs: Column) -> Column:
     return F.array_join(F.filter(lines, lambda _, k: ~F.exists(runs, lambda r: (k >= r["first_line"]) & (k <= r["last_line"]))), "\n")
 
 
-def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """Documents without the runs of lines that came earlier.
 
-    Returns id, text, n_lines and n_removed (lines, with blank ones inside deleted runs).  Lines compare without white
+    Returns id, text, n_lines, n_removed (lines, with blank ones inside deleted runs) and the columns in ``carry``.  Lines compare without white
     space at their ends.  Null texts stay null with 0 lines, empty texts have one line; a document whose lines all go has
     an empty text.  Ids are unique; of rows with one id and equal texts neither counts as the later, and a null id takes
     no part.  Runs of up to ``BROADCAST_ROWS`` are broadcast to the texts; more are joined by a shuffle.  Other columns
@@ -111,8 +111,8 @@ def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_
     runs = settle(repeated_runs(docs, min_words, id_col, text_col), "runs")
     few = runs.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
     of_document = runs.groupBy("id").agg(F.collect_list(F.struct("first_line", "last_line")).alias("runs"))
-    joined = docs.select(id_col, text_col).join(F.broadcast(of_document) if few else of_document, F.col(id_col) == F.col("id"), "left")
+    joined = docs.select(id_col, text_col, *carry).join(F.broadcast(of_document) if few else of_document, F.col(id_col) == F.col("id"), "left")
     left = F.when(F.col("runs").isNull(), F.col(text_col)).otherwise(_without(F.col(text_col), F.col("runs")))
     lines = lambda c: F.when(F.col(c).isNull(), 0).otherwise(F.size(F.split(c, "\n", -1)))
     gone = F.when(F.col("runs").isNull(), 0).otherwise(F.size(F.filter(F.sequence(F.lit(0), F.col("n_lines") - 1), lambda k: F.exists("runs", lambda r: (k >= r["first_line"]) & (k <= r["last_line"])))))
-    return joined.withColumn("n_lines", lines(text_col)).select(id_col, left.alias("text"), F.col("n_lines").cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"))
+    return joined.withColumn("n_lines", lines(text_col)).select(id_col, left.alias("text"), F.col("n_lines").cast("long").alias("n_lines"), gone.cast("long").alias("n_removed"), *carry)

@@ -139,6 +139,27 @@ def order_rules(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str =
     return tuple(rule for _, rule in sorted(zip(worth, rules), key=lambda x: -x[0]))
 
 
+def kept_documents(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` that ``quality`` keeps, with all their columns; one map over partitions."""
+    plan, at = order_rules(df, rules, text_col), df.columns.index(text_col)
+
+    def keep(batches):
+        for batch in batches:
+            flags = [_kept(run, counts(run), plan)[1] for run in textops.runs(batch.column(at))]
+            yield batch.filter(pa.array(np.concatenate(flags) if flags else np.zeros(0, bool)))
+
+    return df.mapInArrow(keep, df.schema)
+
+
+def _kept(run: textops.Run, found: dict[str, np.ndarray], plan: tuple[Rule, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Which documents fail the base rule, and which are kept."""
+    failed = base_fails(found["n_words"], found["n_repeat_words"])
+    kept = ~failed
+    for i, page in _pages(run, found, np.flatnonzero(kept)):
+        kept[i] = not any(rule.rejects(page) for rule in plan)
+    return failed, kept
+
+
 def quality(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Counts and verdict of every document.
 
@@ -152,10 +173,7 @@ def quality(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_i
         for batch in batches:
             for run in textops.runs(batch.column(1)):
                 found = counts(run)
-                failed = base_fails(found["n_words"], found["n_repeat_words"])
-                kept = ~failed
-                for i, page in _pages(run, found, np.flatnonzero(kept)):
-                    kept[i] = not any(rule.rejects(page) for rule in plan)
+                failed, kept = _kept(run, found, plan)
                 ids = batch.column(0).slice(run.first, len(run.starts))
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(found[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(kept)], names=[id_col, *COUNTS, "base_failed", "kept"])
 
