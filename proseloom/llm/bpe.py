@@ -25,6 +25,8 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from proseloom.llm.store import narrow
+
 #: White space as in Unicode's White_Space, spelled out because engines differ on \s for U+001C to U+001F.
 _SPACE = r"\t-\r \x85\xa0  -     　"
 #: How byte-level vocabularies of this kind split text.
@@ -34,7 +36,7 @@ _LETTER, _NUMBER, _NARROW_SPACE = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u0
 _NARROW = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]+| ?[^{_NARROW_SPACE}{_LETTER}{_NUMBER}]+|[{_NARROW_SPACE}]+(?![^{_NARROW_SPACE}])|[{_NARROW_SPACE}]+")
 _WIDE = re.compile(r"[^\x00-\u024f]")
 #: Entries of a worker's tables of known words, prefixes and cells; a full table starts anew, results stay the same.
-TABLE = 400_000
+TABLE = 200_000
 #: Words of more bytes than this are not kept in the tables.
 LONG = 64
 
@@ -123,7 +125,7 @@ class MergeAutomaton:
                 before, a = ra, self.right[a]
             else:
                 before, b = rb + 1, self.left[b]
-        if len(self.cell) >= 4 * TABLE:
+        if len(self.cell) >= 2 * TABLE:
             self.cell.clear()
         self.cell[key] = out
         return out
@@ -359,7 +361,7 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
             size, total, fit = (np.array(x, np.int64) for x in zip(*rows)) if rows else (np.zeros(0, np.int64),) * 3
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size), pa.array(total), pa.array(total > budget), pa.array(fit)], names=[id_col, "n_bytes", "n_tokens", "over_limit", "fit_bytes"])
 
-    return df.select(id_col, text_col).mapInArrow(measure, f"{_column(df, id_col)}, n_bytes long, n_tokens long, over_limit boolean, fit_bytes long")
+    return narrow(df).select(id_col, text_col).mapInArrow(measure, f"{_column(df, id_col)}, n_bytes long, n_tokens long, over_limit boolean, fit_bytes long")
 
 
 def prefix_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -372,7 +374,7 @@ def prefix_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", te
             rows = [table.counts(x) for texts in _strings(batch) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=[id_col, "counts"])
 
-    return df.select(id_col, text_col).mapInArrow(table_of, f"{_column(df, id_col)}, counts array<long>")
+    return narrow(df).select(id_col, text_col).mapInArrow(table_of, f"{_column(df, id_col)}, counts array<long>")
 
 
 def bytes_within(counts: Column, budget: Column | int) -> Column:
@@ -391,7 +393,7 @@ def encode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             rows = [np.frombuffer(encoder.encode(x), "<u4").astype(np.int32) for texts in _strings(batch) for x in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
-    return df.select(id_col, text_col).mapInArrow(encode, f"{_column(df, id_col)}, ids array<int>")
+    return narrow(df).select(id_col, text_col).mapInArrow(encode, f"{_column(df, id_col)}, ids array<int>")
 
 
 def decode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -403,7 +405,7 @@ def decode_documents(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([automaton.decode(x or ()) for x in batch.column(1).to_pylist()], pa.string())], names=[id_col, "text"])
 
-    return df.select(id_col, ids_col).mapInArrow(decode, f"{_column(df, id_col)}, text string")
+    return narrow(df).select(id_col, ids_col).mapInArrow(decode, f"{_column(df, id_col)}, text string")
 
 
 def round_trip(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -428,4 +430,4 @@ def round_trip(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
                     text_sha.append(sha(out.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return df.select(id_col, text_col).mapInArrow(both, f"{_column(df, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return narrow(df).select(id_col, text_col).mapInArrow(both, f"{_column(df, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -20,7 +20,8 @@ Work and memory:
   the tasks: a bitmap of the keys that occur twice or more, and the keys above a frequency that at most ``FREQUENT``
   keys can reach.  A shingle that occurs once takes its place in the prefix and is not indexed; a document with more
   than D of them has no partner and ends there.
-* In an index entry every document is compared with the smallest id; after those links are joined to components only
+* In an index entry every document is compared with the one that has the fewest shingles of its own, the nearest to a
+  common source of edited copies; pairs that cannot share enough repeated shingles are left out.  After those links are joined to components only
   documents of different components are compared.  No link between different texts is lost for the components, and a
   group of near copies costs its size, not its square.
 * Candidates are verified on their whole shingle sets.
@@ -32,12 +33,12 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseloom.llm import textops
 from proseloom.llm.components import components
-from proseloom.llm.store import settle, small
+from proseloom.llm.store import narrow, settle, small
 
 #: At most so many shingles can count as frequent: those of at least total / FREQUENT occurrences.
 FREQUENT = 1 << 20
@@ -45,8 +46,10 @@ FREQUENT = 1 << 20
 BITMAP_BITS = 28
 #: A shingle in fewer sets is never frequent.
 LEAST_FREQUENT = 64
+#: Shingles by which a member may differ from the centre of an entry to be compared by its differences.
+DIFFERENCES = 128
 #: Keys that a task gathers before it sends them.
-GATHER = 1 << 22
+GATHER = 1 << 21
 
 
 def _fingerprints(keys: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -111,7 +114,7 @@ def _frequencies(docs: DataFrame, size: int) -> tuple[np.ndarray, int, np.ndarra
             often = counts >= bound
             yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([bound], pa.int64()), pa.array([np.packbits(cells, bitorder="little").tobytes()], pa.binary()), pa.array([keys[often].tobytes()], pa.binary()), pa.array([counts[often].astype(np.int64).tobytes()], pa.binary())], names=["range", "bound", "cells", "keys", "counts"])
 
-    packed = docs.select("text").mapInArrow(pack, "range int, keys binary, many binary, extra binary").repartition("range")
+    packed = narrow(docs).select("text").mapInArrow(pack, "range int, keys binary, many binary, extra binary").repartition("range")
     counted = packed.mapInArrow(count, "range int, bound long, cells binary, keys binary, counts binary")
     bitmap, slice_bytes = np.zeros((1 << bits) // 8, np.uint8), (1 << bits) // 8 // ranges
     keys, counts, bound = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], LEAST_FREQUENT
@@ -174,6 +177,7 @@ def _index(docs: DataFrame, id_col: str, size: int, percent: int, tables) -> Dat
                 one, two = _fingerprints(keys, offsets)
                 unique = np.zeros(len(keys) + 1, np.int64)
                 np.cumsum(frequency < 0, out=unique[1:])
+                repeats = np.diff(offsets) - (unique[offsets[1:]] - unique[offsets[:-1]])
                 entries, sets = [], []
                 for i in range(len(run.starts)):
                     a, b = offsets[i], offsets[i + 1]
@@ -184,26 +188,43 @@ def _index(docs: DataFrame, id_col: str, size: int, percent: int, tables) -> Dat
                     entries.append(found)
                     sets.append(keys[a:b].astype(np.int64) if len(found) else ())
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(run.first, len(entries)), pa.array(np.diff(offsets).astype(np.int64)), pa.array(one), pa.array(two), pa.array(entries, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
-                    names=[id_col, "n_shingles", "one", "two", "entries", "keys"],
+                    [batch.column(0).slice(run.first, len(entries)), pa.array(np.diff(offsets).astype(np.int64)), pa.array(repeats.astype(np.int64)), pa.array(one), pa.array(two), pa.array(entries, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
+                    names=[id_col, "n_shingles", "repeats", "one", "two", "entries", "keys"],
                 )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, "text").mapInArrow(index, f"`{id_col}` {kind}, n_shingles long, one long, two long, entries array<long>, keys array<long>")
+    return narrow(docs).select(id_col, "text").mapInArrow(index, f"`{id_col}` {kind}, n_shingles long, repeats long, one long, two long, entries array<long>, keys array<long>")
+
+
+def _may_link(percent: int) -> Column:
+    """Two sets share no more than the repeated shingles of either: bounds a pair (a, b) before its sets are moved."""
+    most = F.least("a.repeats", "b.repeats")
+    return (100 + percent) * most >= percent * (F.col("a.n") + F.col("b.n"))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) whose whole sets are similar; lengths are compared before sets are moved."""
-    sizes = sets.select("id", "n")
-    near = pairs.join(sizes.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    near = settle(near.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b").distinct(), "pairs")
-    wanted = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
+    """Pairs (a, b) whose whole sets are similar."""
+    pairs = settle(pairs.distinct(), "pairs")
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     sets = sets.join(small(wanted), "id", "left_semi")
-    met = near.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb")), "b").join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka")), "a")
+    met = pairs.join(sets.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("keys").alias("kb")), "b").join(sets.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("keys").alias("ka")), "a")
     common = F.size(F.array_intersect("ka", "kb"))
     return settle(met.where(100 * common >= percent * (F.col("na") + F.col("nb") - common)).select("a", "b").distinct(), "links")
 
 
+def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For pairs (a, b): the shingles of a that b lacks and those it adds, null where they are more than ``DIFFERENCES``.
+
+    Members of one entry with few differences from its centre are compared by these alone, without their sets.
+    """
+    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    sets = sets.join(small(wanted), "id", "left_semi")
+    met = pairs.join(sets.select(F.col("id").alias("b"), F.col("keys").alias("kb")), "b").join(sets.select(F.col("id").alias("a"), F.col("keys").alias("ka")), "a")
+    met = met.select("a", "b", F.array_except("ka", "kb").alias("lacks"), F.array_except("kb", "ka").alias("adds")).dropDuplicates(["a", "b"])
+    few = F.size("lacks") + F.size("adds") <= DIFFERENCES
+    return met.select("a", "b", F.when(few, F.col("lacks")).alias("lacks"), F.when(few, F.col("adds")).alias("adds"))
+
+
 def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Groups of documents that links of similarity percent / 100 or more connect.
 
@@ -221,20 +242,30 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
     heads = live.groupBy(*same).agg(F.min("id").alias("head"))
     copies = settle(live.select("id", *same).join(heads, same).select("id", "head").distinct(), "copies")
     # One document of each group of equal sets carries its entries on.
-    entries = live.select("id", "entries").join(copies.where("id = head").select("id"), "id", "left_semi").select("id", F.explode("entries").alias("entry"))
-    shared = entries.groupBy("entry").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("entry", "low")
+    sized = live.select(F.struct((F.col("n") - F.col("repeats")).alias("own"), "id", "n", "repeats").alias("doc"), "id", "entries").join(copies.where("id = head").select("id"), "id", "left_semi")
+    entries = sized.select("doc", F.explode("entries").alias("entry"))
+    shared = entries.groupBy("entry").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).where("a.id <> last.id").select("entry", "a")
     entries = settle(entries.join(shared, "entry"), "entries")
     sets = live.select("id", "n", "keys")
-    links = _verified(entries.where("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct(), sets, percent)
+    b_of = entries.select("a", F.col("doc").alias("b"))
+    links = _verified(b_of.where((F.col("a.id") != F.col("b.id")) & _may_link(percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")), sets, percent)
     links = links.unionByName(copies.where("id <> head").select(F.col("head").alias("a"), F.col("id").alias("b")))
     roots = components(links)
 
     # Entries that hold more than one component: pairs across components only.
-    placed = entries.join(roots, "id", "left").select("entry", "id", F.coalesce("root", "id").alias("root"))
+    placed = entries.join(roots, F.col("doc.id") == F.col("id"), "left").select("entry", "doc", "a", F.coalesce("root", "doc.id").alias("root"))
     mixed = placed.groupBy("entry").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("entry")
     placed = settle(placed.join(mixed, "entry"), "mixed")
-    left, right = placed.select("entry", F.col("id").alias("a"), F.col("root").alias("ra")), placed.select("entry", F.col("id").alias("b"), F.col("root").alias("rb"))
-    more = _verified(left.join(right, "entry").where("a < b and ra <> rb").select("a", "b").distinct(), sets, percent)
+    near = _differences(placed.select(F.col("a.id").alias("a"), F.col("doc.id").alias("b")).distinct(), sets)
+    placed = placed.join(near.withColumnRenamed("a", "centre").withColumnRenamed("b", "member"), (F.col("a.id") == F.col("centre")) & (F.col("doc.id") == F.col("member")))
+    placed = settle(placed.select("entry", "doc", "root", F.col("a.n").alias("whole"), "lacks", "adds"), "placed")
+    left = placed.select("entry", F.col("doc").alias("a"), F.col("root").alias("ra"), "whole", F.col("lacks").alias("la"), F.col("adds").alias("aa"))
+    right = placed.select(F.col("entry").alias("same"), F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("lacks").alias("lb"), F.col("adds").alias("ab"))
+    common = F.col("whole") - F.size(F.array_union("la", "lb")) + F.size(F.array_intersect("aa", "ab"))
+    similar = F.col("la").isNull() | F.col("lb").isNull() | ((100 + percent) * common >= percent * (F.col("a.n") + F.col("b.n")))
+    across = left.join(right, (F.col("entry") == F.col("same")) & (F.col("a.id") < F.col("b.id")) & (F.col("ra") != F.col("rb")) & _may_link(percent) & similar)
+    across = across.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    more = _verified(across, sets, percent)
     if more.limit(1).count():
         roots = components(roots.select(F.col("id").alias("a"), F.col("root").alias("b")).unionByName(more))
     return indexed.select(id_col, "n_shingles").join(roots, F.col(id_col) == F.col("id"), "left").select(id_col, "n_shingles", F.coalesce("root", id_col).alias("component_id"))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from proseloom.llm.store import held_out
+from proseloom.llm.store import held_out, narrow
 
 #: N-grams are held in so many cells.
 CELLS = 1 << 16
@@ -131,4 +131,4 @@ def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=[id_col, "held_out", "lang_pred", "score"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col, held_out(id_col).alias("held_out")).mapInArrow(score, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")
+    return narrow(df).select(id_col, text_col, held_out(id_col).alias("held_out")).mapInArrow(score, f"`{id_col}` {kind}, held_out boolean, lang_pred string, score double")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseloom.llm import textops
-from proseloom.llm.store import BROADCAST_ROWS, settle
+from proseloom.llm.store import BROADCAST_ROWS, narrow, settle
 
 #: Words from which on a repeated run is deleted.
 MIN_WORDS = 8
@@ -78,7 +78,7 @@ def _windows(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> Dat
                     yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + run.first)), *(pa.array(c.astype(np.int64)) for c in columns)], names=["id", *names])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).mapInArrow(cut, f"id {kind}, {', '.join(f'{c} long' for c in names)}")
+    return narrow(docs).where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).mapInArrow(cut, f"id {kind}, {', '.join(f'{c} long' for c in names)}")
 
 
 def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,6 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from proseloom.llm import textops
+from proseloom.llm.store import narrow
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 #: Rows of the sample from which costs and selectivities are estimated.
@@ -148,7 +149,7 @@ def kept_documents(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str
             flags = [_kept(run, counts(run), plan)[1] for run in textops.runs(batch.column(at))]
             yield batch.filter(pa.array(np.concatenate(flags) if flags else np.zeros(0, bool)))
 
-    return df.mapInArrow(keep, df.schema)
+    return narrow(df).mapInArrow(keep, df.schema)
 
 
 def _kept(run: textops.Run, found: dict[str, np.ndarray], plan: tuple[Rule, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -178,4 +179,4 @@ def quality(df: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "doc_i
                 yield pa.RecordBatch.from_arrays([ids, *(pa.array(found[c].astype(np.int64)) for c in COUNTS), pa.array(failed), pa.array(kept)], names=[id_col, *COUNTS, "base_failed", "kept"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    return df.select(id_col, text_col).mapInArrow(judge, f"`{id_col}` {kind}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean")
+    return narrow(df).select(id_col, text_col).mapInArrow(judge, f"`{id_col}` {kind}, {', '.join(f'{c} long' for c in COUNTS)}, base_failed boolean, kept boolean")

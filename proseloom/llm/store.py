@@ -12,6 +12,19 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 1_000_000
 
 
+#: Bytes of one Arrow batch on its way to a Python worker, where the session leaves the limit at its default.
+BATCH_BYTES = 8 << 20
+_BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def narrow(df: DataFrame) -> DataFrame:
+    """The same rows, with batches to Python workers bounded by bytes: a worker's memory does not follow text lengths."""
+    conf = df.sparkSession.conf
+    if int(conf.get(_BATCH_LIMIT, "268435456").rstrip("b")) > BATCH_BYTES:
+        conf.set(_BATCH_LIMIT, str(BATCH_BYTES))
+    return df
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir of the session; where it is unset (tests on one machine), a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that one numpy pass holds at a time (one longer document makes a longer run).
-RUN_BYTES = 2 << 20
+RUN_BYTES = 1 << 20
 
 _RANDOM = np.random.default_rng(20240229)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
