@@ -24,7 +24,8 @@ Work and memory:
   common source of edited copies; pairs that cannot share enough repeated shingles are left out.  After those links are joined to components only
   documents of different components are compared.  No link between different texts is lost for the components, and a
   group of near copies costs its size, not its square.
-* Candidates are verified on their whole shingle sets.
+* In those entries only documents with one of another component and of like size are placed.
+* Candidates are verified on their whole sets; shingles that occur once count in their sizes and are not carried.
 """
 
 from __future__ import annotations
@@ -158,7 +159,7 @@ def prefix_entries(keys: np.ndarray, frequency: np.ndarray, percent: int) -> np.
 
 
 def _index(docs: DataFrame, id_col: str, size: int, percent: int, tables) -> DataFrame:
-    """id, n_shingles, two fingerprints, index entries, and the set where there are entries."""
+    """id, n_shingles, two fingerprints, index entries, and the repeated shingles where there are entries."""
     shared = docs.sparkSession.sparkContext.broadcast(tables)
 
     def index(batches):
@@ -186,7 +187,8 @@ def _index(docs: DataFrame, id_col: str, size: int, percent: int, tables) -> Dat
                     if n and unique[b] - unique[a] <= n - needed(n, percent):
                         found = prefix_entries(keys[a:b], frequency[a:b], percent).astype(np.int64)
                     entries.append(found)
-                    sets.append(keys[a:b].astype(np.int64) if len(found) else ())
+                    # A shingle that occurs once is in no common part.
+                    sets.append(keys[a:b][frequency[a:b] >= 0].astype(np.int64) if len(found) else ())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(run.first, len(entries)), pa.array(np.diff(offsets).astype(np.int64)), pa.array(repeats.astype(np.int64)), pa.array(one), pa.array(two), pa.array(entries, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int64()))],
                     names=[id_col, "n_shingles", "repeats", "one", "two", "entries", "keys"],
@@ -197,9 +199,24 @@ def _index(docs: DataFrame, id_col: str, size: int, percent: int, tables) -> Dat
 
 
 def _may_link(percent: int) -> Column:
-    """Two sets share no more than the repeated shingles of either: bounds a pair (a, b) before its sets are moved."""
+    """Two sets share no more than the smaller, nor the repeated shingles of either: bounds a pair (a, b) before its sets are moved."""
     most = F.least("a.repeats", "b.repeats")
-    return (100 + percent) * most >= percent * (F.col("a.n") + F.col("b.n"))
+    return (100 * F.least("a.n", "b.n") >= percent * F.greatest("a.n", "b.n")) & ((100 + percent) * most >= percent * (F.col("a.n") + F.col("b.n")))
+
+
+def _size_class(percent: int) -> Column:
+    """Similar sets are in the same or in neighbouring classes; the hundredth more is for rounding."""
+    return F.floor(F.log(F.col("doc.n").cast("double")) / math.log(101 / percent))
+
+
+def _across_components(placed: DataFrame, percent: int) -> DataFrame:
+    """Rows (entry, doc, a, root) with a document of another component and of like size in the same entry."""
+    sized = placed.withColumn("class", _size_class(percent))
+    # Cell c of an entry holds the classes c and c + 1.
+    cells = sized.select("entry", "root", F.explode(F.array(F.col("class") - 1, "class")).alias("cell"))
+    mixed = cells.groupBy("entry", "cell").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s")
+    classes = mixed.select("entry", F.explode(F.array("cell", F.col("cell") + 1)).alias("class")).distinct()
+    return sized.join(classes, ["entry", "class"]).drop("class")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -254,11 +271,10 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
     # Entries that hold more than one component: pairs across components only.
     placed = entries.join(roots, F.col("doc.id") == F.col("id"), "left").select("entry", "doc", "a", F.coalesce("root", "doc.id").alias("root"))
-    mixed = placed.groupBy("entry").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r < s").select("entry")
-    placed = settle(placed.join(mixed, "entry"), "mixed")
+    placed = settle(_across_components(placed, percent), "mixed")
     near = _differences(placed.select(F.col("a.id").alias("a"), F.col("doc.id").alias("b")).distinct(), sets)
     placed = placed.join(near.withColumnRenamed("a", "centre").withColumnRenamed("b", "member"), (F.col("a.id") == F.col("centre")) & (F.col("doc.id") == F.col("member")))
-    placed = settle(placed.select("entry", "doc", "root", F.col("a.n").alias("whole"), "lacks", "adds"), "placed")
+    placed = settle(placed.select("entry", "doc", "root", F.col("a.repeats").alias("whole"), "lacks", "adds"), "placed")
     left = placed.select("entry", F.col("doc").alias("a"), F.col("root").alias("ra"), "whole", F.col("lacks").alias("la"), F.col("adds").alias("aa"))
     right = placed.select(F.col("entry").alias("same"), F.col("doc").alias("b"), F.col("root").alias("rb"), F.col("lacks").alias("lb"), F.col("adds").alias("ab"))
     common = F.col("whole") - F.size(F.array_union("la", "lb")) + F.size(F.array_intersect("aa", "ab"))
