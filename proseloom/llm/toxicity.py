@@ -13,27 +13,32 @@ word that is rare in both classes is worth nothing.
 
 Logistic weights turn those into a score between 0 and 1.
 
-Counting covers every labelled training row and runs as Spark aggregations.  What scoring needs of it is bounded by
-proportion: an n-gram enters the scored model if it holds at least 1 / ``SHARE`` of the n-grams of a class, so at most
-``SHARE`` of each class can; the mass of the others goes to the back-off of their context.  The weights are fitted on a bounded sample of labelled rows that were not counted.
+Counting covers every labelled training row and runs as Spark aggregations.  All n-grams, contexts and words that were
+counted enter the scored model, which grows with the input: it lies in the folder that the cluster shares, in the order
+of its keys.  A task sorts the keys of a run of texts and reads the model past them, a piece at a time; only a model of
+at most ``HELD`` rows is held in memory.  The weights are fitted on a bounded sample of labelled rows that were not counted.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
+import pyarrow.parquet
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseloom.llm import textops
-from proseloom.llm.store import BROADCAST_ROWS, held_out, narrow, settle
+from proseloom.llm.store import BROADCAST_ROWS, drop_settled, held_out, narrow, settle
 
 #: Bytes of an n-gram: the class models' highest order.
 ORDER = 6
 #: Kneser-Ney discount.
 DISCOUNT = 0.75
-#: At most so many n-grams and contexts of a class enter the scored model.
-SHARE = 1 << 21
+#: A model of at most so many rows is held by each process; a larger one is read past every run of ``RUN_BYTES`` of text.
+HELD, RUN_BYTES = 1 << 21, 4 << 20
+#: Rows of a larger model that a task holds at a time.
+PIECE = 1 << 20
 #: Lengths of the stretches whose best log-likelihood ratio counts, in bytes.
 STRETCHES = (24, 48, 96, 384)
 #: The same in words; a word that occurs less often than ``RARE`` in the counted rows only backs off.
@@ -148,15 +153,12 @@ def shared_lower(counts: DataFrame, order: int = ORDER) -> DataFrame:
 
 
 def ratios(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]:
-    """(gram, ratio) of what was seen and (context, ratio) for what was not seen after a context, bounded by SHARE."""
-    whole = counts.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.coalesce(F.sum("ordinary"), F.lit(0))).first()
-    weighs = lambda toxic, ordinary: (F.col(toxic) >= max(1.0, whole[0] / SHARE)) | (F.col(ordinary) >= max(1.0, whole[1] / SHARE))
-    # The mass that backs off: the discount of each n-gram that is kept, and all of those that are not.
-    rest = lambda c: F.sum(F.when(weighs("toxic", "ordinary"), F.least(F.col(c), F.lit(DISCOUNT))).otherwise(F.col(c)))
+    """(gram, ratio) of what was seen and (context, ratio) for what was not seen after a context; all that were counted."""
+    # The mass that backs off: the discount of each n-gram.
+    rest = lambda c: F.sum(F.least(F.col(c), F.lit(DISCOUNT)))
     contexts = counts.groupBy(F.shiftrightunsigned("gram", 8).alias("context")).agg(F.sum("toxic").alias("tt"), rest("toxic").alias("tr"), F.sum("ordinary").alias("ot"), rest("ordinary").alias("or"))
     joined = (
-        counts.where(weighs("toxic", "ordinary"))
-        .withColumn("context", F.shiftrightunsigned("gram", 8))
+        counts.withColumn("context", F.shiftrightunsigned("gram", 8))
         .withColumn("suffix", F.col("gram").bitwiseAND(F.lit((1 << (8 * (order - 1))) - 1)))
         .join(contexts, "context")
         .join(shared_lower(counts, order), "suffix")
@@ -164,18 +166,18 @@ def ratios(counts: DataFrame, order: int = ORDER) -> tuple[DataFrame, DataFrame]
     in_class = lambda c, t, r: F.log(F.when(F.col(t) > 0, (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + F.col(r) * F.col("p")) / F.col(t)).otherwise(F.col("p")))
     back = lambda t, r: F.log(F.when(F.col(t) > 0, F.col(r) / F.col(t)).otherwise(F.lit(1.0)))
     seen = joined.select("gram", (in_class("toxic", "tt", "tr") - in_class("ordinary", "ot", "or")).alias("ratio"))
-    unseen = contexts.where(weighs("tt", "ot")).select(F.col("context").alias("gram"), (back("tt", "tr") - back("ot", "or")).alias("ratio"))
+    unseen = contexts.select(F.col("context").alias("gram"), (back("tt", "tr") - back("ot", "or")).alias("ratio"))
     return seen, unseen
 
 
 def word_ratios(pairs: DataFrame) -> DataFrame:
-    """(word, ratio) of the words that are not rare, against that of a word never seen; bounded by SHARE like n-grams.
+    """(word, ratio) of the words that are not rare, against that of a word never seen.
 
     Kneser-Ney with a uniform lowest order makes the shared probability of a word its share of the different pairs.
     """
     words = settle(pairs.groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFFFFFF)).alias("word")).agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"), F.count("*").alias("kinds")), "words")
     whole = words.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("toxic", "ordinary", "kinds"))).first()
-    kept = (F.col("toxic") + F.col("ordinary") >= RARE) & ((F.col("toxic") >= whole["toxic"] / SHARE) | (F.col("ordinary") >= whole["ordinary"] / SHARE))
+    kept = F.col("toxic") + F.col("ordinary") >= RARE
     classes = [c for c in ("toxic", "ordinary") if whole[c]]
     if len(classes) < 2:
         return words.where("false").select("word", F.lit(0.0).alias("ratio"))
@@ -220,6 +222,38 @@ class Lookup:
         return out, hit
 
 
+def _pieces(files: list[str]):
+    """Keys and ratios of a stored table, up to ``PIECE`` rows at a time."""
+    for file in files:
+        system, path = pyarrow.fs.FileSystem.from_uri(file)
+        with system.open_input_file(path) as opened:
+            for batch in pyarrow.parquet.ParquetFile(opened).iter_batches(PIECE):
+                if batch.num_rows:
+                    yield batch.column(0).to_numpy().astype(np.uint64), batch.column(1).to_numpy()
+
+
+class Filed:
+    """A table of ratios that stays in files, each in the order of its keys; ``Lookup`` for tables of any size."""
+
+    def __init__(self, files: list[str]):
+        self.files = files
+
+    def __call__(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Values (0 where absent), and which keys are there."""
+        out, hit = np.zeros(len(keys), np.float32), np.zeros(len(keys), bool)
+        if not len(keys):
+            return out, hit
+        order = np.argsort(keys)
+        ordered = keys[order]
+        for there, values in _pieces(self.files):
+            a, b = np.searchsorted(ordered, there[0]), np.searchsorted(ordered, there[-1], "right")
+            at = np.searchsorted(there, ordered[a:b])
+            found = there[at] == ordered[a:b]
+            places = order[a:b][found]
+            out[places], hit[places] = values[at[found]], True
+        return out, hit
+
+
 def _stretches(ratio: np.ndarray, offsets: np.ndarray, widths: tuple[int, ...]) -> np.ndarray:
     """A row for each document: ratio a place, and the best stretch of each width."""
     out = np.zeros((len(offsets) - 1, len(widths) + 1))
@@ -235,7 +269,7 @@ def _stretches(ratio: np.ndarray, offsets: np.ndarray, widths: tuple[int, ...])
     return out
 
 
-def evidence(run: textops.Run, seen: Lookup, unseen: Lookup, words: Lookup) -> np.ndarray:
+def evidence(run: textops.Run, seen: Lookup | Filed, unseen: Lookup | Filed, words: Lookup | Filed) -> np.ndarray:
     """A row for each document: ratios and best stretches of its bytes and of its words, log of the length."""
     keys, offsets = grams(run)
     ratio, known = seen(keys)
@@ -258,19 +292,24 @@ def fit_weights(rows: np.ndarray, labels: np.ndarray, penalty: float = 3.0) -> t
 
 
 class Model:
-    """What scoring reads; the lookup tables are built once per process."""
+    """What scoring reads; small tables are built once per process, others stay in their files."""
 
     _built: dict[str, tuple[Lookup, ...]] = {}
 
-    def __init__(self, name: str, *arrays: tuple[np.ndarray, np.ndarray]):
-        """``arrays``: keys and ratios of n-grams seen, of contexts, and of words."""
-        self.name, self.arrays = name, arrays
+    def __init__(self, name: str, *tables: tuple[list[str], int]):
+        """``tables``: files and rows of n-grams seen, of contexts, and of words."""
+        self.name, self.files = name, [files for files, _ in tables]
+        self.held = sum(rows for _, rows in tables) <= HELD
+        self.run_bytes = textops.RUN_BYTES if self.held else RUN_BYTES
         self.weights: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None
 
-    def tables(self) -> tuple[Lookup, ...]:
+    def tables(self) -> tuple[Lookup | Filed, ...]:
+        if not self.held:
+            return tuple(map(Filed, self.files))
         if self.name not in self._built:
             self._built.clear()
-            self._built[self.name] = tuple(Lookup(*x) for x in self.arrays)
+            empty = (np.zeros(0, np.uint64), np.zeros(0, np.float32))
+            self._built[self.name] = tuple(Lookup(*map(np.concatenate, zip(empty, *_pieces(files)))) for files in self.files)
         return self._built[self.name]
 
     def score(self, rows: np.ndarray) -> np.ndarray:
@@ -278,9 +317,14 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(np.hstack([(rows - mean) / spread, np.ones((len(rows), 1))]) @ w, -30, 30)))
 
 
-def _arrays(df: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    table = df.toArrow()
-    return table.column(0).to_numpy().astype(np.uint64), table.column(1).to_numpy().astype(np.float32)
+def _stored(df: DataFrame, what: str) -> tuple[list[str], int]:
+    """Files and rows of a table (key, ratio), written in ranges of keys and in their order."""
+    key, ratio = df.columns
+    whole = settle(df.select(F.col(key).alias("key"), F.col(ratio).cast("float").alias("ratio")), what)
+    rows = whole.count()
+    ordered = settle(whole.repartitionByRange(max(1, -(-rows // PIECE)), "key").sortWithinPartitions("key"), what)
+    drop_settled(whole)
+    return sorted(ordered.inputFiles()), rows
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model | None:
@@ -300,7 +344,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).join(marks, id_col)
     counts = settle(count_grams(known.where(~fold)), "grams")
     pairs = settle(count_grams(known.where(~fold), word_pairs), "pairs")
-    model = Model(counts.inputFiles()[0] if counts.inputFiles() else "", *map(_arrays, (*ratios(counts), word_ratios(pairs))))
+    tables = [_stored(t, what) for t, what in zip((*ratios(counts), word_ratios(pairs)), ("seen", "unseen", "words"))]
+    model = Model(str(tables[0][0][:1]), *tables)
 
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("toxic") == 1, min(1.0, FOLDS * WEIGHT_ROWS / sizes[1])).otherwise(min(1.0, FOLDS * WEIGHT_ROWS / sizes[0]))
@@ -322,7 +367,7 @@ def _evidence(df: DataFrame, model: Model, *keep: str) -> DataFrame:
     def measure(batches):
         tables = shared.value.tables()
         for batch in batches:
-            for run in textops.runs(batch.column(0)):
+            for run in textops.runs(batch.column(0), shared.value.run_bytes):
                 rows = evidence(run, *tables)
                 yield pa.RecordBatch.from_arrays([*(batch.column(i + 1).slice(run.first, len(rows)) for i in range(len(keep))), pa.array(list(rows), pa.list_(pa.float64()))], names=[*keep, "evidence"])
 
@@ -342,7 +387,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def judge(batches):
         found = shared.value
         for batch in batches:
-            for run in textops.runs(batch.column(1)):
+            for run in textops.runs(batch.column(1), found.run_bytes if found else textops.RUN_BYTES):
                 n = len(run.starts)
                 scores = found.score(evidence(run, *found.tables())) if found else np.zeros(n)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(run.first, n), batch.column(2).slice(run.first, n), pa.array(scores), pa.array((scores >= THRESHOLD).astype(np.int32))], names=[id_col, "held_out", "score", "predicted"])

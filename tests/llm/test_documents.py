@@ -94,6 +94,30 @@ def test_toxicity_without_a_class(spark):
     assert {r.score for r in toxicity.score(documents(spark), labels).collect()} == {0.0}
 
 
+def test_toxicity_model_holds_all_that_was_counted(spark):
+    """However much else was counted, what is rare keeps its own ratio."""
+    rows = [(0x616161616161, 0, 1 << 40), (0x626262626262, 1, 0), (0x626262626263, 0, 1), (0x646464646464, 5, 0), (0x656565656565, 1 << 40, 0)]
+    counts = spark.createDataFrame(rows, "gram long, toxic long, ordinary long")
+    seen, unseen = ({r[0]: r[1] for r in t.collect()} for t in toxicity.ratios(counts))
+    assert set(seen) == {r[0] for r in rows} and set(unseen) == {r[0] >> 8 for r in rows}
+    assert seen[0x626262626262] > 0 > seen[0x626262626263]
+    assert {r[0] for r in toxicity.word_ratios(counts).collect()} == {0x61616161, 0x64646464, 0x65656565}
+
+
+def test_toxicity_tables_in_files_score_alike(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "PIECE", 5000)
+    docs, labels = (spark.read.parquet(f"{DATA}/{x}.parquet") for x in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    assert model.held and len(model.files[0]) > 1
+    keys = np.random.default_rng(0).permutation(np.concatenate([next(toxicity._pieces(model.files[0]))[0], np.arange(1000, dtype=np.uint64)]))
+    for held, files in zip(model.tables(), model.files):
+        (a, b), (c, d) = held(keys), toxicity.Filed(files)(keys)
+        assert (a == c).all() and (b == d).all()
+    held = {r.doc_id: r.score for r in toxicity.score(docs, labels, model=model).collect()}
+    model.held = False
+    assert held == pytest.approx({r.doc_id: r.score for r in toxicity.score(docs, labels, model=model).collect()})
+
+
 def plain_groups(rows, size, percent):
     sets, parent, holders = {}, {}, {}
     for i, t in rows:
