@@ -13,10 +13,11 @@ word that is rare in both classes is worth nothing.
 
 Logistic weights turn those into a score between 0 and 1.
 
-Counting covers every labelled training row and runs as Spark aggregations.  All n-grams, contexts and words that were
+Counting covers every labelled training row but those that fit the weights, at most about ``WEIGHT_ROWS`` of a class
+however many there are, and runs as Spark aggregations.  All n-grams, contexts and words that were
 counted enter the scored model, which grows with the input: it lies in the folder that the cluster shares, in the order
 of its keys.  A task sorts the keys of a run of texts and reads the model past them, a piece at a time; only a model of
-at most ``HELD`` rows is held in memory.  The weights are fitted on a bounded sample of labelled rows that were not counted.
+at most ``HELD`` rows is held in memory.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ PIECE = 1 << 20
 STRETCHES = (24, 48, 96, 384)
 #: The same in words; a word that occurs less often than ``RARE`` in the counted rows only backs off.
 WORD_STRETCHES, RARE = (1, 2, 4, 16), 5
-#: One in so many training rows fits the weights instead of the counts, of those at most ``WEIGHT_ROWS`` of a class.
+#: One in so many training rows fits the weights instead of the counts, but at most about ``WEIGHT_ROWS`` of a class.
 FOLDS, WEIGHT_ROWS = 5, 2000
 THRESHOLD = 0.3
 #: N-grams that a task gathers before it adds them up.
@@ -340,21 +341,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         return None
     if sum(sizes.values()) <= BROADCAST_ROWS:
         marks = F.broadcast(marks)
+    kept = {c: min(1.0, FOLDS * WEIGHT_ROWS / sizes[c]) for c in (0, 1)}
     fold = F.crc32(F.concat(F.lit("weights"), F.col(id_col).cast("string")).cast("binary")) % FOLDS == 0
+    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)
+    drawn = fold & (draw < F.when(F.col("toxic") == 1, kept[1]).otherwise(kept[0]))
     known = docs.select(id_col, F.coalesce(text_col, F.lit("")).alias("text")).join(marks, id_col)
-    counts = settle(count_grams(known.where(~fold)), "grams")
-    pairs = settle(count_grams(known.where(~fold), word_pairs), "pairs")
+    counts = settle(count_grams(known.where(~drawn)), "grams")
+    pairs = settle(count_grams(known.where(~drawn), word_pairs), "pairs")
     tables = [_stored(t, what) for t, what in zip((*ratios(counts), word_ratios(pairs)), ("seen", "unseen", "words"))]
     model = Model(str(tables[0][0][:1]), *tables)
 
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    share = F.when(F.col("toxic") == 1, min(1.0, FOLDS * WEIGHT_ROWS / sizes[1])).otherwise(min(1.0, FOLDS * WEIGHT_ROWS / sizes[0]))
-    rows = _evidence(known.where(fold & (draw < share)), model, "toxic").toArrow()
+    rows = _evidence(known.where(drawn), model, "toxic").toArrow()
     x, y = np.array(rows.column("evidence").to_pylist(), float).reshape(rows.num_rows, -1), rows.column("toxic").to_numpy()
     if len(set(y.tolist())) < 2:
         return None
     # Rows of the larger class stand for all that were not drawn.
-    kept = {1: min(1.0, FOLDS * WEIGHT_ROWS / sizes[1]), 0: min(1.0, FOLDS * WEIGHT_ROWS / sizes[0])}
     w, mean, spread = fit_weights(x, y)
     w[-1] += np.log(kept[0] / kept[1])
     model.weights = w, mean, spread

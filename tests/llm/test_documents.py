@@ -118,6 +118,16 @@ def test_toxicity_tables_in_files_score_alike(spark, monkeypatch):
     assert held == pytest.approx({r.doc_id: r.score for r in toxicity.score(docs, labels, model=model).collect()})
 
 
+def test_toxicity_counts_all_rows_that_fit_no_weights(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "WEIGHT_ROWS", 10)
+    counted, count = {}, toxicity.count_grams
+    monkeypatch.setattr(toxicity, "count_grams", lambda rows, *keys: counted.update({r.doc_id: r.toxic for r in rows.collect()}) or count(rows, *keys))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(2000)], "doc_id long, toxic int")
+    model = toxicity.train(documents(spark, [(i, f"some words of row {i} {'bad' * (i % 2)}") for i in range(2000)]), labels)
+    training = labels.where(~toxicity.held_out("doc_id")).count()
+    assert model.weights is not None and 0 < training - len(counted) < 60
+
+
 def plain_groups(rows, size, percent):
     sets, parent, holders = {}, {}, {}
     for i, t in rows:
