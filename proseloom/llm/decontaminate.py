@@ -7,7 +7,8 @@ items are filed under every block value within that many bits, windows look thei
 the radius meet.  Those pairs are verified by the exact weighted Jaccard similarity of their shingles.
 
 Windows are placed where they can matter: a window as similar as asked shares all but D of the item's shingles, so one of
-any D + 1 of them is in it, and gives the place.  Texts without such a shingle need no fingerprint.
+any D + 1 of them is in it, and gives the place, up to D words away where words were inserted or left out before it.
+Texts without such a shingle need no fingerprint.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from proseloom.llm.store import settle, small
 
 SHINGLE = 5
-RADIUS = 15
+#: Bits; of 80,000 random pairs at similarity 0.82 none differed in more than 21, and 0.8 to 1.5 % in more than 15.
+RADIUS = 23
 PERCENT = 80
 BLOCKS, BLOCK_BITS = 4, 16
 
@@ -99,14 +101,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     items = settle(_items(benchmark, item_col, item_text_col, percent), "items")
     spare = F.size("shingles") - F.ceil(F.size("shingles") * F.lit(percent) / 100).cast("int")
     placed = F.transform("shingles", lambda h, i: F.struct(h.alias("shingle"), i.alias("at")))
-    anchors = items.select("size", F.explode(F.slice(F.array_sort(placed), F.lit(1), spare + 1)).alias("a")).select("size", "a.shingle", "a.at").distinct()
+    anchors = items.select("size", spare.alias("spare"), F.explode(F.slice(F.array_sort(placed), F.lit(1), spare + 1)).alias("a")).select("size", "spare", "a.shingle", "a.at").distinct()
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
     read = texts.select("id", F.posexplode(shingle_list(word_list(F.col("text")))).alias("at_doc", "shingle"))
-    found = read.join(small(anchors), "shingle").select("id", "size", (F.col("at_doc") - F.col("at")).alias("start"))
-    places = settle(found.groupBy("id").agg(F.collect_set(F.struct("size", "start")).alias("places")), "places")
+    found = read.join(small(anchors), "shingle").select("id", "size", "spare", (F.col("at_doc") - F.col("at")).alias("start"))
+    places = settle(found.groupBy("id").agg(F.collect_set(F.struct("size", "spare", "start")).alias("places")), "places")
 
     again = texts.join(small(places), "id").select("id", "places", shingle_list(word_list(F.col("text"))).alias("shingles"))
-    windows = again.select("id", "shingles", F.explode("places").alias("p"))
+    around = F.array_distinct(F.flatten(F.transform("places", lambda p: F.transform(F.sequence(-p["spare"], p["spare"]), lambda k: F.struct(p["size"].alias("size"), (p["start"] + k).alias("start"))))))
+    windows = again.select("id", "shingles", F.explode(around).alias("p"))
     width = F.greatest(F.lit(1), F.col("p.size") - (SHINGLE - 1))
     inside = F.greatest(F.lit(0), F.least(F.col("p.start"), F.size("shingles") - width))
     windows = windows.select("id", inside.alias("start"), F.slice("shingles", inside + 1, width).alias("shingles"))

@@ -231,6 +231,32 @@ def test_decontamination(spark):
     assert got == {(1, 10): (1.0, 0, 2), (5, 10): (1.0, 0, 0), (8, 11): (1.0, 0, 0), (9, 10): (1.0, 0, 2)}
 
 
+def test_decontamination_finds_edited_items(spark):
+    """Every document that holds an item with edits down to a similarity of 0.8, against all windows by brute force."""
+    rng = random.Random(5)
+    items = [[f"i{k}w{rng.randrange(10**6)}" for _ in range(rng.randint(24, 70))] for k in range(30)]
+    rows, want = [], {}
+    shingles = lambda w: Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
+    for i in range(900):
+        k = i % len(items)
+        words = list(items[k])
+        for _ in range(rng.randint(1, 2)):
+            at, kind = rng.choice((rng.randrange(len(words)), rng.randrange(3))), rng.random()
+            words[at : at + (kind < 0.7)] = [] if kind < 0.3 else [f"x{i}"]
+        text = [f"b{i}x{j}" for j in range(9)] + words + [f"a{i}x{j}" for j in range(9)]
+        n, whole, best = len(items[k]), shingles(items[k]), 0
+        for j in range(len(text) - n + 1):
+            part = shingles(text[j : j + n])
+            common = sum((part & whole).values())
+            best = max(best, common / (2 * (n - 4) - common))
+        rows.append((i, " ".join(text)))
+        if best >= 0.8:
+            want[i, k] = best
+    benchmark = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(items)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(documents(spark, rows), benchmark).collect()}
+    assert sum(x <= 0.85 for x in want.values()) > 100 and got == pytest.approx(want)
+
+
 def test_decontamination_is_similarity_of_shingles(spark):
     words = [f"t{i}" for i in range(60)]
     edited = words[:3] + ["x"] + words[4:]
