@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseloom.functions import text
+from proseloom.llm.store import settle
 
 #: Tokens of a state and of one request, dollars for a million input tokens.
 STATE_TOKENS, REQUEST_TOKENS, PRICE = 1500, 60_000, 0.042
@@ -53,6 +56,73 @@ def chunk_numbers(tokens: Column, limit: int = REQUEST_TOKENS) -> Column:
     return F.aggregate(tokens, state, step)["out"]
 
 
+def chunk_rows(questions: DataFrame, group: str, order: str, tokens: str, limit: int = REQUEST_TOKENS) -> DataFrame:
+    """group, order, chunk: ``chunk_numbers`` of each group's questions, one row each, for groups of any size.
+
+    Rows are cut into blocks by ranges of group and order.  A block's summary says for every sum it may begin with what
+    sum and how many chunks it ends with; from the summaries, one a block, follows where each block begins.
+    """
+    spark = questions.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = questions.select(F.col(group).alias("g"), F.col(order).alias("o"), F.coalesce(F.col(tokens), F.lit(0)).cast("long").alias("t"))
+    blocks = settle(rows.repartitionByRange(n, "g", "o", "t").withColumn("block", F.spark_partition_id()), "blocks")
+    ordered = blocks.repartition(n, "block").sortWithinPartitions("block", "g", "o", "t")
+
+    def summarise(batches):
+        block = first = last = single = sums = added = total = chunk = None
+
+        def row():
+            ends = (sums if isinstance(sums, np.ndarray) else np.full(limit + 2, sums), added)
+            return pa.RecordBatch.from_pylist([{"block": block, "first": first, "last": last, "single": single, "sums": ends[0].astype("<i8").tobytes(), "added": ends[1].astype("<i8").tobytes(), "sum": total, "chunk": chunk}], schema=pa.schema([("block", pa.int32()), ("first", kind), ("last", kind), ("single", pa.bool_()), ("sums", pa.binary()), ("added", pa.binary()), ("sum", pa.int64()), ("chunk", pa.int64())]))
+
+        for batch in batches:
+            kind = batch.schema.field(1).type
+            for at, (b, g, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist())):
+                if b != block:
+                    if block is not None:
+                        yield row()
+                    block, first, last, single, total, chunk = b, g, g, True, 0, 0
+                    sums, added = np.arange(limit + 2), np.zeros(limit + 2, np.int64)
+                if g != last:
+                    last, single, total, chunk = g, False, 0, 0
+                if single:
+                    over = (sums > 0) & (sums + t > limit)
+                    sums, added = (np.where(over, t, sums + t), added + over) if isinstance(sums, np.ndarray) else (t if over else sums + t, added + over)
+                    if isinstance(sums, np.ndarray) and at % 16 == 0 and sums.min() == sums.max():
+                        sums = int(sums[0])
+                else:
+                    over = total > 0 and total + t > limit
+                    total, chunk = (t, chunk + 1) if over else (total + t, chunk)
+        if block is not None:
+            yield row()
+
+    name = questions.schema[group].dataType.simpleString()
+    found = ordered.select("block", "g", "o", "t").mapInArrow(summarise, f"block int, first {name}, last {name}, single boolean, sums binary, added binary, sum long, chunk long")
+    begins, state = {}, (None, 0, 0)
+    for r in sorted(found.toLocalIterator(), key=lambda r: r.block):
+        begins[r.block] = total, chunk = state[1:] if state[0] == r.first else (0, 0)
+        at = min(total, limit + 1)
+        ends = (int(np.frombuffer(r.sums, "<i8")[at]), chunk + int(np.frombuffer(r.added, "<i8")[at])) if r.single else (r.sum, r.chunk)
+        state = r.last, *ends
+
+    def number(batches):
+        block = last = None
+        total = chunk = 0
+        for batch in batches:
+            out = []
+            for b, g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
+                if b != block:
+                    block, last, (total, chunk) = b, g, begins[b]
+                elif g != last:
+                    last, total, chunk = g, 0, 0
+                over = total > 0 and total + t > limit
+                total, chunk = (t, chunk + 1) if over else (total + t, chunk)
+                out.append(chunk)
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(out, pa.int32())], names=[group, order, "chunk"])
+
+    return ordered.select("block", "g", "o", "t").mapInArrow(number, f"`{group}` {name}, `{order}` {questions.schema[order].dataType.simpleString()}, chunk int")
+
+
 def steady_judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """The default judge: a probability from the key alone, so that runs without a service repeat."""
     for frame in frames:

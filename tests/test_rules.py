@@ -98,6 +98,23 @@ def test_first_of_equals_wins(spark):
     assert (merged.rule_id, merged.also) == ("r", ["s"])
 
 
+def test_chunks_of_large_groups_cross_blocks(spark):
+    from proseloom import queries
+
+    sizes = [(None if i % 11 == 0 else "large" if i % 5 else f"s{i % 3}", i, i * i * 7919 % 60 if i % 97 else 300) for i in range(6000)]
+    want, state = {}, {}
+    for g, i, t in sizes:
+        total, chunk = state.get(g, (0, 0))
+        over = total > 0 and total + t > 100
+        state[g] = (t, chunk + 1) if over else (total + t, chunk)
+        want[i] = (g, state[g][1])
+    df = spark.createDataFrame(sizes, "source string, doc_id long, tokens long").repartition(7)
+    got = judge.chunk_rows(df, "source", "doc_id", "tokens", 100).collect()
+    assert len(got) == len(want) and {r.doc_id: (r.source, r.chunk) for r in got} == want
+    made = queries.queries()["question_chunks"](spark, "/root/testdata/sf0.001")
+    assert made.columns == ["source", "doc_id", "chunk"] and made.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
+
+
 def test_chunks_start_anew_above_the_limit(spark):
     assert one(spark, judge.chunk_numbers(F.col("t"), 10), t=[4, 5, 3, 12, 1, 9]) == [0, 0, 1, 2, 3, 3]
 
