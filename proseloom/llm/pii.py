@@ -5,7 +5,9 @@ entity.  Each canonical form gets a surrogate from a keyed SHA-256: digits becom
 case (hexadecimal ones stay hexadecimal), separators, prefixes and country codes stay, card numbers keep whether their
 check digit is right, addresses in a shared domain stay in a shared domain, and names keep their title, with a surrogate
 of the same gender and script.  Collisions are checked over the whole table: no two entities share a surrogate and no
-surrogate is a real entity; what collides is drawn again.  The same entity has the same surrogate in every document.
+surrogate is a real entity; what collides is drawn again.  From the third draw on forms grow with each draw, so that none
+runs out: names by a syllable, mailboxes by two characters, numbers by a digit and secrets by a letter at their end.
+Cards (10^15 forms), addresses and access keys keep their length.  The same entity has the same surrogate in every document.
 """
 
 from __future__ import annotations
@@ -77,8 +79,8 @@ def _gender(title: Column) -> Column:
     return F.when(title.rlike(r"^(?:Mrs|Ms|Miss|Frau|Madame|Mme|Señora|Sra|Г-жа|г-жа)"), "female").when(title.rlike(r"^(?:Mr|Herr|Monsieur|Señor|Sr|Г-н|г-н)"), "male").otherwise("any")
 
 
-def _pick(values: list[str], seed: Column, salt: int) -> Column:
-    return F.get(F.array(*map(F.lit, values)), F.pmod(F.xxhash64(seed, F.lit(salt)), F.lit(len(values))).cast("int"))
+def _pick(values: list[str], seed: Column, salt: int | Column) -> Column:
+    return F.get(F.array(*map(F.lit, values)), F.pmod(F.xxhash64(seed, salt if isinstance(salt, Column) else F.lit(salt)), F.lit(len(values))).cast("int"))
 
 
 def _digest(key: str, kind: Column, canonical: Column, draw: Column) -> Column:
@@ -109,6 +111,9 @@ def _surrogate(key: str, kind: Column, canonical: Column, style: Column, draw: C
     """The surrogate of a canonical form."""
     seed = _digest(key, kind, canonical, draw)
     like = _like(canonical, seed)
+    more = lambda pick: F.when(draw > 1, F.array_join(F.transform(F.sequence(F.lit(2), F.greatest(draw, F.lit(2))), pick), "")).otherwise(F.lit(""))
+    longer = lambda letters: more(lambda i: F.substring(F.lit(letters), F.pmod(F.xxhash64(seed, F.lit("more"), i), F.lit(len(letters))).cast("int") + 1, F.lit(1)))
+    wider = F.when(kind.isin("phone", "social", "account"), F.concat(like, longer("0123456789"))).when(kind == "secret", F.concat(like, longer("abcdef"))).otherwise(like)
     # The check digit keeps its distance from the right one.
     stem = F.substring(like, 1, 15)
     check = F.pmod(F.lit(20) - _luhn(F.concat(stem, F.lit("0"))) + _luhn(canonical), F.lit(10)).cast("string")
@@ -119,9 +124,9 @@ def _surrogate(key: str, kind: Column, canonical: Column, style: Column, draw: C
     mailbox = F.concat(_like(F.substring_index(canonical, "@", 1), seed), extra, F.lit("@"), _like(host, _digest(key, F.lit("domain"), domain, F.lit(0))), top)
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (F.pmod(F.xxhash64(seed, i), F.lit(254)) + 1).cast("string")), ".")
     given = reduce(lambda out, x: F.when(style == x[0], _pick(x[1].split(), seed, 1)).otherwise(out), NAMES.items(), F.lit(""))
-    family = reduce(lambda out, s: F.when(style.endswith(s), F.concat(_pick(_STARTS[s], seed, 2), _pick(_ENDS[s], seed, 3), F.when(draw > 0, _pick(_ENDS[s], seed, 4)).otherwise(F.lit("")), F.when(draw > 1, F.lower(_pick(_STARTS[s], seed, 5))).otherwise(F.lit("")))).otherwise(out), _ENDS, F.lit(""))
+    family = reduce(lambda out, s: F.when(style.endswith(s), F.concat(_pick(_STARTS[s], seed, 2), _pick(_ENDS[s], seed, 3), F.when(draw > 0, _pick(_ENDS[s], seed, 4)).otherwise(F.lit("")), more(lambda i: F.lower(_pick(_STARTS[s], seed, i + 3))))).otherwise(out), _ENDS, F.lit(""))
     name = F.when(canonical.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family)
-    return F.when(kind == "card", F.concat(stem, check)).when(kind == "email", mailbox).when(kind == "address", octets).when(kind == "name", name).otherwise(like)
+    return F.when(kind == "card", F.concat(stem, check)).when(kind == "email", mailbox).when(kind == "address", octets).when(kind == "name", name).otherwise(wider)
 
 
 def surrogates(found: DataFrame, key: str) -> DataFrame:
@@ -145,6 +150,8 @@ def _refill(surface: Column, head: Column, kind: Column, surrogate: Column) -> C
     body = F.substring(surface, F.length(head) + 1, F.length(surface))
     place = lambda i: F.length(F.regexp_replace(F.substring(body, F.lit(1), i + 1), "[^0-9A-Za-z]", ""))
     spelled = F.array_join(F.transform(F.split(body, ""), lambda c, i: F.when(c.rlike("[0-9A-Za-z]"), F.substring(surrogate, place(i), F.lit(1))).otherwise(c)), "")
+    # A surrogate that had to grow ends in more characters.
+    spelled = F.concat(spelled, F.substring(surrogate, F.length(F.regexp_replace(body, "[^0-9A-Za-z]", "")) + 1, F.length(surrogate)))
     quote = F.regexp_extract(body, r"[\"']$", 0)
     cased = F.when(body == F.upper(body), F.upper(surrogate)).otherwise(surrogate)
     return F.concat(head, F.when(kind.isin("card", "social", "phone", "account"), spelled).when(kind == "secret", F.concat(surrogate, quote)).when(kind == "email", cased).otherwise(surrogate))

@@ -48,6 +48,20 @@ def test_crowded_forms_stay_distinct(spark):
     assert len(set(out)) == len(names) and not set(out) & set(names)
 
 
+def test_forms_that_run_out_grow(spark):
+    """More distinct names and short numbers than the short forms can tell apart, and secrets without letters or digits."""
+    letters = "абвгдежзиклмнопрстуф"
+    names = [f"г-н {a.upper()}{b}{c}{d}" for a in letters for b in letters for c in letters for d in letters[:2]][:11_000]
+    phones = [f"+49 {i // 100:02} {i % 100:02}" for i in range(6000)]
+    secrets = ["password=--------", "password=........"]
+    texts = names + phones + secrets
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "doc_id long, text string")
+    rows = pii.replace_pii(df, "k").collect()
+    out = {r.text for r in rows}
+    assert all(r.n_entities == 1 for r in rows) and len(out) == len(texts) and not out & set(texts)
+    assert all(x.startswith(("г-н ", "+49 ", "password=")) for x in out)
+
+
 def test_no_rows(spark):
     assert pii.replace_pii(spark.createDataFrame([], "doc_id long, text string"), "k").count() == 0
 
