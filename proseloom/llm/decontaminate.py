@@ -2,7 +2,7 @@
 
 Texts are lower-cased sequences of letters and digits; shingles are ``SHINGLE`` words in a row.  A window has as many
 words as a benchmark item.  Its 64-bit SimHash weighs each shingle by how often it occurs.  Fingerprints are cut into
-four blocks of 16 bits; of two fingerprints within ``RADIUS`` bits one block differs in ``RADIUS // 4`` bits at most, so
+eight blocks of 8 bits; of two fingerprints within ``RADIUS`` bits one block differs in ``RADIUS // 8`` bits at most, so
 items are filed under every block value within that many bits, windows look their blocks up, and all fingerprints within
 the radius meet.  Those pairs are verified by the exact weighted Jaccard similarity of their shingles.
 
@@ -25,9 +25,9 @@ SHINGLE = 5
 #: Bits; of 80,000 random pairs at similarity 0.82 none differed in more than 21, and 0.8 to 1.5 % in more than 15.
 RADIUS = 23
 PERCENT = 80
-BLOCKS, BLOCK_BITS = 4, 16
+BLOCKS, BLOCK_BITS = 8, 8
 
-#: Every 16-bit value with at most RADIUS // BLOCKS bits set, by rule.
+#: Every 8-bit value with at most RADIUS // BLOCKS bits set, by rule.
 _MASKS = [sum(1 << b for b in bits) for k in range(RADIUS // BLOCKS + 1) for bits in itertools.combinations(range(BLOCK_BITS), k)]
 
 
