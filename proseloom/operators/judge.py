@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from proseloom.functions import text
-from proseloom.llm.store import settle
+from proseloom.sources.shared import settle
 
 #: Tokens of a state and of one request, dollars for a million input tokens.
 STATE_TOKENS, REQUEST_TOKENS, PRICE = 1500, 60_000, 0.042
