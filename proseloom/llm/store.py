@@ -1,16 +1,16 @@
-"""Intermediate tables in the folder that the whole cluster shares."""
+"""What the operators of this subpackage share: batches to Python workers, held-out rows, and intermediate tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: A side of a join is broadcast up to this many rows of small fixed width; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+from proseloom.sources.shared import drop_settled, settle, shared_folder, small
+
+__all__ = ["BATCH_BYTES", "BROADCAST_ROWS", "drop_settled", "held_out", "narrow", "settle", "shared_folder", "small"]
 
+#: A side of a join with rows of small fixed width is broadcast up to so many rows; beyond it the join shuffles.
+BROADCAST_ROWS = 1_000_000
 
 #: Bytes of one Arrow batch on its way to a Python worker, where the session leaves the limit at its default.
 BATCH_BYTES = 8 << 20
@@ -25,36 +25,6 @@ def narrow(df: DataFrame) -> DataFrame:
     return df
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir of the session; where it is unset (tests on one machine), a temporary folder."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='proseloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def settle(df: DataFrame, what: str) -> DataFrame:
-    """Writes a table once and reads it back, so that later steps neither repeat its work nor depend on executors."""
-    path = f"{shared_folder(df.sparkSession)}/proseloom/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def drop_settled(df: DataFrame) -> None:
-    """Deletes the files of a settled table that nothing will read again."""
-    spark = df.sparkSession
-    files = df.inputFiles()
-    if files:
-        path = spark._jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def small(df: DataFrame) -> DataFrame:
-    """A broadcast hint behind a count; a larger table is left to a shuffle join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def held_out(id_col: str):
     """Rows kept from learning: crc32 of the id as text leaves 2 modulo 4."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
