@@ -153,8 +153,9 @@ def plain_groups(rows, size, percent):
 
 @pytest.mark.parametrize("seed,size,percent", [(0, 4, 85), (1, 5, 80)])
 def test_jaccard_components_are_exact(spark, monkeypatch, seed, size, percent):
-    monkeypatch.setattr(jaccard, "LEAST_FREQUENT", 4)
-    monkeypatch.setattr(jaccard, "DIFFERENCES", 20)
+    monkeypatch.setattr(jaccard, "FREQUENT", 4)
+    monkeypatch.setattr(jaccard, "PART", 8)
+    monkeypatch.setattr(jaccard, "BLOCK_DOCS", 50)
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(400)]
     base = [[rng.choice(vocabulary) for _ in range(rng.randint(4, 60))] for _ in range(40)]
