@@ -28,7 +28,7 @@ Work and memory:
   the number of differences and a 256-bit map of them.
 * Documents of one centre that those links leave in different components are compared if sizes, the triangle inequality
   and the maps allow a link: |x ^ y| is at least the difference of their distances from the centre, and each bit that one
-  map has alone is a difference of its own.  No link between different texts is lost for the components.
+  map has alone, like each shingle that no other document has, is a difference of its own.  No link between different texts is lost for the components.
 * Large groups of one centre are cut into parts, so no task holds more than ``PART`` rows of one side of a group.
 """
 
@@ -328,7 +328,8 @@ def _across(stars: DataFrame, roots: DataFrame, percent: int) -> DataFrame:
     delta = F.floor((100 - percent) * (F.col("x.n") + F.col("y.n")) / (100 + percent))
     alone = lambda p, q: sum((F.bit_count(F.col(f"{p}.{m}").bitwiseAND(F.bitwise_not(F.col(f"{q}.{m}")))) for m in _MAPS), F.lit(0))
     once = ~F.col("y.apart") | (F.col("x.b") < F.col("y.b"))
-    near = (F.abs(F.col("x.distance") - F.col("y.distance")) <= delta) & (alone("x", "y") + alone("y", "x") <= delta)
+    own = F.col("x.n") - F.col("x.repeats") + F.col("y.n") - F.col("y.repeats")
+    near = (F.abs(F.col("x.distance") - F.col("y.distance")) <= delta) & (alone("x", "y") + alone("y", "x") + own <= delta)
     met = (F.col("x.a") == F.col("y.a")) & (F.col("x.part") == F.col("y.part")) & (F.col("x.root") != F.col("y.root")) & once & _may_link(percent) & near
     return x.join(y, met).select(F.least("x.b", "y.b").alias("a"), F.greatest("x.b", "y.b").alias("b")).distinct()
 
