@@ -9,17 +9,103 @@ from pyspark.sql import functions as F
 BORDER = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 
 
+#: Fixed value: the characters of the Unicode property Extended_Pictographic, which Java 17 does not name.
+PICTOGRAPHIC = (
+    r"\u00a9\u00ae\u203c\u2049\u2122\u2139\u2194-\u2199\u21a9\u21aa\u231a\u231b\u2328\u2388\u23cf\u23e9-\u23f3\u23f8-\u23fa\u24c2\u25aa\u25ab\u25b6\u25c0\u25fb-\u25fe"
+    r"\u2600-\u2605\u2607-\u2612\u2614-\u2685\u2690-\u2705\u2708-\u2712\u2714\u2716\u271d\u2721\u2728\u2733\u2734\u2744\u2747\u274c\u274e\u2753-\u2755\u2757\u2763-\u2767\u2795-\u2797\u27a1\u27b0\u27bf"
+    r"\u2934\u2935\u2b05-\u2b07\u2b1b\u2b1c\u2b50\u2b55\u3030\u303d\u3297\u3299\x{1f000}-\x{1f0ff}\x{1f10d}-\x{1f10f}\x{1f12f}\x{1f16c}-\x{1f171}\x{1f17e}\x{1f17f}\x{1f18e}\x{1f191}-\x{1f19a}"
+    r"\x{1f1ad}-\x{1f1e5}\x{1f201}-\x{1f20f}\x{1f21a}\x{1f22f}\x{1f232}-\x{1f23a}\x{1f23c}-\x{1f23f}\x{1f249}-\x{1f3fa}\x{1f400}-\x{1f53d}\x{1f546}-\x{1f64f}\x{1f680}-\x{1f6ff}\x{1f774}-\x{1f77f}"
+    r"\x{1f7d5}-\x{1f7ff}\x{1f80c}-\x{1f80f}\x{1f848}-\x{1f84f}\x{1f85a}-\x{1f85f}\x{1f888}-\x{1f88f}\x{1f8ae}-\x{1f8ff}\x{1f90c}-\x{1f93a}\x{1f93c}-\x{1f945}\x{1f947}-\x{1faff}\x{1fc00}-\x{1fffd}"
+)
+
+
+def _alternatives(body: str) -> list[str]:
+    """A pattern cut at its outermost bars."""
+    out, depth, at, i = [], 0, 0, 0
+    while i < len(body):
+        c = body[i]
+        if c == "\\":
+            i += 1
+        elif c == "[":
+            i = body.index("]", i + 2)
+        elif c == "|" and not depth:
+            out.append(body[at:i])
+            at = i + 1
+        else:
+            depth += (c == "(") - (c == ")")
+        i += 1
+    return [*out, body[at:]]
+
+
+def _close(body: str) -> int:
+    """Where the group that opens a pattern closes."""
+    depth, i = 0, 0
+    while True:
+        if body[i] == "\\":
+            i += 1
+        elif body[i] == "[":
+            i = body.index("]", i + 2)
+        else:
+            depth += (body[i] == "(") - (body[i] == ")")
+            if not depth:
+                return i
+        i += 1
+
+
+def _first_letters(pattern: str) -> set[str] | None:
+    """The letters a match can begin with, or None where it may begin with something else."""
+    if pattern.startswith("(?:"):
+        end = _close(pattern)
+        found = [_first_letters(x) for x in _alternatives(pattern[3:end])]
+        if pattern[end + 1 : end + 2] in ("?", "*"):
+            found.append(_first_letters(pattern[end + 2 :]))
+        return None if None in found else set().union(*found)
+    if pattern[:1].isascii() and pattern[:1].isalpha():
+        rest = _first_letters(pattern[2:]) if pattern[1:2] in ("?", "*") else set()
+        return None if rest is None else {pattern[0].lower(), *rest}
+    return None
+
+
 def portable(pattern: str, flags: str = "u") -> str:
-    """A rule pattern as a Java pattern: ASCII borders, and inline flags."""
-    java = pattern.replace(r"\b", BORDER)
+    """A rule pattern as a Java pattern: ASCII borders, named sets written out, and inline flags.
+
+    A border before letters looks at the next and the last character only, which passes most places at once.
+    """
+    parts = pattern.split(r"\b")
+    java = parts[0]
+    for i, part in enumerate(parts[1:], 1):
+        letters = _first_letters(_alternatives(r"\b".join(parts[i:]))[0].split(r"\b")[0]) if part and _balanced(part) else None
+        if letters:
+            both = "".join(sorted(letters | {c.upper() for c in letters}))
+            java += rf"(?=[{both}])(?<!\w){part}"
+        else:
+            java += BORDER + part
+    java = java.replace(r"\p{Extended_Pictographic}", f"[{PICTOGRAPHIC}]")
     inline = "".join(f for f in "ims" if f in flags)
     return f"(?{inline}u){java}" if "i" in flags else f"(?{inline}){java}" if inline else java
 
 
+def _balanced(part: str) -> bool:
+    """Whether a piece of a pattern closes no group but its own."""
+    depth, i = 0, 0
+    while i < len(part) and depth >= 0:
+        if part[i] == "\\":
+            i += 1
+        elif part[i] == "[":
+            i = part.index("]", i + 2)
+        else:
+            depth += (part[i] == "(") - (part[i] == ")")
+        i += 1
+    return not depth
+
+
 def phrase_pattern(phrases: list[str]) -> str:
     """Any of the phrases, whatever their case, not inside longer words."""
     quoted = "|".join(r"\Q" + p + r"\E" for p in phrases)
-    return rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{quoted})(?![\p{{L}}\p{{N}}])"
+    # Places where no phrase begins are passed by a look at one character.
+    begins = "".join(sorted({p[0].lower() for p in phrases}))
+    ahead = f"(?=[{begins}])" if begins.isalnum() else ""
+    return rf"(?iu){ahead}(?<![\p{{L}}\p{{N}}])(?:{quoted})(?![\p{{L}}\p{{N}}])"
 
 
 def normalise(text: Column) -> Column:
@@ -63,7 +149,7 @@ def line_of(text: Column, offset: Column) -> Column:
     return F.size(F.split(F.substring(text, F.lit(1), offset), "\n", -1))
 
 
-# Fixes: each rewrites exactly what its rule flags.
+# Fixes: each rewrites exactly what its rule flags; their patterns are fixed values.
 def fix_ellipsis(text: Column) -> Column:
     return F.replace(text, F.lit("..."), F.lit("…"))
 
@@ -78,12 +164,12 @@ def fix_multiplication(text: Column) -> Column:
     return F.regexp_replace(text, r"(?<![\w.])([1-9]\d*)\s?x\s?(\d+)(?![\w.%])", "$1×$2")
 
 
-#: Units that a no-break space ties to their number.
-UNITS = "px pt em rem ms min KB MB GB TB kg km cm mm fps %"
+#: Fixed value: units that a no-break space ties to their number.
+UNITS = "px|pt|em|rem|ms|min|KB|MB|GB|TB|kg|km|cm|mm|fps|%"
 
 
 def fix_unit_space(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(\d) (?=(?:{'|'.join(UNITS.split())})(?![\p{{L}}\d]))", "$1 ")
+    return F.regexp_replace(text, rf"(\d) (?=(?:{UNITS})(?![\p{{L}}\d]))", "$1 ")
 
 
 def fix_referral(text: Column) -> Column:

@@ -52,11 +52,16 @@ def dedupe_exact(found: DataFrame) -> DataFrame:
 
 
 def merge_categories(found: DataFrame) -> DataFrame:
-    """One finding for each unit and category: best band, then probability; the other rules' ids in ``also``."""
-    order = [F.col("_rank"), F.desc("probability"), F.col("seq")]
-    ranked = found.withColumn("_rank", _rank("band", BAND_RANK)).withColumn("_n", F.row_number().over(Window.partitionBy("unit_id", "category").orderBy(*order)))
-    others = F.collect_list(F.when(F.col("_n") > 1, F.struct("_n", "rule_id"))).over(Window.partitionBy("unit_id", "category"))
-    return ranked.withColumn("also", F.transform(F.array_sort(others), lambda x: x["rule_id"])).where("_n = 1").drop("_n", "_rank")
+    """One live finding for each unit and category: best band, then probability; the other rules' ids in ``also``.
+
+    Suppressed findings stay as they are, so that one on a rule never hides a live finding of another.
+    """
+    held = F.col("suppressed") if "suppressed" in found.columns else F.lit(False)
+    group = Window.partitionBy("unit_id", "category", "_held")
+    order = group.orderBy("_rank", F.desc("probability"), "seq")
+    ranked = found.withColumn("_held", held).withColumn("_rank", _rank("band", BAND_RANK)).withColumn("_n", F.row_number().over(order))
+    others = F.collect_list(F.when((F.col("_n") > 1) & ~F.col("_held"), F.struct("_n", "rule_id"))).over(group)
+    return ranked.withColumn("also", F.transform(F.array_sort(others), lambda x: x["rule_id"])).where("_n = 1 or _held").drop("_n", "_rank", "_held")
 
 
 def scorecard(found: DataFrame, rules: DataFrame, by: str) -> DataFrame:
@@ -65,17 +70,31 @@ def scorecard(found: DataFrame, rules: DataFrame, by: str) -> DataFrame:
     return rules.select(by).distinct().join(counted, by, "left").na.fill(0)
 
 
-def coverage(outcome: DataFrame, rules: DataFrame) -> DataFrame:
-    """eligible units, findings and negatives of each rule."""
+def coverage(outcome: DataFrame, rules: DataFrame, unknown: DataFrame | None = None) -> DataFrame:
+    """eligible, answered, negative, pending and unknown units of each rule; ``unknown`` has rule_id and reason."""
     counted = outcome.groupBy("rule_id").agg(F.count("*").alias("eligible"), F.count_if("fired").alias("answered"), F.count_if(~F.col("fired")).alias("negative"))
-    return rules.select("rule_id").join(counted, "rule_id", "left").na.fill(0)
+    joined = rules.select("rule_id").join(counted, "rule_id", "left")
+    if unknown is not None:
+        pending = F.col("reason").isin("not-judged", "dry-run")
+        joined = joined.join(unknown.groupBy("rule_id").agg(F.count_if(pending).alias("pending"), F.count_if(~pending).alias("unknown")), "rule_id", "left")
+    return joined.na.fill(0)
 
 
 def top_rules(found: DataFrame, k: int = 5) -> DataFrame:
     return found.groupBy("rule_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "rule_id").limit(k)
 
 
-def exit_summary(found: DataFrame, fail_on: str = "minor") -> DataFrame:
-    """Failing findings and exit code: 1 if an unsuppressed act finding is severe enough, else 0."""
+def exit_summary(found: DataFrame, fail_on: str = "minor", units: DataFrame | None = None, strict: bool = True, complete: bool = True) -> DataFrame:
+    """Findings, failing ones and the exit code of a run.
+
+    2 if the run is incomplete, or strict and without units; else 1 if an unsuppressed act finding is severe enough.
+    """
     failing = F.count_if((F.col("band") == "act") & ~F.col("suppressed") & (_rank("severity", SEVERITY_RANK) <= SEVERITY_RANK[fail_on]))
-    return found.agg(F.count("*").alias("findings"), failing.alias("failing")).withColumn("exit_code", F.when(F.col("failing") > 0, 1).otherwise(0))
+    empty = strict and units is not None and not units.limit(1).count()
+    code = F.lit(2) if empty or not complete else F.when(F.col("failing") > 0, 1).otherwise(0)
+    return found.agg(F.count("*").alias("findings"), failing.alias("failing")).withColumn("exit_code", code)
+
+
+def ordered(found: DataFrame) -> DataFrame:
+    """Findings as a report lists them: by file, line, column, rule and unit."""
+    return found.orderBy(*(c for c in ("file", "line", "column", "rule_id", "unit_id") if c in found.columns))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,13 +122,21 @@ def chunk_rows(questions: DataFrame, group: str, order: str, tokens: str, limit:
     return ordered.select("block", "g", "o", "t").mapInArrow(number, f"`{group}` {name}, `{order}` {questions.schema[order].dataType.simpleString()}, chunk int")
 
 
-def steady_judge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The default judge: a probability from the key alone, so that runs without a service repeat."""
-    for frame in frames:
-        yield pd.DataFrame({"key": frame["key"], "probability": frame["key"].map(lambda k: int(k[:8], 16) / 0xFFFFFFFF)})
+def answers(requests: DataFrame, judge: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(key, probability) of all requests: cached ones as they are, the others asked once each.
 
-
-def answers(requests: DataFrame, judge: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] = steady_judge) -> DataFrame:
-    """(key, probability) of all requests: cached ones as they are, the others asked once each in partitions."""
-    asked = requests.where("probability is null").select("key", "state").mapInPandas(judge, "key string, probability double")
+    ``judge`` turns (key, state) rows into (key, probability) rows, with mapInPandas where it asks a service.
+    """
+    asked = judge(requests.where("probability is null").select("key", "state")).select("key", F.col("probability").cast("double").alias("probability"))
     return requests.where("probability is not null").select("key", "probability").unionByName(asked)
+
+
+def answered_jobs(jobs: DataFrame, answered: DataFrame) -> DataFrame:
+    """Answers back to all jobs (unit_id, rule_id, key) that share a key: adds probability, null where there is none or it is out of range."""
+    usable = answered.where("probability between 0 and 1 and not isnan(probability)")
+    return jobs.join(usable, "key", "left")
+
+
+def unknown_of(jobs: DataFrame, reason: str = "request-failed") -> DataFrame:
+    """(rule_id, unit_id, reason) of jobs without an answer."""
+    return jobs.where("probability is null").select("rule_id", "unit_id", F.lit(reason).alias("reason"))

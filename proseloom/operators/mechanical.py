@@ -5,27 +5,71 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from proseloom.functions import text
+from proseloom.functions import globs, text
 from proseloom.plans.catalogue import Rule
 
+#: What a unit is taken to have where its table lacks the column.
+DEFAULTS = {"role": "unknown", "in_code": False, "generated": False, "own_quotes": False}
+_EVERYWHERE = ("**", "**/*")
+
 
 def pattern_of(rule: Rule) -> str:
     return text.phrase_pattern(list(rule.phrases)) if rule.phrases else text.portable(rule.pattern, rule.flags)
 
 
+def completed(units: DataFrame) -> DataFrame:
+    """Units with every column that a precondition reads, and ``_seen``: the text with spaces over its code spans."""
+    for name, value in DEFAULTS.items():
+        if name not in units.columns:
+            units = units.withColumn(name, F.lit(value))
+    return units.withColumn("_seen", text.mask_spans(F.col("text"), F.col("code_spans")) if "code_spans" in units.columns else F.col("text"))
+
+
 def eligible(rule: Rule) -> Column:
-    """Kind, doc type and length; cheap tests before any pattern."""
+    """Whether a unit meets a rule's kind, path and preconditions; cheap tests first."""
     out = F.col("kind").isin(*rule.kinds)
     if rule.doc_types:
-        out = out & F.col("doc_type").isin(*rule.doc_types)
+        out &= F.col("doc_type").isin(*rule.doc_types)
+    if rule.roles:
+        out &= F.col("role").isin(*rule.roles)
+    if rule.not_in_code:
+        out &= ~F.col("in_code")
+    if rule.not_generated:
+        out &= ~F.col("generated")
+    # Elements of rendered pages have an address, not a path.
+    path = F.lit(True) if set(rule.include) & set(_EVERYWHERE) else globs.matches_any(F.col("file"), list(rule.include))
+    if rule.exclude:
+        path &= ~globs.matches_any(F.col("file"), list(rule.exclude))
+    if rule.exclude or not set(rule.include) & set(_EVERYWHERE):
+        out &= (F.col("kind") == "element") | path
+    if not rule.own_quotes:
+        out &= ~(F.col("own_quotes") & F.col("kind").isin("paragraph", "heading") & F.col("file").rlike(r"\.mdx?$"))
     if rule.min_words:
-        out = out & (text.prose_words(F.col("text")) >= rule.min_words)
+        out &= text.prose_words(F.col("text")) >= rule.min_words
     return out
 
 
-def matches(rule: Rule) -> Column:
-    found = F.regexp_extract_all("text", F.lit(pattern_of(rule)), F.lit(0))
-    return F.when(F.col("text").rlike(text.portable(rule.absent)), F.array().cast("array<string>")).otherwise(found) if rule.absent else found
+def matches(rule: Rule, seen: str = "text") -> Column:
+    """All matches of a rule in order; none where its ``absent`` pattern occurs."""
+    pattern, none = F.lit(pattern_of(rule)), F.array().cast("array<string>")
+    # Most units match nothing: a search is cheaper than an extraction.
+    found = F.when(F.regexp_like(seen, pattern), F.regexp_extract_all(seen, pattern, F.lit(0))).otherwise(none)
+    return F.when(F.col(seen).rlike(text.portable(rule.absent, rule.flags)), none).otherwise(found) if rule.absent else found
+
+
+def meeting(rules: tuple[Rule, ...], kinds: set[str], roles: set[str]) -> tuple[Rule, ...]:
+    """The rules that units of these kinds and roles can be eligible for; a plan holds no column for the others."""
+    return tuple(r for r in rules if kinds & set(r.kinds) and (not r.roles or roles & set(r.roles)))
+
+
+def _outcome(rule: Rule) -> Column:
+    return F.when(eligible(rule), F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.least).alias("least"), matches(rule, "_seen").alias("found")))
+
+
+def _rows(units: DataFrame, made: Column) -> DataFrame:
+    rows = completed(units).withColumn("o", F.explode(made))
+    shown = F.transform(F.slice("o.found", 1, 3), lambda m: F.substring(text.normalise(m), 1, 80))
+    return rows.select(*units.columns, "o.rule_id", F.size("o.found").alias("n_matches"), (F.size("o.found") >= F.col("o.least")).alias("fired"), shown.alias("evidence"))
 
 
 def outcomes(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -33,7 +77,17 @@ def outcomes(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
     All rules are columns of one projection, so units are read once and no unit meets the catalogue in a join.
     """
-    one = lambda r: F.when(eligible(r), F.struct(F.lit(r.id).alias("rule_id"), F.lit(r.least).alias("least"), matches(r).alias("found")))
-    rows = units.withColumn("o", F.explode(F.array_compact(F.array(*map(one, rules)))))
-    shown = F.transform(F.slice("o.found", 1, 3), lambda m: F.substring(text.normalise(m), 1, 80))
-    return rows.select(*units.columns, "o.rule_id", F.size("o.found").alias("n_matches"), (F.size("o.found") >= F.col("o.least")).alias("fired"), shown.alias("evidence"))
+    return _rows(units, F.array_compact(F.array(*map(_outcome, rules))))
+
+
+def hits(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """The rows of ``outcomes`` that fired; the others are never made."""
+    return _rows(units, F.filter(F.array(*map(_outcome, rules)), lambda o: F.coalesce(F.size(o["found"]) >= o["least"], F.lit(False))))
+
+
+def counts(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """rule_id, eligible, answered and negative of each rule, in one aggregation over units."""
+    fired = lambda r: eligible(r) & (F.size(matches(r, "_seen")) >= r.least)
+    sums = [F.struct(F.lit(r.id).alias("rule_id"), F.count_if(eligible(r)).alias("eligible"), F.count_if(fired(r)).alias("answered")) for r in rules]
+    rows = completed(units).agg(F.array(*sums).alias("rules")).select(F.explode("rules").alias("r")).select("r.*")
+    return rows.withColumn("negative", F.col("eligible") - F.col("answered"))

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from proseloom.functions import text
+from proseloom.sources.shared import settle, small
 
 #: Words that carry no idea.
 STOP = "about above after again also always another because been before being below between both come came could does doing done down each even every from have having here into just like made make many more most much must never only other over same should since some such than that their them then there these they this those through very want were what when where which while will with would your yours you're we're it's that's there's isn't don't can't won't".split()
+#: Fixed value: a word of a sentence.
 WORD = r"[\p{L}\p{N}$][\p{L}\p{N}$'’.-]*[\p{L}\p{N}]|[\p{L}\p{N}]"
 
 
@@ -46,17 +48,41 @@ def earlier_sentences(units: DataFrame, shared: int = 3, most: int = 8) -> DataF
     return listed.select("file", "unit", F.array_join(F.transform("rows", lambda r: r["sentence"]), "\n").alias("earlier"))
 
 
+def _words(column: Column) -> Column:
+    return F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
 def word_ngrams(column: Column, n: int = 6) -> Column:
     """Distinct n-grams of lower-cased words of letters and digits."""
-    words = F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    grams = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+
+    def grams(words: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.array_join(F.slice(words, i + 1, n), " "))
+        return F.when(F.size(words) >= n, F.array_distinct(made)).otherwise(F.array().cast("array<string>"))
+
+    # The words are bound once; a column that a lambda names is computed again for each element.
+    return F.transform(F.array(_words(column)), grams)[0]
+
+
+def _gram_hashes(column: Column, n: int) -> Column:
+    def hashes(words: Column) -> Column:
+        made = F.transform(F.sequence(F.lit(0), F.size(words) - n), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(n))))
+        return F.when(F.size(words) >= n, made).otherwise(F.array().cast("array<long>"))
+
+    return F.transform(F.array(_words(column)), hashes)[0]
 
 
 def ngram_overlap(items: DataFrame, questions: DataFrame, n: int = 6) -> DataFrame:
-    """(item, gram) for every n-gram of an item that also occurs in a question; both have id and text."""
-    asked = questions.select(F.explode(word_ngrams(F.col("text"), n)).alias("gram")).distinct()
-    return items.select("id", F.explode(word_ngrams(F.col("text"), n)).alias("gram")).join(asked, "gram", "left_semi").select("id", "gram")
+    """(id, gram) for every n-gram of an item that also occurs in a question; both have id and text.
+
+    N-grams meet as hashes; only those of items that meet a question are written out, and then compared as strings.
+    Rows of one id count together.  The questions' hashes are broadcast behind a check of their size.
+    """
+    asked = questions.select(F.explode(F.array_distinct(_gram_hashes(F.col("text"), n))).alias("hash")).distinct()
+    read = items.select("id", F.posexplode(_gram_hashes(F.col("text"), n)).alias("at", "hash")).join(small(asked), "hash", "left_semi")
+    places = settle(read.groupBy("id").agg(F.collect_set("at").alias("places")), "places")
+    met = items.join(small(places, 4 * F.size("places")), "id").select("id", F.transform(F.array(_words(F.col("text"))), lambda w: F.transform("places", lambda i: F.array_join(F.slice(w, i + 1, n), " ")))[0].alias("grams"))
+    wanted = questions.select(F.explode(word_ngrams(F.col("text"), n)).alias("gram")).distinct()
+    return met.select("id", F.explode(F.array_distinct("grams")).alias("gram")).join(small(wanted), "gram", "left_semi").select("id", "gram").distinct()
 
 
 #: Lines that never make a block, comment lines that are directives, and lines that read as code.

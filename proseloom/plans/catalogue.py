@@ -2,48 +2,120 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-PROSE = ("tutorial", "howto", "reference", "explanation", "lesson", "marketing", "ui", "unknown")
+#: Bands of a probability where a rule gives none: from ``REVIEW`` on a finding is for review, from ``ACT`` on it acts.
+REVIEW, ACT = 0.35, 0.7
+STATUSES = ("active", "review-only", "draft")
 
 
 @dataclass(frozen=True)
 class Rule:
-    """One row of the catalogue; ``pattern`` or ``phrases`` decides, ``absent`` vetoes."""
+    """One row of the catalogue.
+
+    ``pattern`` or ``phrases`` decides, with ``least`` matches, and ``absent`` vetoes; a rule that has neither asks its
+    ``question`` of every eligible unit.  The other fields say which units are eligible: kind, path (``include`` and
+    ``exclude`` globs), doc type, role, words, and whether code, generated files and files whose build makes its own
+    quotes count.
+    """
 
     id: str
     category: str
     pattern: str = ""
-    flags: str = "giu"
+    flags: str = "gu"
     phrases: tuple[str, ...] = ()
     absent: str = ""
     least: int = 1
+    code_only: bool = False
     kinds: tuple[str, ...] = ("paragraph",)
+    include: tuple[str, ...] = ("**",)
+    exclude: tuple[str, ...] = ()
     doc_types: tuple[str, ...] = ()
+    roles: tuple[str, ...] = ()
     min_words: int = 0
+    not_in_code: bool = False
+    not_generated: bool = False
+    own_quotes: bool = True
     severity: str = "minor"
-    review_only: bool = False
-    review: float = 0.35
-    act: float = 0.7
+    status: str = "active"
+    review: float = REVIEW
+    act: float = ACT
     question: str = ""
-    domain: str = field(default="")
+    hint: str = ""
+    domain: str = ""
 
     @property
     def area(self) -> str:
         return self.domain or self.id.split("-")[0]
 
+    @property
+    def review_only(self) -> bool:
+        """Judged rules and those under review never act on their own."""
+        return self.status == "review-only"
+
+
+_PROSE = ("tutorial", "howto", "reference", "explanation", "lesson", "marketing", "ui", "unknown")
+_DOCS = ("tutorial", "howto", "reference", "explanation", "agent-instructions")
+_TEXT, _COPY, _LABELS = ("paragraph", "jsx-text"), ("paragraph", "jsx-text", "attr-string"), ("jsx-text", "attr-string")
+_HEADED, _SHOWN, _ALL = ("paragraph", "heading"), ("paragraph", "heading", "jsx-text"), ("paragraph", "heading", "jsx-text", "attr-string")
+_STYLE = {"status": "review-only", "review": 0.4, "act": 0.75}
+_REVIEWED = {"status": "review-only"}
 
-# Patterns and phrases that decide findings, and so have to equal those users already rely on.
+# Fixed values, to the end of the table: ids, patterns, phrases and conditions that decide findings, and so have to equal
+# those that users already rely on.
 RULES = (
-    Rule("copywriting-anthropomorphism", "machine-prose", r"\b(?:the |this |our )?(?:system|app|application|api|server|service|tool|library|compiler|browser|database|program|script|function|model)s? (?:thinks?|wants?|knows?|tries|try|remembers?|decides?|believes?|feels?|likes?|hopes?|assumes?)\b"),
-    Rule("copywriting-participle-tail", "machine-prose", r"""(?<!["“‘']),\s+(?:ensuring|highlighting|underscoring|showcasing|emphasi[sz]ing|reinforcing|cementing|solidifying|fostering|signall?ing)\b"""),
-    Rule("copywriting-passive-voice", "plain-language", r"\b(?:is|are|was|were|be|been|being|gets?|got)\s+(?:\w+ly\s+)?\w+(?:ed|en|wn)\b(?:\s+by\b)?", review_only=True, question="Is the main clause passive although its actor is known?"),
-    Rule("copywriting-toast-successfully", "actionable-microcopy", r"\bsuccessfully\b", doc_types=("ui", "unknown")),
-    Rule("copywriting-nominalisations", "plain-language", phrases=("make a decision", "perform an analysis", "conduct an analysis", "conduct a review", "perform a review", "provide assistance", "give consideration to", "reach a conclusion", "come to a conclusion", "make an assessment", "carry out an evaluation", "perform an evaluation", "make a selection", "provide a description of", "make an adjustment", "perform a validation", "make a recommendation", "give an explanation"), doc_types=PROSE),
-    Rule("typography-dashes", "punctuation", r"(?<=\S)--(?=\S)|(?<=\p{L}) - (?=\p{L})", flags="gu", doc_types=PROSE),
-    Rule("typography-ellipsis", "punctuation", r"\.\.\.", flags="gu", doc_types=PROSE),
-    Rule("typography-midpoint-separators", "punctuation", r"\S \| \S|\S • \S", flags="gu"),
-    Rule("typography-multiplication-sign", "punctuation", r"(?<![\w.])[1-9]\d*\s?x\s?\d+(?![\w.%])", flags="gu", doc_types=PROSE),
-    Rule("typography-nbsp-value-unit", "spacing", r"\d (?:px|pt|em|rem|ms|min|KB|MB|GB|TB|kg|km|cm|mm|fps|%)(?![\p{L}\d])", flags="gu", doc_types=PROSE),
-    Rule("typography-straight-quotes", "punctuation", r"""\"|(?<=\p{L})'(?=\p{L})|(?<=\s)'(?=\d)""", flags="gu", doc_types=PROSE),
+    Rule("authoring-approval-every-step", "instruction-quality", r"\b(?:permission|approval|confirm|ask)\b", "giu", kinds=_COPY, doc_types=("skill", "agent-instructions"), not_in_code=True, **_REVIEWED),
+    Rule("authoring-fixed-agent-quota", "instruction-quality", r"\b(?:always|every task|minimum|at least|exactly)\b", "giu", kinds=_COPY, doc_types=("skill", "agent-instructions"), not_in_code=True, **_REVIEWED),
+    Rule("authoring-generic-coding-advice", "instruction-quality", r"\b(?:clean code|best practices|meaningful names|descriptive (?:names|variable names)|handle errors properly)\b", "giu", kinds=_COPY, doc_types=("skill", "agent-instructions"), not_in_code=True, **_REVIEWED),
+    Rule("authoring-generic-verification", "instruction-quality", r"\b(?:double.check|verify carefully|test thoroughly|ensure (?:quality|correctness))\b", "giu", kinds=_COPY, doc_types=("skill", "agent-instructions", "plan"), not_in_code=True, **_REVIEWED),
+    Rule("authoring-plan-vague-acceptance", "instruction-quality", r"\b(?:works? (?:well|correctly)|user.friendly|production.ready|robust|seamless)\b", "giu", kinds=_COPY, doc_types=("plan",), not_in_code=True, **_REVIEWED),
+    Rule("copywriting-anthropomorphism", "machine-prose", r"\b(?:the |this |our )?(?:system|app|application|api|server|service|tool|library|compiler|browser|database|program|script|function|model)s? (?:thinks?|wants?|knows?|tries|try|remembers?|decides?|believes?|feels?|likes?|hopes?|assumes?)\b", "giu", doc_types=(*_DOCS, "unknown"), not_in_code=True),
+    Rule("copywriting-antithesis-contrast", "machine-prose", r"[\p{L}\p{N}’'], not (?:a |an |the |another |just |only )?[\p{L}\p{N}’'-]+|(?:^|[.!?]\s+)Not (?:a|an|another|the|just|only|one) [\p{L}\p{N}’'-]+", kinds=_SHOWN, not_in_code=True, **_STYLE),
+    Rule("copywriting-antithesis-frame", "machine-prose", r"""(?<!["“‘'])\bnot (?:just|only|merely) (?:a |an |the |about )?[\w-]+(?: [\w-]+){0,4}(?:[,;]? but|[,;] (?:it|they|we|this)(?:['’](?:s|re)| is| are))\b|(?<!["“‘'])\b(?:it|this|that)(?:['’]s| is)(?: not|n['’]t) (?:just |only )?(?:about )?[^.!?,;]{1,40}[.,;] (?:it|this|that)(?:['’]s| is)\b""", "giu", kinds=_TEXT, not_in_code=True),
+    Rule("copywriting-bare-confirm-label", "actionable-microcopy", r"^(?:Confirm|OK|Okay|Yes|Submit|Proceed)[.!]?$", "giu", kinds=_LABELS, roles=("button", "aria", "label"), not_in_code=True, severity="major", **_REVIEWED),
+    Rule("copywriting-boilerplate-offer", "machine-prose", r"let me know|feel free to|happy to help|hope this helps|if you have any (?:other |further )?questions|reach out if", "gui", kinds=_TEXT, **_STYLE),
+    Rule("copywriting-canned-phrasing", "machine-prose", phrases=("in today's fast-paced world", "in the ever-evolving landscape", "let's dive in", "let's delve", "at its core", "it is important to note", "it's worth noting", "when it comes to", "the truth is", "now more than ever", "stands as a testament", "at the end of the day", "one thing is clear", "the bottom line is", "game-changer", "in the realm of"), kinds=_TEXT, **_STYLE),
+    Rule("copywriting-claim-without-evidence", "evidence-over-claims", phrases=("powerful", "easy to use", "seamless", "intuitive", "robust", "best-in-class", "industry-leading", "world-class", "innovative", "cutting-edge", "beautiful", "simple", "fast", "flexible", "modern", "smart", "next-generation", "enterprise-grade", "blazing", "faster", "fastest", "simpler", "easier", "smarter", "trusted by", "loved by"), kinds=_SHOWN, not_in_code=True, **_REVIEWED),
+    Rule("copywriting-click-here-links", "actionable-cta", r"^(?:click here|here|learn more|read more|more|link|this link|this page|see more|details)[.!]?$", "giu", kinds=("jsx-text",), roles=("link",), not_in_code=True),
+    Rule("copywriting-conditions-first", "page-structure", r"\b(?:if|unless|only when)\b", "giu", doc_types=_DOCS, not_in_code=True, **_REVIEWED),
+    Rule("copywriting-confirmshaming", "actionable-microcopy", r"\b(?:no thanks|no,? i|i (?:do not|don.t) want)\b", "giu", kinds=_COPY, doc_types=("ui",), not_in_code=True, **_REVIEWED),
+    Rule("copywriting-copula-avoidance", "machine-prose", r"""(?<!["“‘'])\b(?:serves|stands) as (?:a|an|the)\b|(?<!["“‘'])\bboasts\b""", "giu", kinds=_TEXT, not_in_code=True, **_REVIEWED),
+    Rule("copywriting-cta-names-outcome", "actionable-cta", phrases=("submit", "click here", "click", "proceed", "go", "next", "learn more", "read more", "ok", "okay", "done", "finish", "more info", "see more"), kinds=_LABELS, roles=("button", "link", "aria", "label"), not_in_code=True, **_REVIEWED),
+    Rule("copywriting-dead-weight-hedges", "machine-prose", phrases=("we believe that", "it is important to note that", "it's worth noting that", "it goes without saying", "whether you're a", "our mission is to", "we are committed to", "designed to be", "powerful yet simple", "at its core", "in order to", "please note that", "needless to say", "as you may know"), kinds=_TEXT, doc_types=_PROSE, not_in_code=True, **_REVIEWED),
+    Rule("copywriting-em-dash-in-ui", "machine-prose", "[ \\u00a0]\\u2014|\\u2014[ \\u00a0]", kinds=_LABELS, doc_types=("ui", "unknown"), not_in_code=True, **_REVIEWED),
+    Rule("copywriting-emoji-in-ui", "actionable-microcopy", r"\p{Extended_Pictographic}", kinds=_LABELS, doc_types=("ui", "unknown"), not_in_code=True),
+    Rule("copywriting-empty-state-no-action", "actionable-microcopy", r"\b(?:no|nothing|empty)\b", "giu", kinds=_LABELS, doc_types=("ui", "unknown", "lesson"), not_in_code=True, **_REVIEWED),
+    Rule("copywriting-error-descriptions", "reference-reading", r"\b(?:error|HTTP)\s+[45][0-9]{2}\b|\b(?:forbidden|too many requests|unauthorized)\b", "giu", doc_types=_DOCS, roles=("body", "list-item"), not_in_code=True, **_REVIEWED),
+    Rule("copywriting-excessive-hedging", "machine-prose", phrases=("might", "could", "perhaps", "generally", "arguably", "potentially", "somewhat", "may", "possibly", "in some cases"), least=3, kinds=_TEXT, **_STYLE),
+    Rule("copywriting-filler-words", "machine-prose", phrases=("very", "really", "just", "basically", "actually", "simply", "quite", "rather", "somewhat", "extremely", "incredibly", "truly"), least=2, kinds=_TEXT, doc_types=_PROSE, not_in_code=True, **_REVIEWED),
+    Rule("copywriting-flat-description", "reader-first-framing", r"(?:^|[.!?] )(?:It|This|The) [^.!?]{20,120} is [^.!?]{6,}[.!?]", kinds=_TEXT, doc_types=("marketing", "ui", "unknown", "lesson"), not_in_code=True, **_STYLE),
+    Rule("copywriting-friction-cta", "actionable-cta", phrases=("contact us", "talk to sales", "request a demo", "sign up", "create an account", "get started", "subscribe", "buy now", "purchase", "book a call", "schedule a call"), kinds=_SHOWN, roles=("button", "link", "heading", "body", "unknown"), not_in_code=True, **_STYLE),
+    Rule("copywriting-generic-audience", "evidence-over-claims", phrases=("teams of all sizes", "be more productive", "save time and money", "grow your business", "take it to the next level", "all-in-one", "everything you need", "and much more", "and more", "anyone who", "helps you", "tools you need", "better results", "improve your workflow", "for everyone", "of all kinds"), kinds=_SHOWN, not_in_code=True, **_REVIEWED),
+    Rule("copywriting-generic-validation", "machine-prose", phrases=("great question", "excellent point", "absolutely", "certainly", "fantastic", "wonderful", "amazing", "you are absolutely right", "great job"), kinds=_TEXT, **_STYLE),
+    Rule("copywriting-latinisms", "reader-first-framing", r"\b(?:e\.g\.|i\.e\.|etc\.|et al\.|viz\.|cf\.)", kinds=_HEADED, doc_types=(*_DOCS, "lesson"), not_in_code=True, **_REVIEWED),
+    Rule("copywriting-machine-prose", "machine-prose", phrases=("I'd be happy to", "happy to help", "let's dive in", "dive into", "delve", "in today's fast-paced", "in today's world", "experts believe", "studies show", "it's no secret", "game-changer", "game changer", "revolutionize", "revolutionise", "unlock the power", "elevate your", "take your", "to the next level", "in conclusion", "as an AI", "seamlessly integrate", "robust and scalable", "whether you're", "look no further", "the landscape of", "navigate the", "tapestry", "testament to", "it's important to remember", "here is some", "here's some", "here are some"), kinds=_TEXT, doc_types=_PROSE, not_in_code=True, **_REVIEWED),
+    Rule("copywriting-meta-commentary", "machine-prose", phrases=("in this section", "as mentioned above", "as we will see", "let me break this down", "to put it simply", "in other words", "the takeaway here", "this section covers", "as discussed", "let us take a step back"), least=2, kinds=_TEXT, **_STYLE),
+    Rule("copywriting-nominalisations", "reader-first-framing", phrases=("make a decision", "perform an analysis", "conduct an analysis", "conduct a review", "perform a review", "provide assistance", "give consideration to", "reach a conclusion", "come to a conclusion", "make an assessment", "carry out an evaluation", "perform an evaluation", "make a selection", "provide a description of", "make an adjustment", "perform a validation", "make a recommendation", "give an explanation"), kinds=_TEXT, doc_types=_PROSE, not_in_code=True),
+    Rule("copywriting-participle-tail", "machine-prose", r"""(?<!["“‘']),\s+(?:ensuring|highlighting|underscoring|showcasing|emphasi[sz]ing|reinforcing|cementing|solidifying|fostering|signall?ing)\b""", "giu", kinds=_TEXT, not_in_code=True),
+    Rule("copywriting-passive-voice", "machine-prose", r"\b(?:is|are|was|were|be|been|being|gets?|got)\s+(?:\w+ly\s+)?\w+(?:ed|en|wn)\b(?:\s+by\b)?", "giu", kinds=_HEADED, doc_types=(*_DOCS, "lesson", "unknown"), not_in_code=True, question="Is the main clause passive although its actor is known?", **_STYLE),
+    Rule("copywriting-permission-benefit", "actionable-microcopy", r"\b(?:allow notifications|grant .*permission|requires? .*access)\b", "giu", kinds=_COPY, doc_types=("ui",), not_in_code=True, **_REVIEWED),
+    Rule("copywriting-promotional-docs-voice", "evidence-over-claims", phrases=("simply", "easy", "easily", "blazing", "blazing-fast", "powerful", "seamless", "seamlessly", "effortless", "effortlessly", "robust", "best-in-class", "world-class", "cutting-edge", "state-of-the-art", "supercharge", "unlock"), kinds=_HEADED, doc_types=_DOCS, not_in_code=True, **_REVIEWED),
+    Rule("copywriting-reader-first", "reader-first-framing", phrases=("platform", "software", "solution", "suite", "all-in-one", "introducing", "meet", "is a", "is the", "is an", "we built", "we made", "the tool", "a tool", "now with", "now available"), kinds=("heading", "jsx-text"), roles=("heading",), doc_types=("marketing", "ui", "unknown", "lesson"), not_in_code=True, **_STYLE),
+    Rule("copywriting-register-shift", "machine-prose", phrases=("we are pleased to", "we're stoked", "furthermore", "moreover", "gonna", "ain't", "henceforth", "thus", "utilize", "utilise", "herein", "aforementioned", "kindly", "per our", "whilst"), kinds=_SHOWN, doc_types=_PROSE, not_in_code=True, **_REVIEWED),
+    Rule("copywriting-repetitive-transitions", "machine-prose", phrases=("moreover", "furthermore", "additionally", "consequently", "thus", "hence", "in addition", "in conclusion", "to summarize", "ultimately"), least=2, kinds=_TEXT, **_STYLE),
+    Rule("copywriting-requirements-language", "reader-first-framing", r"\bshould\b", "giu", doc_types=_DOCS, not_in_code=True, **_REVIEWED),
+    Rule("copywriting-searchable-headings", "page-structure", r"^(?:common (?:issues|problems)|more (?:info(?:rmation)?|details)|overview|miscellaneous|other)\s*[.:?]?$", "giu", kinds=("heading",), doc_types=_DOCS, not_in_code=True, **_REVIEWED),
+    Rule("copywriting-success-state-specific", "actionable-microcopy", r"^(?:success[!.]?|operation completed(?: successfully)?[!.]?|done[!.]?)$", "giu", kinds=_COPY, doc_types=("ui",), not_in_code=True, **_REVIEWED),
+    Rule("copywriting-tee-up", "machine-prose", r"""(?<!["“‘'])\bhere['’]s the (?:thing|kicker|catch|deal|twist)\b|(?<!["“‘'])\bthe (?:kicker|catch|twist)\?|(?<!["“‘'])\bwhat struck me (?:was|is)\b|(?<!["“‘'])\blet that sink in\b|(?<!["“‘'])\bhere['’]s (?:a quick way to|the short version)\b|(?<!["“‘'])\bthe part worth knowing\b|(?<!["“‘'])\bthat['’]s the whole (?:pitch|idea|point|story)\b""", "giu", kinds=_TEXT, not_in_code=True),
+    Rule("copywriting-temporal-words", "reference-reading", phrases=("currently", "recently", "at the moment", "coming soon", "in the near future", "as of today", "latest version", "the new", "brand new", "this year", "last year", "next release", "soon"), kinds=_HEADED, doc_types=_DOCS, not_in_code=True, **_STYLE),
+    Rule("copywriting-toast-successfully", "actionable-microcopy", r"\bsuccessfully\b", "giu", kinds=_LABELS, doc_types=("ui", "unknown"), not_in_code=True),
+    Rule("copywriting-vague-error", "actionable-microcopy", phrases=("error occurred", "an error has occurred", "something went wrong", "please try again", "try again", "try saving again", "try again later", "oops", "invalid", "unexpected error", "an error occurred", "failed"), kinds=_LABELS, doc_types=("ui", "unknown", "lesson"), not_in_code=True, severity="major", **_REVIEWED),
+    Rule("copywriting-visual-direction-instruction", "actionable-microcopy", r"\b(?:above|below|left|right)\b", "giu", kinds=_COPY, doc_types=("ui",), not_in_code=True, **_REVIEWED),
+    Rule("typography-dashes", "typographic-detail", r"(?<=\S)--(?=\S)|(?<=\p{L}) - (?=\p{L})", kinds=_ALL, doc_types=_PROSE, not_in_code=True),
+    Rule("typography-ellipsis", "typographic-detail", r"\.\.\.", kinds=_ALL, doc_types=_PROSE, not_in_code=True),
+    Rule("typography-midpoint-separators", "typographic-detail", r"\S \| \S|\S • \S", kinds=_COPY, roles=("body", "caption", "label", "list-item", "cell", "unknown"), not_in_code=True),
+    Rule("typography-multiplication-sign", "typographic-detail", r"(?<![\w.])[1-9]\d*\s?x\s?\d+(?![\w.%])", kinds=_ALL, doc_types=_PROSE, not_in_code=True),
+    Rule("typography-nbsp-value-unit", "typographic-detail", r"\d (?:px|pt|em|rem|ms|min|KB|MB|GB|TB|kg|km|cm|mm|fps|%)(?![\p{L}\d])", kinds=_COPY, doc_types=_PROSE, not_in_code=True),
+    Rule("typography-straight-quotes", "typographic-detail", r"""\"|(?<=\p{L})'(?=\p{L})|(?<=\s)'(?=\d)""", kinds=_ALL, doc_types=(*_PROSE, "readme"), not_in_code=True, own_quotes=False),
+    Rule("typography-title-case-heading", "typographic-detail", r"^(?:[A-Z][a-z]+|of|the|and|for|to|a|in|on|with)(?: (?:[A-Z][a-z]+|of|the|and|for|to|a|in|on|with)){2,}[?!:.]?$", "u", kinds=("heading", "jsx-text", "attr-string"), roles=("heading", "button", "label", "aria"), doc_types=_PROSE, exclude=("**/README.md",), not_in_code=True, **_STYLE),
 )

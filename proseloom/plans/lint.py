@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,21 +15,33 @@ from proseloom.plans.catalogue import RULES, Rule
 
 @dataclass
 class LintResult:
-    """Lazy tables of one run."""
+    """Tables of one run; each is planned when it is asked for."""
 
     units: DataFrame
-    outcomes: DataFrame
-    findings: DataFrame
     rules: DataFrame
+    findings: DataFrame
+    evaluated: tuple[Rule, ...]
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        """A row for each unit and eligible rule."""
+        return mechanical.outcomes(self.units, self.evaluated)
+
+    @cached_property
+    def counts(self) -> DataFrame:
+        """Eligible, answered and negative units of each rule."""
+        return self.rules.select("rule_id").join(F.broadcast(mechanical.counts(self.units, self.evaluated)), "rule_id", "left").na.fill(0)
+
 
+def run_lint(files: DataFrame, rules: tuple[Rule, ...] = RULES, pragmas: DataFrame | None = None, unit: DataFrame | None = None) -> LintResult:
+    """Mechanical lint of files (file, text), or of units that another extractor made.
 
-def run_lint(files: DataFrame, rules: tuple[Rule, ...] = RULES, pragmas: DataFrame | None = None) -> LintResult:
-    """Mechanical lint of files (file, text); suppression before dedupe, as suppressed findings stay visible."""
-    spark = files.sparkSession
-    table = reduce.rule_table(spark, rules)
-    unit = units.line_units(files)
-    outcome = mechanical.outcomes(unit, rules)
-    fired = outcome.where("fired").withColumn("probability", F.lit(1.0)).withColumn("seq", F.lit(0))
+    A unit meets a rule once, so there is nothing to dedupe within a rule, and findings need no shuffle.
+    """
+    table = reduce.rule_table(files.sparkSession, rules)
+    if unit is None:
+        unit, rules = units.line_units(files), mechanical.meeting(rules, {"paragraph"}, {"body"})
+    fired = mechanical.hits(unit, rules).withColumn("probability", F.lit(1.0)).withColumn("seq", F.lit(0))
     found = reduce.findings(fired, table)
     found = reduce.suppress(found, pragmas) if pragmas is not None else found.withColumn("suppressed", F.lit(False))
-    return LintResult(unit, outcome, reduce.dedupe_exact(found), table)
+    return LintResult(unit, table, found, rules)

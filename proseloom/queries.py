@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from proseloom.functions import globs, stats, text
 from proseloom.operators import evaluation, judge, mechanical, repetition, structure, units
 from proseloom.operators import findings as reduce
-from proseloom.plans.catalogue import RULES
+from proseloom.plans.catalogue import RULES, Rule
 from proseloom.plans.lint import run_lint
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,21 +48,39 @@ units AS (
     CASE WHEN file LIKE 'docs/src0/%' THEN 'howto' WHEN file LIKE 'docs/src1%' THEN 'ui' ELSE 'explanation' END AS doc_type
   FROM placed WHERE regexp_matches(raw, '[^ \\t\\n\\r\\f\\v]'))
 """
-#: Patterns without look-around that fire on the same units.
-_PHRASES = "|".join(next(r for r in RULES if r.phrases).phrases)
+#: Patterns without look-around that fire on the same units; those of the other rules serve as they are.
 _FIRES = {
-    "copywriting-anthropomorphism": "(?i)" + RULES[0].pattern,
-    "copywriting-participle-tail": r"""(?i)(?:^|[^"“‘']),\s+(?:ensuring|highlighting|underscoring|showcasing|emphasi[sz]ing|reinforcing|cementing|solidifying|fostering|signall?ing)\b""",
-    "copywriting-passive-voice": "(?i)" + RULES[2].pattern,
-    "copywriting-toast-successfully": r"(?i)\bsuccessfully\b",
-    "copywriting-nominalisations": rf"(?i)(?:^|[^\p{{L}}\p{{N}}])(?:{_PHRASES})(?:[^\p{{L}}\p{{N}}]|$)",
     "typography-dashes": r"\S--\S|\p{L} - \p{L}",
-    "typography-ellipsis": r"\.\.\.",
-    "typography-midpoint-separators": r"\S \| \S|\S • \S",
     "typography-multiplication-sign": r"(?:^|[^\w.])[1-9]\d*\s?x\s?\d+(?:[^\w.%]|$)",
     "typography-nbsp-value-unit": r"\d (?:px|pt|em|rem|ms|min|KB|MB|GB|TB|kg|km|cm|mm|fps|%)(?:[^\p{L}\d]|$)",
     "typography-straight-quotes": r"""\"|\p{L}'\p{L}|\s'\d""",
 }
+_BY_ID = {r.id: r for r in RULES}
+_PASSIVE, _MIDPOINTS = _BY_ID["copywriting-passive-voice"], _BY_ID["typography-midpoint-separators"]
+
+
+def _re2(rule: Rule) -> str:
+    """The rule's pattern for DuckDB."""
+    plain = _FIRES.get(rule.id) or rule.pattern.replace("""(?<!["“‘'])""", """(?:^|[^"“‘'])""")
+    return "(?i)" + plain if "i" in rule.flags else plain
+
+
+def _fires(rule: Rule) -> str:
+    """SQL that is true where the rule fires on ``text``."""
+    if not rule.phrases:
+        return f"regexp_matches(text, {_quoted(_re2(rule))})"
+    edge = r"[^\p{L}\p{N}]"
+    if rule.least == 1:
+        return f"regexp_matches(text, {_quoted(f'(?i)(?:^|{edge})(?:{chr(124).join(rule.phrases)})(?:{edge}|$)')})"
+    # Characters between words are doubled, so that phrases with one of them in common both count.
+    doubled = "|".join("".join(c if c.isalnum() else c + c for c in p) for p in rule.phrases)
+    wide = f"regexp_replace(text, '({edge})', '\\1\\1', 'g')"
+    return f"len(regexp_extract_all({wide}, {_quoted(f'(?i)(?:^|{edge})(?:{doubled})(?:{edge}|$)')})) >= {rule.least}"
+
+
+def _meets_lines(rule: Rule) -> bool:
+    """Whether a line of a document, a paragraph in the body of a text, can be eligible."""
+    return "paragraph" in rule.kinds and (not rule.roles or "body" in rule.roles)
 
 
 def _quoted(x: str) -> str:
@@ -71,9 +89,9 @@ def _quoted(x: str) -> str:
 
 def _outcomes_sql() -> str:
     parts = []
-    for r in RULES:
+    for r in filter(_meets_lines, RULES):
         where = f" WHERE doc_type IN ({', '.join(map(_quoted, r.doc_types))})" if r.doc_types else ""
-        parts.append(f"SELECT file, unit_id, line, {_quoted(r.id)} AS rule_id, {_quoted(r.category)} AS category, {_quoted(r.area)} AS domain, {'TRUE' if r.review_only else 'FALSE'} AS review_only, regexp_matches(text, {_quoted(_FIRES[r.id])}) AS fired FROM units{where}")
+        parts.append(f"SELECT file, unit_id, line, {_quoted(r.id)} AS rule_id, {_quoted(r.category)} AS category, {_quoted(r.area)} AS domain, {'TRUE' if r.review_only else 'FALSE'} AS review_only, {_fires(r)} AS fired FROM units{where}")
     return _UNITS + ", outcomes AS (" + " UNION ALL ".join(parts) + "), findings AS (SELECT *, CASE WHEN review_only THEN 'review' ELSE 'act' END AS band FROM outcomes WHERE fired)"
 
 
@@ -91,16 +109,15 @@ def rule_hits(spark: SparkSession, d: str) -> DataFrame:
     return run_lint(_files(spark, d)).findings.select("file", "unit_id", "line", "rule_id", "category", "band")
 
 
-@_register(_UNITS + f"SELECT unit_id, len(regexp_extract_all(text, {_quoted(_FIRES['copywriting-passive-voice'])})) AS passive, len(regexp_extract_all(text, {_quoted(_FIRES['typography-midpoint-separators'])})) AS midpoints FROM units")
+@_register(_UNITS + f"SELECT unit_id, len(regexp_extract_all(text, {_quoted(_re2(_PASSIVE))})) AS passive, len(regexp_extract_all(text, {_quoted(_re2(_MIDPOINTS))})) AS midpoints FROM units")
 def rule_match_counts(spark: SparkSession, d: str) -> DataFrame:
     count = lambda r: F.size(mechanical.matches(r)).cast("long")
-    return units.line_units(_files(spark, d)).select("unit_id", count(RULES[2]).alias("passive"), count(next(r for r in RULES if "midpoint" in r.id)).alias("midpoints"))
+    return units.line_units(_files(spark, d)).select("unit_id", count(_PASSIVE).alias("passive"), count(_MIDPOINTS).alias("midpoints"))
 
 
-@_register(_UNITS + f", hits AS (SELECT unit_id, regexp_extract_all(text, {_quoted(_FIRES['typography-midpoint-separators'])}) AS found FROM units) SELECT unit_id, array_to_string(found[1:3], ',') AS evidence FROM hits WHERE len(found) > 0")
+@_register(_UNITS + f", hits AS (SELECT unit_id, regexp_extract_all(text, {_quoted(_re2(_MIDPOINTS))}) AS found FROM units) SELECT unit_id, array_to_string(found[1:3], ',') AS evidence FROM hits WHERE len(found) > 0")
 def rule_evidence(spark: SparkSession, d: str) -> DataFrame:
-    rule = tuple(r for r in RULES if "midpoint" in r.id)
-    return mechanical.outcomes(units.line_units(_files(spark, d)), rule).where("fired").select("unit_id", F.array_join("evidence", ",").alias("evidence"))
+    return mechanical.hits(units.line_units(_files(spark, d)), (_MIDPOINTS,)).select("unit_id", F.array_join("evidence", ",").alias("evidence"))
 
 
 def _scorecard(by: str) -> Query:
@@ -118,8 +135,7 @@ for _by in ("category", "domain", "rule_id"):
 
 @_register(_OUTCOMES + "SELECT r.rule_id, count(o.unit_id) AS eligible, count(*) FILTER (WHERE o.fired) AS answered, count(*) FILTER (WHERE NOT o.fired) AS negative FROM rules r LEFT JOIN outcomes o ON r.rule_id = o.rule_id GROUP BY r.rule_id")
 def coverage_by_rule(spark: SparkSession, d: str) -> DataFrame:
-    result = run_lint(_files(spark, d))
-    return reduce.coverage(result.outcomes, result.rules)
+    return run_lint(_files(spark, d)).counts
 
 
 @_register(_OUTCOMES + "SELECT rule_id, count(*) AS n FROM findings GROUP BY rule_id ORDER BY n DESC, rule_id LIMIT 5")
@@ -132,6 +148,13 @@ def exit_summary(spark: SparkSession, d: str) -> DataFrame:
     return reduce.exit_summary(run_lint(_files(spark, d)).findings)
 
 
+@_register("SELECT CAST(0 AS BIGINT) AS findings, CAST(0 AS BIGINT) AS failing, 2 AS exit_code FROM range(1)")
+def exit_of_nothing(spark: SparkSession, d: str) -> DataFrame:
+    """A strict run whose selection is empty fails with code 2."""
+    result = run_lint(_files(spark, d).where("file like '%.none'"))
+    return reduce.exit_summary(result.findings, units=result.units)
+
+
 @_register(_OUTCOMES + ", pragmas AS (SELECT DISTINCT file, line FROM lines WHERE line % 5 = 1) SELECT f.file, f.line, f.rule_id, p.file IS NOT NULL AS suppressed FROM findings f LEFT JOIN (SELECT DISTINCT file, line + k AS line FROM pragmas, (VALUES (0), (1)) AS t(k)) p ON f.file = p.file AND f.line = p.line")
 def suppression(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d).where("text is not null")
@@ -147,12 +170,12 @@ def changed_line_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 # Findings for dedupe: order lines as units, suppliers as rules, return flags as categories.
-_CANDIDATES = "SELECT CAST(l_orderkey AS VARCHAR) AS unit_id, 'rule-' || (l_suppkey % 3) AS rule_id, l_returnflag AS category, CAST(l_discount AS DOUBLE) * 10 AS probability, CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey AS seq, CASE WHEN CAST(l_discount AS DOUBLE) * 10 >= 0.5 THEN 'act' ELSE 'review' END AS band FROM lineitem"
+_CANDIDATES = "SELECT CAST(l_orderkey AS VARCHAR) AS unit_id, 'rule-' || (l_suppkey % 3) AS rule_id, l_returnflag AS category, CAST(l_discount AS DOUBLE) * 10 AS probability, CAST(l_linenumber AS BIGINT) * 100000000 + l_partkey AS seq, CASE WHEN CAST(l_discount AS DOUBLE) * 10 >= 0.5 THEN 'act' ELSE 'review' END AS band, l_suppkey % 5 = 0 AS suppressed FROM lineitem"
 
 
 def _candidates(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("l_discount").cast("double") * 10
-    return _read(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("unit_id"), F.concat(F.lit("rule-"), (F.col("l_suppkey") % 3).cast("string")).alias("rule_id"), F.col("l_returnflag").alias("category"), p.alias("probability"), (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey")).alias("seq"), F.when(p >= 0.5, "act").otherwise("review").alias("band"))
+    return _read(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("unit_id"), F.concat(F.lit("rule-"), (F.col("l_suppkey") % 3).cast("string")).alias("rule_id"), F.col("l_returnflag").alias("category"), p.alias("probability"), (F.col("l_linenumber").cast("long") * 100000000 + F.col("l_partkey")).alias("seq"), F.when(p >= 0.5, "act").otherwise("review").alias("band"), (F.col("l_suppkey") % 5 == 0).alias("suppressed"))
 
 
 @_register(f"SELECT unit_id, rule_id, probability, seq FROM (SELECT *, row_number() OVER (PARTITION BY unit_id, rule_id ORDER BY probability DESC, seq) AS n FROM ({_CANDIDATES})) WHERE n = 1")
@@ -160,9 +183,9 @@ def dedupe_exact(spark: SparkSession, d: str) -> DataFrame:
     return reduce.dedupe_exact(_candidates(spark, d)).select("unit_id", "rule_id", "probability", "seq")
 
 
-@_register(f"WITH r AS (SELECT *, row_number() OVER (PARTITION BY unit_id, category ORDER BY CASE band WHEN 'act' THEN 0 ELSE 1 END, probability DESC, seq) AS n FROM ({_CANDIDATES})) SELECT unit_id, category, max(CASE WHEN n = 1 THEN rule_id END) AS rule_id, max(CASE WHEN n = 1 THEN band END) AS band, coalesce(string_agg(CASE WHEN n > 1 THEN rule_id END, ',' ORDER BY n), '') AS also FROM r GROUP BY unit_id, category")
+@_register(f"WITH c AS ({_CANDIDATES}), r AS (SELECT *, row_number() OVER (PARTITION BY unit_id, category ORDER BY CASE band WHEN 'act' THEN 0 ELSE 1 END, probability DESC, seq) AS n FROM c WHERE NOT suppressed) SELECT unit_id, category, max(CASE WHEN n = 1 THEN rule_id END) AS rule_id, max(CASE WHEN n = 1 THEN band END) AS band, max(CASE WHEN n = 1 THEN seq END) AS seq, FALSE AS suppressed, coalesce(string_agg(CASE WHEN n > 1 THEN rule_id END, ',' ORDER BY n), '') AS also FROM r GROUP BY unit_id, category UNION ALL SELECT unit_id, category, rule_id, band, seq, suppressed, '' AS also FROM c WHERE suppressed")
 def dedupe_category(spark: SparkSession, d: str) -> DataFrame:
-    return reduce.merge_categories(_candidates(spark, d)).select("unit_id", "category", "rule_id", "band", F.array_join("also", ",").alias("also"))
+    return reduce.merge_categories(_candidates(spark, d)).select("unit_id", "category", "rule_id", "band", "seq", "suppressed", F.array_join("also", ",").alias("also"))
 
 
 # Labelled pairs: quality as the label, a function of the length as the probability, the source as the rule.
@@ -233,9 +256,9 @@ def split_assignment(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "documents").select("doc_id", stats.split_of(F.concat(F.lit("item-"), F.col("doc_id").cast("string"))).alias("split"))
 
 
-@_register("SELECT source, string_agg(split, ',' ORDER BY split) AS splits FROM (SELECT DISTINCT source, CASE WHEN doc_id % 5 = 0 THEN 'holdout' ELSE 'dev' END AS split FROM documents) GROUP BY source HAVING count(*) > 1")
+@_register("SELECT source, string_agg(split, ',' ORDER BY split) AS splits FROM (SELECT DISTINCT source, CASE WHEN doc_id % 7 = 0 THEN 'holdout' ELSE 'dev' END AS split FROM documents) GROUP BY source HAVING count(*) > 1")
 def split_leaks(spark: SparkSession, d: str) -> DataFrame:
-    items = _read(spark, d, "documents").withColumn("split", F.when(F.col("doc_id") % 5 == 0, "holdout").otherwise("dev"))
+    items = _read(spark, d, "documents").withColumn("split", F.when(F.col("doc_id") % 7 == 0, "holdout").otherwise("dev"))
     return evaluation.split_leaks(items, "source")
 
 
@@ -292,7 +315,7 @@ def _lines(spark: SparkSession, d: str) -> DataFrame:
 
 @_register(None)
 def repeated_blocks(spark: SparkSession, d: str) -> DataFrame:
-    return repetition.repeated_blocks(_lines(spark, d), 3, 60)
+    return repetition.repeated_blocks(_lines(spark, d))
 
 
 @_register(None)
@@ -319,9 +342,15 @@ def empty_sections(spark: SparkSession, d: str) -> DataFrame:
     return structure.empty_sections(structure.blocks(_read(spark, d, "pages"))).select("file", "at", "level", "text")
 
 
-@_register(_HTML + """ SELECT file, "at", level, text FROM (SELECT *, lag(level) OVER (PARTITION BY file ORDER BY "at") AS before FROM r WHERE level > 0) WHERE level > before + 1""")
+@_register(_HTML.replace("FROM pages)", "FROM (SELECT page_id, regexp_replace(html, '<p><b>(.*?)</p>', '<h4>\\1</h4>') AS html FROM pages))") + """ SELECT file, "at", level, text FROM (SELECT *, lag(level) OVER (PARTITION BY file ORDER BY "at") AS before FROM r WHERE level > 0) WHERE level > before + 1""")
 def heading_jumps(spark: SparkSession, d: str) -> DataFrame:
-    return structure.heading_jumps(structure.blocks(_read(spark, d, "pages"))).select("file", "at", "level", "text")
+    """Pages whose first paragraph in bold is made a fourth-level heading, as each has a single heading."""
+    html = F.col("html")
+    first = F.regexp_extract(html, r"<p><b>(.*?)</p>", 0)
+    made = F.concat(F.lit("<h4>"), F.regexp_extract(html, r"<p><b>(.*?)</p>", 1), F.lit("</h4>"))
+    at = F.position(first, html)
+    pages = _read(spark, d, "pages").withColumn("html", F.when(first == "", html).otherwise(F.concat(F.substring(html, F.lit(1), at - 1), made, F.substring(html, at + F.length(first), F.length(html)))))
+    return structure.heading_jumps(structure.blocks(pages)).select("file", "at", "level", "text")
 
 
 _STATE = "substr('TEXT: ' || text, 1, 5250)"
@@ -352,14 +381,16 @@ def token_cost(spark: SparkSession, d: str) -> DataFrame:
 
 @_register(f"SELECT DISTINCT key, (('0x' || substr(key, 1, 8))::BIGINT) / 4294967295.0::DOUBLE AS probability FROM ({_JOBS})")
 def judged_answers(spark: SparkSession, d: str) -> DataFrame:
-    return judge.answers(judge.shared_requests(_jobs(spark, d)).withColumn("probability", F.lit(None).cast("double")))
+    """The way of a request through an injected judge; this one is a fixture, whose answer is read off the key."""
+    fixture = lambda asked: asked.select("key", (F.conv(F.substring("key", 1, 8), 16, 10).cast("long") / 0xFFFFFFFF).alias("probability"))
+    return judge.answers(judge.shared_requests(_jobs(spark, d)).withColumn("probability", F.lit(None).cast("double")), fixture)
 
 
 @_register(None)
 def question_chunks(spark: SparkSession, d: str) -> DataFrame:
     """Greedy chunks of each source's questions, a row for each document; tested against a plain loop."""
     sizes = _read(spark, d, "documents").withColumn("tokens", F.ceil(F.col("n_chars") / 3.5).cast("long"))
-    return judge.chunk_rows(sizes, "source", "doc_id", "tokens", 4000)
+    return judge.chunk_rows(sizes, "source", "doc_id", "tokens")
 
 
 @_register("SELECT doc_id, replace(text, '...', '…') AS ellipsis, regexp_replace(text, '(\\d) (px|pt|em|rem|ms|min|KB|MB|GB|TB|kg|km|cm|mm|fps|%)([^\\p{L}\\d]|$)', '\\1' || chr(160) || '\\2\\3', 'g') AS spaced, replace(regexp_replace(replace(regexp_replace(text, '(^|[\\s(\\[{—–-])\"', '\\1“', 'g'), '\"', '”'), '(^|[\\s(\\[{])''([^\\s\\d])', '\\1‘\\2', 'g'), '''', '’') AS quoted FROM documents")

@@ -124,7 +124,12 @@ def test_cached_answers_are_not_asked_again(spark):
     cache = spark.createDataFrame([("a" * 64, 0.25, 1), ("b" * 64, 7.0, 1)], ["key", "probability", "written"])
     cached = judge.with_cache(requests, cache)
     assert judge.cost(cached).first().requests == 2
-    assert {r.key[0]: r.probability for r in judge.answers(cached).collect()}["a"] == 0.25
+    got = judge.answers(cached, lambda asked: asked.select("key", F.lit(0.5).alias("probability")))
+    assert {r.key[0]: r.probability for r in got.collect()} == {"a": 0.25, "b": 0.5, "c": 0.5}
+    jobs = spark.createDataFrame([("u", "r", "a" * 64), ("v", "r", "a" * 64), ("w", "r", "d" * 64)], ["unit_id", "rule_id", "key"])
+    back = judge.answered_jobs(jobs, got)
+    assert {r.unit_id: r.probability for r in back.collect()} == {"u": 0.25, "v": 0.25, "w": None}
+    assert [tuple(r) for r in judge.unknown_of(back).collect()] == [("r", "w", "request-failed")]
 
 
 def test_earlier_sentences(spark):
