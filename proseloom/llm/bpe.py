@@ -35,6 +35,9 @@ SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPA
 _LETTER, _NUMBER, _NARROW_SPACE = r"A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", r"0-9\xb2\xb3\xb9\xbc-\xbe", r"\t-\r \x85\xa0"
 _NARROW = re.compile(rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{_NUMBER}]+| ?[^{_NARROW_SPACE}{_LETTER}{_NUMBER}]+|[{_NARROW_SPACE}]+(?![^{_NARROW_SPACE}])|[{_NARROW_SPACE}]+")
 _WIDE = re.compile(r"[^\x00-\u024f]")
+_SPACES = re.compile(rf"[{_SPACE}]+")
+#: Contractions that are two words where a text ends after their first letter.
+_CUT_CONTRACTIONS = ("'re", "'ve", "'ll")
 #: Entries of a worker's tables of known words, prefixes and cells; a full table starts anew, results stay the same.
 TABLE = 200_000
 #: Words of more bytes than this are not kept in the tables.
@@ -230,6 +233,8 @@ class PrefixTable:
         n = len(raw)
         if n > LONG:
             return self._rows(raw)[-1]
+        if not n:
+            return 0
         entry = self.entry
         if len(entry) >= 2 * TABLE:
             entry.clear()
@@ -274,14 +279,39 @@ class PrefixTable:
                 raise ValueError("a byte has no arc")
         return [c for _, c in rows[1:]]
 
+    def _rows_of(self, pieces: list[tuple[str, int | None]], k: int) -> np.ndarray:
+        """Tokens of the text up to each byte of piece k, less those of the pieces before.
+
+        A text that ends inside a piece may split otherwise than the whole text: white space at its end is one word, a
+        contraction cut in two is none, and what was to be a special string is ordinary text.
+        """
+        word, special = pieces[k]
+        raw = word.encode("utf-8", "surrogatepass")
+        if special is not None:
+            # The words before that can run into the special string's first characters.
+            start = k
+            while start and k - start < 2 and pieces[start - 1][1] is None:
+                start -= 1
+            before = "".join(w for w, _ in pieces[start:k])
+            base = sum(self.count(w) for w, _ in pieces[start:k])
+            rows = [sum(map(self.count, split_words(before + word[:j]))) - base for j in range(1, len(word))]
+            # Special strings are ASCII in the vocabularies at hand; a longer character counts from its first byte on.
+            return np.repeat([*rows, 1], [len(c.encode("utf-8", "surrogatepass")) for c in word])
+        rows = np.array(self._rows(raw), np.int64)
+        if word in _CUT_CONTRACTIONS:
+            rows[1] = 2
+        run = pieces[k - 1][0] if k and pieces[k - 1][1] is None else ""
+        if run and _SPACES.fullmatch(run) and _SPACES.fullmatch(word[0]):
+            rows[len(word[0].encode()) - 1] = self.count(run + word[0]) - self.count(run)
+        return rows
+
     def counts(self, text: str) -> np.ndarray:
-        """Tokens of text[:i] for every byte prefix i >= 1; inside a word, of the words before and the word's own prefix."""
+        """Tokens of text[:i] for every byte prefix i >= 1, exact at every whole character, as if the text ended there."""
         out, base = [], 0
-        for word, special in self.automaton.pieces(text):
-            raw = word.encode("utf-8", "surrogatepass")
-            rows = np.ones(len(raw), np.int64) if special is not None else np.array(self._rows(raw), np.int64)
-            out.append(rows + base)
-            base += int(rows[-1])
+        pieces = list(self.automaton.pieces(text))
+        for k, (word, special) in enumerate(pieces):
+            out.append(self._rows_of(pieces, k) + base)
+            base += 1 if special is not None else self.count(word)
         return np.concatenate(out) if out else np.zeros(0, np.int64)
 
     def measure(self, text: str, budget: int) -> tuple[int, int, int]:
@@ -297,15 +327,19 @@ class PrefixTable:
         size, total = len(text.encode("utf-8", "surrogatepass")), sum(counts)
         if total <= budget:
             return size, total, size
-        sums = np.cumsum(counts)
-        first = int(np.searchsorted(sums, budget, "right"))
-        room = budget - (int(sums[first - 1]) if first else 0)
-        fit = sum(len(w.encode("utf-8", "surrogatepass")) for w in words[:first])
-        # A later prefix of the word that breaks the budget can be within it again; take the longest.
-        raw = words[first].encode("utf-8", "surrogatepass")
-        if words[first] not in self.automaton.special:
-            rows = self._rows(raw)
-            fit += max((i + 1 for i, c in enumerate(rows) if c <= room and (i + 1 == len(raw) or raw[i + 1] & 0xC0 != 0x80)), default=0)
+        sums = np.concatenate(([0], np.cumsum(counts)))
+        first = int(np.searchsorted(sums, budget, "right")) - 1
+        special = self.automaton.special
+        # The piece that breaks the budget; white space or a cut special string after it can bring the count down again.
+        pieces = [(w, special.get(w)) for w in words[max(0, first - 2) : first + 3]]
+        skipped = max(0, first - 2)
+        at = sum(len(w.encode("utf-8", "surrogatepass")) for w in words[:first])
+        fit = at if sums[first] <= budget else 0
+        for k in range(first, min(first + 3, len(words))):
+            raw = words[k].encode("utf-8", "surrogatepass")
+            rows = self._rows_of(pieces, k - skipped) + sums[k]
+            fit = max(fit, max((at + i + 1 for i, c in enumerate(rows) if c <= budget and (i + 1 == len(raw) or raw[i + 1] & 0xC0 != 0x80)), default=0))
+            at += len(raw)
         return size, total, fit
 
 

@@ -55,16 +55,18 @@ def test_tables_may_start_anew(library, automaton, monkeypatch):
         assert len(encoder.encode(text)) == 4 * n and table.measure(text, 10**9)[1] == n
 
 
-def test_prefixes_answer_budgets(library, automaton):
+def test_every_prefix_is_counted_as_a_text_of_its_own(library, automaton):
     table = bpe.PrefixTable(automaton)
-    text = "Tokenization automata aren't small: thnthonhe éclair."
-    counts, raw = table.counts(text), text.encode()
-    for i in range(1, len(raw) + 1):
-        if i == len(raw) or raw[i - 1 : i].isalpha() and raw[i] & 0xC0 != 0x80:
-            assert counts[i - 1] == len(library.encode(raw[:i].decode(), add_special_tokens=False).ids)
-    for budget in range(0, 20):
-        fit = table.measure(text, budget)[2]
-        assert fit == max((i + 1 for i, c in enumerate(counts) if c <= budget and (i + 1 == len(raw) or raw[i + 1] & 0xC0 != 0x80)), default=0)
+    size = lambda t: len(library.encode(t, add_special_tokens=False).ids)
+    for text in [*texts(400)[:400], "Tokenization automata aren't small: thnthonhe éclair.", "\n\n'll!", "we've  \u00a0 \n x'r", "a  <|endoftext|>b!<|endoftext|", "!!<|endoftext|>'ve"]:
+        counts, at = table.counts(text), 0
+        want = []
+        for i, c in enumerate(text):
+            at += len(c.encode())
+            want.append((at, size(text[: i + 1])))
+            assert counts[at - 1] == want[-1][1], (text, i)
+        for budget in (*range(0, 9), 15):
+            assert table.measure(text, budget)[2] == max((n for n, c in want if c <= budget), default=0), (text, budget)
 
 
 def test_operators_on_awkward_rows(spark, library):
