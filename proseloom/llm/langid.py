@@ -8,10 +8,9 @@ matrix, and documents are scored by batched products of their presence matrix wi
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,14 +18,14 @@ from proseloom.llm.store import held_out, narrow
 
 #: N-grams are held in so many cells.
 CELLS = 1 << 16
-#: Documented bounds of the fit: training rows of each language, landmarks of each, characters of a training text.
-TRAIN_ROWS, LANDMARKS, TRAIN_CHARS = 400, 40, 20_000
+#: Documented bounds of the fit: training rows of each language, about, and landmarks of each.  Whole texts count.
+TRAIN_ROWS, LANDMARKS = 400, 40
 RIDGE = 1e-3
 #: Rows of a scored block.
 BLOCK = 64
 UNKNOWN = "und"
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FACTORS = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9))
 
 
@@ -42,12 +41,12 @@ def cells(text: str) -> np.ndarray:
     return np.concatenate(out).astype(np.int64)
 
 
-def presence(texts: list[str]) -> np.ndarray:
-    """Rows of 0 and 1 over the cells."""
+def presence(texts: list[str | np.ndarray]) -> np.ndarray:
+    """Rows of 0 and 1 over the cells, of texts or of their cells."""
     out = np.zeros((len(texts), CELLS), np.float32)
     for row, text in zip(out, texts):
-        if text:
-            row[cells(text)] = 1
+        if len(text):
+            row[cells(text) if isinstance(text, str) else text] = 1
     return out
 
 
@@ -65,8 +64,8 @@ class Model:
         return values.argmax(1), (odds / odds.sum(1, keepdims=True)).max(1)
 
 
-def fit(texts: list[str], languages: list[str]) -> Model | None:
-    """Nystrom kernel ridge regression, one against the rest."""
+def fit(texts: list[str | np.ndarray], languages: list[str]) -> Model | None:
+    """Nystrom kernel ridge regression, one against the rest, on texts or their cells."""
     names = sorted(set(languages))
     if not names:
         return None
@@ -91,16 +90,23 @@ def fit(texts: list[str], languages: list[str]) -> Model | None:
 
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model | None:
-    """Fits on at most about ``TRAIN_ROWS`` rows of each language, drawn by a hash of the id among rows not held out."""
+    """Fits on about ``TRAIN_ROWS`` rows of each language at most, drawn by a hash of the id among rows not held out."""
     usable = df.where(~held_out(id_col) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     totals = {r[0]: r[1] for r in usable.groupBy(lang_col).count().collect()}
     if not totals:
         return None
     share = F.create_map(*(F.lit(x) for lang, n in totals.items() for x in (lang, min(1.0, TRAIN_ROWS / n))))
     draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    drawn = usable.where(draw < share[F.col(lang_col)]).select(id_col, F.substring(text_col, 1, TRAIN_CHARS).alias("text"), F.col(lang_col).alias("lang"))
-    rows = sorted((tuple(r) for r in drawn.collect()), key=str)
-    return fit([r[1] for r in rows], [r[2] for r in rows])
+    drawn = usable.where(draw < share[F.col(lang_col)]).select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
+
+    def reduce(batches):
+        # Whole texts are read here; their distinct cells, at most CELLS of them, go to the fit.
+        for batch in batches:
+            held = [np.unique(cells(x)).astype("<u2").tobytes() if x else b"" for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(held, pa.binary()), batch.column(2)], names=["id", "cells", "lang"])
+
+    rows = sorted((tuple(r) for r in narrow(drawn).mapInArrow(reduce, "id string, cells binary, lang string").collect()), key=lambda r: (r[2], r[0], bytes(r[1])))
+    return fit([np.frombuffer(r[1], "<u2").astype(np.int64) for r in rows], [r[2] for r in rows])
 
 
 def identify(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: Model | None = None) -> DataFrame:

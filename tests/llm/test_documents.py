@@ -7,6 +7,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from proseloom.llm import components, decontaminate, jaccard, langid, linededup, quality, textops, toxicity
 
@@ -64,11 +65,13 @@ def test_language_held_out(spark):
 
 
 def test_language_without_letters_or_lessons(spark):
-    df = documents(spark, [(1, None), (2, ""), (3, "12 !?"), (4, "hello")]).selectExpr("*", "cast(null as string) lang")
+    df = documents(spark, [(1, None), (2, ""), (3, "12 !?"), (5, "½ ²"), (6, "Ⅷ①"), (4, "hello"), (7, "wörd " * 40_000)]).selectExpr("*", "cast(null as string) lang")
     assert {r.lang_pred for r in langid.identify(df).collect()} == {"und"}
     model = langid.fit(["der die das und", "the and of to"], ["de", "en"])
     got = {r.doc_id: r.lang_pred for r in langid.identify(df, model=model).collect()}
-    assert got[1] == got[2] == got[3] == "und" and got[4] in ("de", "en")
+    assert {got[i] for i in (1, 2, 3, 5, 6)} == {"und"} and got[4] in ("de", "en") and got[7] in ("de", "en")
+    assert langid.identify(df.where("false"), model=model).count() == langid.identify(df.where("false")).count() == 0
+    assert {r.lang_pred for r in langid.identify(documents(spark).withColumn("lang", F.lit("x"))).where("doc_id = 9").collect()} == {"x"}
 
 
 def test_toxicity_finds_planted_words(spark):
