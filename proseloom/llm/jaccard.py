@@ -354,8 +354,8 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80, id_col
 
     # Equal texts: one row of each goes on.
     rows = settle(docs.select("id", "h1", "h2", F.col("text").rlike(r"[^\x20\x09-\x0D]").alias("worded")), "rows")
-    heads = rows.where("id is not null and worded").groupBy("h1", "h2").agg(F.min("id").alias("head"))
-    copies = settle(rows.join(heads, ["h1", "h2"]).where("id <> head").select("id", "head", "h1", "h2").distinct(), "copies")
+    heads = rows.where("id is not null and worded").groupBy("h1", "h2").agg(F.min("id").alias("head"), F.max("id").alias("last")).where("head < last").drop("last")
+    copies = settle(rows.join(small(heads), ["h1", "h2"]).where("id <> head").select("id", "head", "h1", "h2").distinct(), "copies")
     gone = copies.select("id", "h1", "h2")
     first = docs.join(small(gone), ["id", "h1", "h2"], "left_anti").select("id", "text", "h1", "h2")
 
