@@ -9,6 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from proseloom.sources import shared
 from proseloom.llm import components, decontaminate, jaccard, langid, linededup, quality, textops, toxicity
 
 DATA = "/root/testdata/sf0.01"
@@ -221,12 +222,26 @@ def test_line_dedup_is_exact(spark):
 
 
 def test_line_dedup_by_shuffle_and_on_nothing(spark, monkeypatch):
-    monkeypatch.setattr(linededup, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(shared, "BROADCAST_BYTES", 0)
     rows = [(1, "one two three four five six seven eight\nx"), (2, "y\none two three four five six seven eight")]
     assert {r.doc_id: r.text for r in linededup.dedup_lines(documents(spark, rows)).collect()} == {1: rows[0][1], 2: "y"}
     assert linededup.dedup_lines(documents(spark, [])).count() == 0
 
 
+def test_line_dedup_keeps_rows_of_one_id_apart(spark):
+    shared_line, other = "one two three four five six seven eight", "an innocent second line of more than eight words"
+    rows = [(1, shared_line), (2, f"x\n{shared_line}"), (2, f"{other}\ny"), (3, f"{other}\n{shared_line}\n" + "z " * 50_000), (None, shared_line)]
+    got = sorted((r.doc_id or 0, r.text, r.n_removed) for r in linededup.dedup_lines(documents(spark, rows)).collect())
+    assert got == [(0, shared_line, 0), (1, shared_line, 0), (2, f"{other}\ny", 0), (2, "x", 1), (3, "z " * 50_000, 2)]
+
+
+def test_a_selected_line_is_emitted_once(spark):
+    """Windows of many short lines select few places."""
+    rows = [(i, "\n".join(f"w{i * 1000 + j}" for j in range(400))) for i in range(5)]
+    table = linededup._line_table(documents(spark, rows), "doc_id", "text", 16).selectExpr("size(picks) n", "size(array_distinct(picks)) d").collect()
+    assert all(r.n == r.d and r.n < 400 / 5 for r in table)
+
+
 def test_decontamination(spark):
     item = " ".join(f"word{i}" for i in range(30))
     rows = [(1, f"Before it. {item.upper()}, after"), (2, "nothing here at all"), (3, None), (4, ""), (5, item), (6, " ".join(item.split()[:15])), (7, "three short words"), (8, "short, words THREE"), (9, f"a b {item} c {item}")]
