@@ -89,14 +89,35 @@ def _items(benchmark: DataFrame, item_col: str, text_col: str, percent: int) ->
     return items.withColumn("fingerprint", simhash(F.col("shingles"))).withColumn("keys", numbered(F.col("shingles")))
 
 
+def _short_items(texts: DataFrame, items: DataFrame) -> DataFrame:
+    """Places of items that have fewer words than a shingle: their only shingle, at any place of a text."""
+    short = items.where(F.col("size") < SHINGLE)
+    sizes = [r[0] for r in short.select("size").distinct().collect()]
+    whole = short.select("item_id", "size", F.col("shingles")[0].alias("shingle"))
+
+    def runs(words: Column, k: int) -> Column:
+        one = lambda i: F.struct(F.xxhash64(F.array_join(F.slice(words, i + 1, k), " ")).alias("shingle"), F.lit(k).alias("size"), i.alias("start"))
+        none = F.array().cast("array<struct<shingle: bigint, size: int, start: int>>")
+        return F.when(F.size(words) >= k, F.transform(F.sequence(F.lit(0), F.size(words) - k), one)).otherwise(none)
+
+    def of(words: Column) -> Column:
+        return F.concat(*(runs(words, k) for k in sizes))
+
+    none = whole.select(F.lit(None).cast(texts.schema["id"].dataType).alias("id"), "item_id", F.lit(1.0).alias("similarity"), F.lit(0).alias("distance"), F.lit(0).alias("start")).where("false")
+    if not sizes:
+        return none
+    read = texts.select("id", F.explode(_let(word_list(F.col("text")), of)).alias("w")).select("id", "w.*")
+    return read.join(small(whole), ["shingle", "size"]).select("id", "item_id", F.lit(1.0).alias("similarity"), F.lit(0).alias("distance"), "start")
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Documents with a window that is as similar as ``percent`` / 100 to a benchmark item, and near in SimHash.
 
     Returns, for each document and item, id, item_id, similarity, distance (bits) and start_word of the best window;
-    ties go to the first.  Null and empty texts match nothing; an item of fewer than ``SHINGLE`` words matches only
-    documents of the same words; a document shorter than an item is one window.  Rows of one id count together, equal
-    items are all reported, and other columns are not read.  The benchmark is broadcast behind a count, else joined by
-    shuffles; documents are never shuffled.
+    ties go to the first.  Null and empty texts match nothing; an item of fewer than ``SHINGLE`` words has one shingle and
+    matches windows of just its words; a document shorter than an item is one window.  Rows of one id count together,
+    equal items are all reported, and other columns are not read.  What comes of the benchmark, and the places where
+    windows lie, are broadcast within ``small``'s bound of bytes, else joined by shuffles, of the documents too.
     """
     items = settle(_items(benchmark, item_col, item_text_col, percent), "items")
     spare = F.size("shingles") - F.ceil(F.size("shingles") * F.lit(percent) / 100).cast("int")
@@ -107,12 +128,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     found = read.join(small(anchors), "shingle").select("id", "size", "spare", (F.col("at_doc") - F.col("at")).alias("start"))
     places = settle(found.groupBy("id").agg(F.collect_set(F.struct("size", "spare", "start")).alias("places")), "places")
 
-    again = texts.join(small(places), "id").select("id", "places", shingle_list(word_list(F.col("text"))).alias("shingles"))
     around = F.array_distinct(F.flatten(F.transform("places", lambda p: F.transform(F.sequence(-p["spare"], p["spare"]), lambda k: F.struct(p["size"].alias("size"), (p["start"] + k).alias("start"))))))
-    windows = again.select("id", "shingles", F.explode(around).alias("p"))
-    width = F.greatest(F.lit(1), F.col("p.size") - (SHINGLE - 1))
-    inside = F.greatest(F.lit(0), F.least(F.col("p.start"), F.size("shingles") - width))
-    windows = windows.select("id", inside.alias("start"), F.slice("shingles", inside + 1, width).alias("shingles"))
+
+    def cut(shingles: Column) -> Column:
+        # Windows are cut before they become rows, so that no row carries the whole text.
+        def one(p: Column) -> Column:
+            width = F.greatest(F.lit(1), p["size"] - (SHINGLE - 1))
+            inside = F.greatest(F.lit(0), F.least(p["start"], F.size(shingles) - width))
+            return F.struct(inside.alias("start"), F.slice(shingles, inside + 1, width).alias("shingles"))
+
+        return F.array_distinct(F.transform(around, one))
+
+    again = texts.join(small(places, 16 * F.size("places")), "id")
+    windows = again.select("id", F.explode(_let(shingle_list(word_list(F.col("text"))), cut)).alias("w")).select("id", "w.*")
     windows = windows.withColumn("fingerprint", simhash(F.col("shingles"))).withColumn("keys", numbered(F.col("shingles")))
     probes = windows.select("id", "start", "keys", F.col("fingerprint").alias("f"), F.explode(F.array(*(F.struct(F.lit(k).alias("block"), block(F.col("fingerprint"), k).alias("value")) for k in range(BLOCKS)))).alias("b")).select("id", "start", "keys", "f", "b.*")
     filed = items.select("item_id", F.col("fingerprint").alias("g"), F.explode(F.array(*(F.struct(F.lit(k).alias("block"), block(F.col("fingerprint"), k).alias("base")) for k in range(BLOCKS)))).alias("b"))
@@ -123,7 +151,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT,
     probes, filed = probes.alias("p"), small(filed).alias("i")
     met = (F.col("p.block") == F.col("i.block")) & (F.col("p.value") == F.col("i.value")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS) & (first == F.col("p.block"))
     near = probes.join(filed, met).select("id", "start", "keys", "item_id", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).alias("distance"))
-    sets = small(items.select("item_id", F.col("keys").alias("item_keys")))
+    sets = small(items.select("item_id", F.col("keys").alias("item_keys")), 8 * F.size("item_keys"))
     verified = near.join(sets, "item_id").withColumn("similarity", similarity(F.col("keys"), F.col("item_keys"))).where(F.col("similarity") * 100 >= percent)
+    verified = verified.select("id", "item_id", "similarity", "distance", "start").unionByName(_short_items(texts, items))
     best = verified.groupBy("id", "item_id").agg(F.min_by(F.struct("similarity", "distance", "start"), F.struct(-F.col("similarity"), "start")).alias("best"))
     return best.select(F.col("id").alias(id_col), "item_id", "best.similarity", F.col("best.distance").cast("int").alias("distance"), F.col("best.start").cast("int").alias("start_word"))

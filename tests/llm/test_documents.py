@@ -244,10 +244,11 @@ def test_a_selected_line_is_emitted_once(spark):
 
 def test_decontamination(spark):
     item = " ".join(f"word{i}" for i in range(30))
-    rows = [(1, f"Before it. {item.upper()}, after"), (2, "nothing here at all"), (3, None), (4, ""), (5, item), (6, " ".join(item.split()[:15])), (7, "three short words"), (8, "short, words THREE"), (9, f"a b {item} c {item}")]
+    rows = [(1, f"Before it. {item.upper()}, after"), (2, "nothing here at all"), (3, None), (4, ""), (5, item), (6, " ".join(item.split()[:15])), (7, "three short words"), (8, "short, words THREE"), (9, f"a b {item} c {item}"), (10, "inside: Short words, three. " + "and so on " * 2_000), (5, "nothing"), (5, item)]
     benchmark = spark.createDataFrame([(10, item), (11, "short words three"), (12, None), (13, "")], "item_id long, text string")
     got = {(r.doc_id, r.item_id): (r.similarity, r.distance, r.start_word) for r in decontaminate.contaminated(documents(spark, rows), benchmark).collect()}
-    assert got == {(1, 10): (1.0, 0, 2), (5, 10): (1.0, 0, 0), (8, 11): (1.0, 0, 0), (9, 10): (1.0, 0, 2)}
+    assert got == {(1, 10): (1.0, 0, 2), (5, 10): (1.0, 0, 0), (8, 11): (1.0, 0, 0), (9, 10): (1.0, 0, 2), (10, 11): (1.0, 0, 1)}
+    assert decontaminate.contaminated(documents(spark, []), benchmark).count() == decontaminate.contaminated(documents(spark, rows), benchmark.where("false")).count() == 0
 
 
 def test_decontamination_finds_edited_items(spark):
