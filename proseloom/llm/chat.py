@@ -1,8 +1,10 @@
 """Chat formatting by schema fingerprints, in DataFrame functions only.
 
-A record is a JSON object in any of the layouts of ``MAPPINGS``.  It is parsed once against the union of all fields that
-mappings name; the nested paths that are present, in order, are hashed to its fingerprint, and the fingerprint selects
-the declarative mapping that turns the record into canonical turns (role, text).
+A record is a JSON object.  The nested paths of its own fields, all of them, in order, are hashed to its fingerprint, and
+the fingerprint selects the declarative mapping of ``MAPPINGS`` that turns the record into canonical turns (role, text).
+Fields of ``IGNORED`` say nothing about turns and are left out of the hash.  A record with any other field that its
+mapping does not name has a fingerprint that no mapping has: it gets no turns, and ``unmapped`` lists the paths, so
+nothing of a record is lost without a trace.
 
 Turns are written with ``TURN_OPEN`` role, line break, text, ``TURN_CLOSE``.  Control strings inside roles and texts are
 escaped, so a text can neither open nor close a turn, and reading the output back gives the turns as they were.
@@ -21,7 +23,7 @@ LEARNED = "assistant"
 
 
 class Mapping(NamedTuple):
-    """A layout: turns from a list field (``items``, role and text field), or from single fields in order.
+    """A layout: turns from single fields in order, followed by those of a list field (``items``: field, role, text).
 
     ``fields`` has (role, names); the texts of several names are joined by a blank line.  ``roles`` renames roles.
     """
@@ -32,15 +34,19 @@ class Mapping(NamedTuple):
     roles: dict[str, str] = {}
 
     def paths(self) -> list[str]:
-        if self.items:
-            return [f"{self.items[0]}[].{x}" for x in self.items[1:]]
-        return [name for _, names in self.fields for name in names]
+        listed = [f"{self.items[0]}[].{x}" for x in self.items[1:]] if self.items else []
+        return [name for _, names in self.fields for name in names] + listed
 
 
+_SAID = {"human": "user", "gpt": "assistant"}
+#: Top-level fields about a record, whatever they hold.
+IGNORED = ("id", "source", "dataset", "lang", "language", "metadata", "meta", "tags", "created")
 #: The layouts that are known.
 MAPPINGS = (
     Mapping("messages", items=("messages", "role", "content")),
-    Mapping("conversations", items=("conversations", "from", "value"), roles={"human": "user", "gpt": "assistant"}),
+    Mapping("conversations", items=("conversations", "from", "value"), roles=_SAID),
+    Mapping("system_messages", items=("messages", "role", "content"), fields=(("system", ("system",)),)),
+    Mapping("system_conversations", items=("conversations", "from", "value"), fields=(("system", ("system",)),), roles=_SAID),
     Mapping("prompt_response", fields=(("user", ("prompt",)), ("assistant", ("response",)))),
     Mapping("prompt_completion", fields=(("user", ("prompt",)), ("assistant", ("completion",)))),
     Mapping("system_prompt_response", fields=(("system", ("system",)), ("user", ("prompt",)), ("assistant", ("response",)))),
@@ -61,8 +67,31 @@ def _union_schema(mappings: tuple[Mapping, ...]) -> str:
     return f"struct<{', '.join(parts + [f'`{x}`: string' for x in single])}>"
 
 
+def own_paths(record: Column) -> Column:
+    """The nested paths at which a JSON object has a value, sorted: ``a``, ``a.b``, ``a[].b``, ``a[]``; null for other text.
+
+    Fields below the second level show as their parent's path.
+    """
+    entries = lambda v: F.filter(F.map_entries(v), lambda e: F.schema_of_variant(e["value"]) != "VOID")
+    keys = lambda v: F.transform(entries(v), lambda e: e["key"])
+    cast = lambda v, kind: v.try_cast(kind)
+
+    def of(e: Column) -> Column:
+        kind, name, value = F.schema_of_variant(e["value"]), e["key"], e["value"]
+        listed = F.flatten(F.transform(cast(value, "array<map<string, variant>>"), keys))
+        plain = F.array(F.when(kind.startswith("ARRAY"), F.concat(name, F.lit("[]"))).otherwise(name))
+        return (
+            F.when(kind.startswith("ARRAY<OBJECT<"), F.transform(listed, lambda k: F.concat(name, F.lit("[]."), k)))
+            .when(kind.startswith("OBJECT<"), F.transform(keys(cast(value, "map<string, variant>")), lambda k: F.concat(name, F.lit("."), k)))
+            .otherwise(plain)
+        )
+
+    found = entries(cast(F.try_parse_json(record), "map<string, variant>"))
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(found, lambda e: ~e["key"].isin(*IGNORED)), of))))
+
+
 def _present(parsed: Column, mappings: tuple[Mapping, ...]) -> Column:
-    """The known paths that a record has a value at, in order."""
+    """The known paths that a record has a value at, in order; for records too long to be taken apart."""
     out = []
     for path in sorted({p for m in mappings for p in m.paths()}):
         name, _, inner = path.partition("[].")
@@ -85,22 +114,26 @@ def _turns(parsed: Column, mapping: Mapping) -> Column:
             renamed = reduce(lambda out, pair: F.when(role == pair[0], F.lit(pair[1])).otherwise(out), mapping.roles.items(), role)
             return turn(renamed, x[text_field])
 
-        return F.transform(parsed[name], one)
-    return F.array(*(turn(F.lit(role), F.concat_ws("\n\n", *(F.when(parsed[x] != "", parsed[x]) for x in names))) for role, names in mapping.fields))
+        listed = F.transform(parsed[name], one)
+    single = F.array(*(turn(F.lit(role), F.concat_ws("\n\n", *(F.when(parsed[x] != "", parsed[x]) for x in names))) for role, names in mapping.fields))
+    return F.concat(single, listed) if mapping.items and mapping.fields else listed if mapping.items else single
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Adds fingerprint (of the nested field paths), layout and turns to records of JSON text.
+    """Adds fingerprint (of the record's nested field paths), layout, turns and unmapped to records of JSON text.
 
     Values that are null count as absent.  A record whose fingerprint no mapping has, null or broken JSON included, has
-    a null layout and no turns.
+    a null layout, no turns, and its paths in ``unmapped``, which is empty for others.  Columns of these names are
+    replaced; all others stay.
     """
     parsed = F.from_json(F.col(record_col), _union_schema(mappings))
-    known = records.withColumn("_parsed", parsed).withColumn("fingerprint", _fingerprint_of(_present(F.col("_parsed"), mappings)))
+    known = records.withColumn("_parsed", parsed).withColumn("_paths", F.coalesce(own_paths(F.col(record_col)), _present(F.col("_parsed"), mappings)))
+    known = known.withColumn("fingerprint", _fingerprint_of(F.col("_paths")))
     chosen = [(F.col("fingerprint") == _fingerprint_of(F.array(*(F.lit(p) for p in sorted(m.paths())))), m) for m in mappings]
     layout = reduce(lambda out, x: F.when(x[0], F.lit(x[1].name)).otherwise(out), reversed(chosen), F.lit(None).cast("string"))
     turns = reduce(lambda out, x: F.when(x[0], _turns(F.col("_parsed"), x[1])).otherwise(out), reversed(chosen), F.array().cast("array<struct<role: string, text: string>>"))
-    return known.withColumn("layout", layout).withColumn("turns", turns).drop("_parsed")
+    unmapped = F.when(F.col("layout").isNull(), F.col("_paths")).otherwise(F.array().cast("array<string>"))
+    return known.withColumn("layout", layout).withColumn("turns", turns).withColumn("unmapped", unmapped).drop("_parsed", "_paths")
 
 
 def escape(text: Column, one_line: bool = False) -> Column:

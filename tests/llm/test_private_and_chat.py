@@ -105,6 +105,11 @@ LAYOUTS = [
     (4, '{"conversations":[{"from":"human","value":"q"},{"from":"gpt","value":"<\\\\|x<|"}]}', "conversations", [("user", "q"), ("assistant", "<\\|x<|")]),
     (5, "oops", None, []), (6, None, None, []), (7, '{"messages":[]}', None, []),
     (8, '{"output":"o","instruction":"i"}', "instruction", [("user", "i"), ("assistant", "o")]),
+    (9, '{"prompt":"p","response":"r","history":[["a","b"]]}', None, []), (10, '{"messages":[{"role":"user","content":"x","tool_calls":[{"f":1}]}]}', None, []),
+    (11, '{"system":"s","conversations":[{"from":"human","value":"q"}]}', "system_conversations", [("system", "s"), ("user", "q")]),
+    (12, '{"messages":[{"role":"user","content":"x"}],"system":"s","tags":["t"],"n":null}', "system_messages", [("system", "s"), ("user", "x")]),
+    (13, '{"prompt":"[{\\"messages\\":1}]","completion":"{}"}', "prompt_completion", [("user", '[{"messages":1}]'), ("assistant", "{}")]),
+    (14, '[1]', None, []), (15, '{"prompt":{"text":"p"},"response":"r"}', None, []), (16, '{"prompt":"' + "long " * 100_000 + '","response":""}', "prompt_response", [("user", "long " * 100_000), ("assistant", "")]),
 ]
 
 
@@ -115,7 +120,16 @@ def test_layouts_become_turns_and_come_back(spark):
         r = rows[i]
         assert r.layout == layout and [tuple(t) for t in r.turns] == [tuple(t) for t in r.back] == turns
         assert r.learned == "".join(t for role, t in turns if role == "assistant")
-    assert len({rows[i].fingerprint for i in (1, 2, 3, 4, 8)}) == 5
+    assert len({rows[i].fingerprint for i in (1, 2, 3, 4, 8, 9, 10, 11, 12, 15)}) == 10
+    assert rows[9].unmapped == ["history[]", "prompt", "response"] and rows[10].unmapped == ["messages[].content", "messages[].role", "messages[].tool_calls"]
+    assert rows[15].unmapped == ["prompt.text", "response"] and rows[1].unmapped == []
+
+
+def test_chat_without_rows_and_with_clashing_columns(spark):
+    rows = spark.createDataFrame([("x", '{"prompt":"p","response":"r"}')], "turns string, record string").selectExpr("*", "1 AS fingerprint", "2 AS layout", "3 AS formatted", "4 AS loss_mask", "'kept' AS other")
+    made = chat.format_turns(chat.canonical_turns(rows))
+    assert made.where("false").count() == 0 and made.first().other == "kept" and made.first().layout == "prompt_response"
+    assert chat.records_of_rows(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
 
 
 def test_control_strings_cannot_open_turns(spark):
