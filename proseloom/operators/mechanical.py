@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,7 +24,9 @@ def completed(units: DataFrame) -> DataFrame:
     for name, value in DEFAULTS.items():
         if name not in units.columns:
             units = units.withColumn(name, F.lit(value))
-    return units.withColumn("_seen", text.mask_spans(F.col("text"), F.col("code_spans")) if "code_spans" in units.columns else F.col("text"))
+    units = units.withColumn("_seen", text.mask_spans(F.col("text"), F.col("code_spans")) if "code_spans" in units.columns else F.col("text"))
+    # Lower case as a search that ignores case sees it.
+    return units.withColumn("_low", F.translate(F.lower("_seen"), "ſ", "s"))
 
 
 def eligible(rule: Rule) -> Column:
@@ -49,11 +53,17 @@ def eligible(rule: Rule) -> Column:
     return out
 
 
-def matches(rule: Rule, seen: str = "text") -> Column:
-    """All matches of a rule in order; none where its ``absent`` pattern occurs."""
+def matches(rule: Rule, seen: str = "text", low: str | None = None) -> Column:
+    """All matches of a rule in order; none where its ``absent`` pattern occurs.
+
+    Most units match nothing, and a search is cheaper than an extraction; for phrases, with ``low`` a column of the text
+    in lower case, a look for plain strings is cheaper still.
+    """
     pattern, none = F.lit(pattern_of(rule)), F.array().cast("array<string>")
-    # Most units match nothing: a search is cheaper than an extraction.
-    found = F.when(F.regexp_like(seen, pattern), F.regexp_extract_all(seen, pattern, F.lit(0))).otherwise(none)
+    may = F.regexp_like(seen, pattern)
+    if rule.phrases and low:
+        may = reduce(lambda out, p: out | F.contains(F.col(low), F.lit(p.lower())), rule.phrases, F.lit(False)) & may
+    found = F.when(may, F.regexp_extract_all(seen, pattern, F.lit(0))).otherwise(none)
     return F.when(F.col(seen).rlike(text.portable(rule.absent, rule.flags)), none).otherwise(found) if rule.absent else found
 
 
@@ -63,7 +73,7 @@ def meeting(rules: tuple[Rule, ...], kinds: set[str], roles: set[str]) -> tuple[
 
 
 def _outcome(rule: Rule) -> Column:
-    return F.when(eligible(rule), F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.least).alias("least"), matches(rule, "_seen").alias("found")))
+    return F.when(eligible(rule), F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.least).alias("least"), matches(rule, "_seen", "_low").alias("found")))
 
 
 def _rows(units: DataFrame, made: Column) -> DataFrame:
@@ -87,7 +97,7 @@ def hits(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
 def counts(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """rule_id, eligible, answered and negative of each rule, in one aggregation over units."""
-    fired = lambda r: eligible(r) & (F.size(matches(r, "_seen")) >= r.least)
+    fired = lambda r: eligible(r) & (F.size(matches(r, "_seen", "_low")) >= r.least)
     sums = [F.struct(F.lit(r.id).alias("rule_id"), F.count_if(eligible(r)).alias("eligible"), F.count_if(fired(r)).alias("answered")) for r in rules]
     rows = completed(units).agg(F.array(*sums).alias("rules")).select(F.explode("rules").alias("r")).select("r.*")
     return rows.withColumn("negative", F.col("eligible") - F.col("answered"))

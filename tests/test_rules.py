@@ -181,3 +181,32 @@ def test_stream_judges_each_key_once(spark, tmp_path):
 
 def test_catalogue_ids_are_unique():
     assert len({r.id for r in RULES}) == len(RULES)
+
+
+def test_preconditions_and_masked_code(spark):
+    rule = Rule("x-y", "c", r"\bword\b", kinds=("paragraph", "element"), include=("docs/**",), exclude=("**/README.md",), doc_types=("ui",), roles=("body",), not_in_code=True, not_generated=True)
+    base = {"file": "docs/a.md", "unit_id": "0", "kind": "paragraph", "line": 1, "start": 0, "text": "a word", "doc_type": "ui", "role": "body", "in_code": False, "generated": False, "code_spans": []}
+    changes = [{}, {"file": "docs/README.md"}, {"file": "src/a.md"}, {"file": "http://x", "kind": "element"}, {"kind": "heading"}, {"doc_type": "howto"}, {"role": "cell"}, {"in_code": True}, {"generated": True}, {"code_spans": [(2, 6)]}]
+    rows = [tuple((base | c | {"unit_id": str(i)}).values()) for i, c in enumerate(changes)]
+    units_ = spark.createDataFrame(rows, "file string, unit_id string, kind string, line long, start long, text string, doc_type string, role string, in_code boolean, generated boolean, code_spans array<struct<s: int, e: int>>").withColumn("code_spans", F.expr("transform(code_spans, x -> struct(x.s AS start, x.e AS end))"))
+    assert [r.unit_id for r in mechanical.hits(units_, (rule,)).orderBy("unit_id").collect()] == ["0", "3"]
+    assert tuple(mechanical.counts(units_, (rule,)).first()) == ("x-y", 3, 2, 1)
+
+
+def test_phrases_count_and_ignore_case(spark):
+    rule = Rule("x-y", "c", phrases=("very", "it's", "kind of"), least=2)
+    lines = ["Very very", "very", "every veryx", "IT'S kind of", "it’s Kind of", "ſ very, VERY"]
+    rows = spark.createDataFrame([("f", str(i), "paragraph", 1, 0, t, "ui") for i, t in enumerate(lines)], ["file", "unit_id", "kind", "line", "start", "text", "doc_type"])
+    assert [r.unit_id for r in mechanical.hits(rows, (rule,)).orderBy("unit_id").collect()] == ["0", "3", "5"]
+
+
+def test_suppressed_findings_hide_no_live_one(spark):
+    rows = [("u", "r", "c", 0.9, 1, "act", True), ("u", "s", "c", 0.5, 2, "review", False), ("u", "t", "c", 0.4, 3, "review", False)]
+    df = spark.createDataFrame(rows, ["unit_id", "rule_id", "category", "probability", "seq", "band", "suppressed"])
+    assert sorted((r.rule_id, r.also) for r in reduce.merge_categories(df).collect()) == [("r", []), ("s", ["t"])]
+
+
+def test_runs_without_units_or_unfinished_fail(spark):
+    result = run_lint(spark.createDataFrame([("x.md", "")], "file string, text string"))
+    code = lambda **k: reduce.exit_summary(result.findings, units=result.units, **k).first().exit_code
+    assert (code(), code(strict=False), code(strict=False, complete=False)) == (2, 0, 2)
