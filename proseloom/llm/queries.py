@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseloom.llm import bpe, chat, decontaminate, jaccard, langid, linededup, pii, quality, toxicity
+from proseloom.llm import bpe, chat, decontaminate, jaccard, langid, linededup, packing, periodic, pii, quality, spelling, toxicity
 
 TOKENIZER = "byte_bpe_50k.json"
+PACKING_TOKENIZER = "word_bpe_49k.json"
 #: For the registered query only; a real run takes its key from a secret store.
 PII_KEY = "registered-query"
 
@@ -76,6 +77,29 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path(PACKING_TOKENIZER), capacity=2048, keep_ids=False)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic.periodic_runs(periodic.with_planted_runs(_table(spark, sf_dir, "documents")))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        "start",
+        "length",
+        "period",
+        "exponent_milli",
+        F.sha2(lines, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(spelling.word_counts(_table(spark, sf_dir, "documents"), letters="A-Za-z\u00C0-\u00FF", drop_every=97))
+
+
 _OP10_SQL = """
 WITH said AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -96,7 +120,7 @@ FROM made GROUP BY conv_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_jaccard_join, op4_language_id, op5_quality_rules, op6_decontamination, op7_line_dedup, op8_bpe_round_trip, op9_pii_surrogates, op10_chat_format)}
+    return {f.__name__: f for f in (op1_token_counts, op2_toxicity, op3_jaccard_join, op4_language_id, op5_quality_rules, op6_decontamination, op7_line_dedup, op8_bpe_round_trip, op9_pii_surrogates, op10_chat_format, op11_best_fit_packing, op12_periodic_runs, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
