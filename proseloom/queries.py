@@ -2,35 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from proseloom import markup_queries  # noqa: F401  registers its queries
 from proseloom.functions import globs, stats, text
 from proseloom.operators import evaluation, judge, mechanical, repetition, structure, units
 from proseloom.operators import findings as reduce
 from proseloom.plans.catalogue import RULES, Rule
 from proseloom.plans.lint import run_lint
-
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def _register(sql: str | None = None) -> Callable[[Query], Query]:
-    def keep(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
+from proseloom.registry import QUERIES, SQL, Query
+from proseloom.registry import read as _read
+from proseloom.registry import register as _register
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
     """Documents as files docs/<source>/<id>.md."""
@@ -417,8 +400,8 @@ def nearest_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    return dict(SQL)
