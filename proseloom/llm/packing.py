@@ -10,6 +10,9 @@ counted by Spark, from the ranks inside each task's part.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from bisect import bisect_left, bisect_right, insort
 from collections import defaultdict
@@ -210,32 +213,76 @@ def _places(bins: list[Bins]) -> dict[str, np.ndarray]:
     return dict(zip(("length", "first", "each", "sequence", "offset"), table.T))
 
 
+# How the tokenizers that are known here cut text, and plain words, of which no step but lower case and the
+# cut into letters, digits and signs changes anything.
+_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+_CUT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+_PLAIN = re.compile("[!-~À-ÖØ-öø-ÿ]+").fullmatch
+_PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+").findall
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable ones themselves, the others from 256 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    rest = iter(range(256, 512))
+    return [chr(b if b in shown else next(rest)) for b in range(256)]
+
+
 class _Ids:
-    """Token ids of texts: words between ASCII white space are tokenized once by the library and remembered.
+    """Token ids of texts, as little-endian unsigned 32-bit integers: each word between ASCII white space is tokenized once
+    by the library and remembered.
 
     The tokenizer must drop white space, with no token across it, so that a text's ids are those of its words end to end.
+    Of plain words under known rules only the letters, digits and signs they are cut into go to the library's model.
     """
 
     def __init__(self, path: str):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.ids: list[list[int]] = []
-
-    def __call__(self, text: str) -> np.ndarray:
+        with open(path, encoding="utf-8") as file:
+            rules = json.load(file)
+        steps = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+        known = (rules.get("normalizer") or {}).get("normalizers") == _NORMALIZER and len(steps) == 2
+        known = known and (steps[0].get("pattern"), steps[0].get("behavior"), steps[0].get("invert")) == ({"Regex": _CUT}, "Removed", True)
+        self.plain = known and (steps[1].get("type"), steps[1].get("add_prefix_space"), steps[1].get("use_regex")) == ("ByteLevel", False, False)
+        self.marked = re.compile("|".join(re.escape(t["content"]) for t in rules.get("added_tokens", ())) or "(?!)").search
+        self.letters = {chr(b): letter for b, letter in enumerate(_byte_letters())}
+        self.tokenize = self.tokenizer.model.tokenize
+        self.words: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+
+    def _part(self, part: str) -> bytes:
+        found = self.parts.get(part)
+        if found is None:
+            text = part if part.isascii() else "".join(map(self.letters.__getitem__, part.encode().decode("latin-1")))
+            ids = [t.id for t in self.tokenize(text)]
+            found = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+    def _word(self, word: bytes) -> bytes:
+        text = word.decode()
+        if self.plain:
+            if word.isalpha():
+                return self._part(text.lower())
+            if _PLAIN(text) and not self.marked(text):
+                return b"".join(map(self._part, _PARTS(text.lower())))
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __call__(self, text: str) -> bytes:
         words = text.encode().split()
-        if len(self.number) > KEPT_WORDS:
-            self._clear()
-        fresh = [w for w in dict.fromkeys(words) if w not in self.number]
-        for word, encoded in zip(fresh, self.tokenizer.encode_batch([w.decode() for w in fresh], add_special_tokens=False)):
-            self.number[word] = len(self.ids)
-            self.ids.append(encoded.ids)
-        ids, number = self.ids, self.number
-        return np.array([i for w in words for i in ids[number[w]]], "<u4")
+        if len(self.words) > KEPT_WORDS or len(self.parts) > KEPT_WORDS:
+            self.words, self.parts = {}, {}
+        known = self.words
+        out = [known.get(w) for w in words]
+        if None in out:
+            for i, found in enumerate(out):
+                if found is None:
+                    found = known.get(words[i])
+                    if found is None:
+                        found = known[words[i]] = self._word(words[i])
+                    out[i] = found
+        return b"".join(out)
 
 
 def pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int = 0, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
@@ -248,18 +295,19 @@ def pieces(df: DataFrame, tokenizer_path: str, capacity: int = 2048, end: int =
     names = [id_col, "piece", "start", "length", "ids_crc32", "block", "place", *(["ids"] if keep_ids else [])]
 
     def cut(batches):
-        encode, seen = _Ids(tokenizer_path), defaultdict(count)
+        encode, seen, last = _Ids(tokenizer_path), defaultdict(count), np.array([end], "<u4").tobytes()
         for batch in batches:
             owner, rows, ids = [], [], []
             blocks = batch.column(2).to_pylist()
             for row in range(batch.num_rows):
-                whole = np.append(encode(batch.column(1)[row].as_py() or ""), np.array([end], "<u4"))
-                for piece, start in enumerate(range(0, len(whole), capacity)):
-                    part = whole[start : start + capacity]
+                whole = encode(batch.column(1)[row].as_py() or "") + last
+                for piece, start in enumerate(range(0, len(whole) // 4, capacity)):
+                    part = whole[4 * start : 4 * (start + capacity)]
+                    length = len(part) // 4
                     owner.append(row)
-                    rows.append((piece, start, len(part), zlib.crc32(part.tobytes()), blocks[row], next(seen[len(part)])))
+                    rows.append((piece, start, length, zlib.crc32(part), blocks[row], next(seen[length])))
                     if keep_ids:
-                        ids.append(part.astype(np.int32))
+                        ids.append(np.frombuffer(part, "<u4").astype(np.int32))
             columns = [pa.array(x, pa.int64()) for x in zip(*rows)] if rows else [pa.array([], pa.int64())] * 6
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner, pa.int64())), *columns, *([pa.array(ids, pa.list_(pa.int32()))] if keep_ids else [])], names=names)
 
