@@ -3,7 +3,7 @@
 Full neighbourhood generation: of each word all distinct deletions, replacements and insertions over the letters that
 the vocabulary holds are made, and meet the vocabulary by equality, so that no distance is computed.  Candidates are
 made as hashes, by sums over the word's letters; a bit table of the vocabulary's hashes tells nearly all that are no
-words, and only the rest become strings and are joined.
+words, and only the rest become strings, are shuffled and meet the vocabulary.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from proseloom.llm.textops import mix
 LETTERS = "A-Za-zÀ-ÿ"
 #: Distinct words that a counting task holds before it hands them on.
 HELD_WORDS = 200_000
-#: Bits of the table a word, and the most bits in all (32 MB); beyond it more candidates pass, and the join drops them.
-BITS_A_WORD, MOST_BITS = 16, 1 << 28
+#: Bits of the table a word, those set, and the most bits in all (32 MB); beyond it more candidates pass, and the join drops them.
+BITS_A_WORD, PROBES, MOST_BITS = 24, 4, 1 << 28
 #: Hashes of candidates that a task holds at a time.
 CANDIDATES = 1 << 21
 
@@ -115,21 +115,21 @@ class Hashes:
                 yield ends.ravel(), np.repeat(word[last], len(values)), np.repeat(place[last] + 1, len(values)), np.tile(np.arange(len(values)), len(last)), 0
 
 
-def _bits(hashes: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of each hash in a table of ``size`` bits, a power of two."""
-    mask = np.uint64(size - 1)
-    return (hashes & mask).astype(np.int64), (hashes >> np.uint64(32) & mask).astype(np.int64)
+def _places(hashes: np.ndarray, probe: int, size: int) -> np.ndarray:
+    """The bit of each hash for one of the probes, in a table of ``size`` bits, a power of two."""
+    return ((hashes if not probe else mix(hashes ^ np.uint64(probe))) & np.uint64(size - 1)).astype(np.int64)
 
 
 def _bit_table(vocabulary: DataFrame, n_words: int) -> np.ndarray:
-    """One byte for each eight bits; tasks set the bits of their words and hand on one row a byte, so at most 32 M rows meet."""
+    """The bits of all words; tasks set those of their words and hand on a row for each 64 bits that hold one, at most 4 M in all."""
     size = 1 << min(MOST_BITS.bit_length() - 1, max(10, (BITS_A_WORD * n_words - 1).bit_length()))
 
     def mark(batches):
         for batch in batches:
             words = batch.column(0).to_pylist()
             if words:
-                at = np.unique(np.concatenate(_bits(Hashes(words, np.zeros(0, np.uint32)).words(), size)))
+                hashes = Hashes(words, np.zeros(0, np.uint32)).words()
+                at = np.unique(np.concatenate([_places(hashes, probe, size) for probe in range(PROBES)]))
                 slots, first = np.unique(at >> 6, return_index=True)
                 held = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
                 yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(held.view(np.int64))], names=["slot", "held"])
@@ -141,7 +141,13 @@ def _bit_table(vocabulary: DataFrame, n_words: int) -> np.ndarray:
 
 
 def neighbours(vocabulary: DataFrame) -> DataFrame:
-    """(word, near, near_n): pairs of words of a settled vocabulary (word, n) that are one edit apart, in both orders."""
+    """(word, n_near, near, near_n): of each word of a settled vocabulary (word, n) with near words their number, and the
+    one of largest n, of equal ones the smallest.
+
+    Every edit of a word that may be a word is a row (edit, word, n), and the rows of one edit are all words near to it, as
+    nearness goes both ways: one aggregation by edit, joined to the words that there are, is the whole answer.  An edit has
+    no more rows than a word has edits, so no key is hot.
+    """
     n_words = vocabulary.count()
     letters = vocabulary.select(F.explode(F.array_distinct(F.split("word", ""))).alias("letter")).distinct().where("letter <> ''")
     alphabet = np.array(sorted(ord(r.letter) for r in letters.toLocalIterator()), np.uint32)
@@ -152,24 +158,27 @@ def neighbours(vocabulary: DataFrame) -> DataFrame:
         bits = table.value
         size = len(bits) << 3
         for batch in batches:
-            words = batch.column(0).to_pylist()
+            words, counts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             if not words or not len(alphabet):
                 continue
             for hashes, word, place, letter, out in Hashes(words, alphabet).edits():
-                one, two = _bits(hashes, size)
-                there = np.flatnonzero(bits[one >> 3] >> (one & 7).astype(np.uint8) & bits[two >> 3] >> (two & 7).astype(np.uint8) & 1)
-                made, of = [], []
-                for w, i, a in zip(word[there].tolist(), place[there].tolist(), letter[there].tolist()):
+                there = np.arange(len(hashes))
+                for probe in range(PROBES):
+                    at = _places(hashes if not probe else hashes[there], probe, size)
+                    there = there[(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)]
+                made, of = [], word[there].tolist()
+                for w, i, a in zip(of, place[there].tolist(), letter[there].tolist()):
                     text = words[w]
                     made.append(text[:i] + (chr(alphabet[a]) if a >= 0 else "") + text[i + out :])
-                    of.append(text)
                 if made:
-                    yield pa.RecordBatch.from_arrays([pa.array(of, pa.string()), pa.array(made, pa.string())], names=["word", "near"])
+                    yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.array([words[w] for w in of], pa.string()), pa.array([counts[w] for w in of], pa.int64())], names=["word", "near", "near_n"])
 
     # Words are dealt out anew: a vocabulary of a few files would keep few tasks busy.
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    candidates = narrow(vocabulary.select("word").repartition(tasks, "word")).mapInArrow(emit, "word string, near string")
-    return candidates.join(small(vocabulary.select(F.col("word").alias("near"), F.col("n").alias("near_n"))), "near").select("word", "near", "near_n")
+    candidates = narrow(vocabulary.select("word", "n").repartition(tasks, "word")).mapInArrow(emit, "word string, near string, near_n long")
+    best = F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near")))
+    found = candidates.groupBy("word").agg(F.count("*").alias("n_near"), best.alias("b")).select("word", "n_near", F.col("b.near").alias("near"), (-F.col("b.less")).alias("near_n"))
+    return found.join(vocabulary.select("word"), "word", "left_semi")
 
 
 def _roots(forms: DataFrame) -> DataFrame:
@@ -193,9 +202,7 @@ def spelling_groups(counts: DataFrame) -> DataFrame:
     taken as distinct and not null; an empty table gives none.  A chain doubles n at each step, so it is short.
     """
     vocabulary = settle(counts.select("word", F.col("n").cast("long").alias("n")), "vocabulary")
-    best = F.min(F.struct(-F.col("near_n"), F.col("near")))
-    near = neighbours(vocabulary).groupBy("word").agg(F.count("*").alias("n_near"), best.alias("b")).select("word", "n_near", F.col("b.near").alias("near"), (-F.col("b.col1")).alias("near_n"))
-    joined = vocabulary.join(near, "word", "left")
+    joined = vocabulary.join(neighbours(vocabulary), "word", "left")
     held = F.col("near_n") >= 2 * F.col("n")
     made = settle(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(held, F.col("near")).alias("form"), F.when(held, F.col("near_n")).alias("form_n")), "forms")
     drop_settled(vocabulary)
