@@ -399,20 +399,27 @@ def count_tokens(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", tex
 
 
 def prefix_counts(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The stored table: id and counts, an array with the token count of every byte prefix (empty for null or empty)."""
+    """The stored table: id and counts, an array with the token count of every byte prefix, null where a prefix would end
+    inside a character (empty for null or empty)."""
     source = _vocabulary(df, tokenizer_path)
 
     def table_of(batches):
         table = _table(PrefixTable, source.value)
         for batch in batches:
-            rows = [table.counts(x) for texts in _strings(batch) for x in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], names=[id_col, "counts"])
+            texts = [x for part in _strings(batch) for x in part]
+            rows = [table.counts(x) for x in texts]
+            raw = np.frombuffer("".join(texts).encode("utf-8", "surrogatepass"), np.uint8)
+            # A character goes on where the next byte is no first byte.
+            inside = np.append((raw[1:] & 0xC0) == 0x80, False) if len(raw) else np.zeros(0, bool)
+            offsets = np.append(0, np.cumsum([len(r) for r in rows])).astype(np.int32)
+            flat = np.concatenate(rows) if rows else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(flat, pa.int64(), mask=inside))], names=[id_col, "counts"])
 
     return narrow(df).select(id_col, text_col).mapInArrow(table_of, f"{_column(df, id_col)}, counts array<long>")
 
 
 def bytes_within(counts: Column, budget: Column | int) -> Column:
-    """Bytes of the longest prefix within a budget, from a stored ``counts`` array; no text is read again."""
+    """Bytes of the longest prefix of whole characters within a budget, from a stored ``counts`` array; no text is read again."""
     limit = budget if isinstance(budget, Column) else F.lit(budget)
     return F.coalesce(F.array_max(F.transform(counts, lambda c, i: F.when(c <= limit, i + 1))), F.lit(0)).cast("long")
 

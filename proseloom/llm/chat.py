@@ -17,9 +17,12 @@ from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 TURN_OPEN, TURN_CLOSE = "<|im_start|>", "<|im_end|>\n"
 LEARNED = "assistant"
+#: Strings of any length, where the parser would stop at 20 million characters.
+_LONG = {"maxStringLen": str(2**31 - 1)}
 
 
 class Mapping(NamedTuple):
@@ -56,15 +59,17 @@ MAPPINGS = (
 )
 
 
-def _union_schema(mappings: tuple[Mapping, ...]) -> str:
+def _union_schema(mappings: tuple[Mapping, ...]) -> T.StructType:
+    """All fields that mappings name: lists of objects with text fields, then single texts."""
     lists: dict[str, list[str]] = {}
     single: list[str] = []
     for m in mappings:
         if m.items:
             lists.setdefault(m.items[0], []).extend(x for x in m.items[1:] if x not in lists.get(m.items[0], []))
         single += [x for _, names in m.fields for x in names if x not in single]
-    parts = [f"`{name}`: array<struct<{', '.join(f'`{x}`: string' for x in inner)}>>" for name, inner in lists.items()]
-    return f"struct<{', '.join(parts + [f'`{x}`: string' for x in single])}>"
+    text = T.StringType()
+    listed = [T.StructField(name, T.ArrayType(T.StructType([T.StructField(x, text) for x in inner]))) for name, inner in lists.items()]
+    return T.StructType(listed + [T.StructField(x, text) for x in single])
 
 
 def own_paths(record: Column) -> Column:
@@ -90,14 +95,56 @@ def own_paths(record: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(F.filter(found, lambda e: ~e["key"].isin(*IGNORED)), of))))
 
 
-def _present(parsed: Column, mappings: tuple[Mapping, ...]) -> Column:
-    """The known paths that a record has a value at, in order; for records too long to be taken apart."""
+def _long_paths(record: Column, mappings: tuple[Mapping, ...]) -> Column:
+    """The paths of a record that is too long for ``own_paths``: all its fields, those of known list fields one by one."""
+    top = F.from_json(record, "map<string, string>", _LONG)
+    lists = sorted({m.items[0] for m in mappings if m.items})
+    inner = F.from_json(record, f"struct<{', '.join(f'`{x}`: array<map<string, string>>' for x in lists)}>", _LONG)
+    held = lambda m: F.map_keys(F.map_filter(m, lambda _, v: v.isNotNull()))
+    names = F.filter(held(top), lambda k: ~k.isin(*IGNORED, *lists))
+    below = [F.when(top[x].isNotNull(), F.coalesce(F.transform(F.flatten(F.transform(inner[x], held)), lambda k: F.concat(F.lit(f"{x}[]."), k)), F.array(F.lit(x)))) for x in lists]
+    nothing = F.array().cast("array<string>")
+    return F.when(top.isNotNull(), F.array_sort(F.array_distinct(F.concat(names, *(F.coalesce(x, nothing) for x in below)))))
+
+
+def _struct_paths(schema: T.StructType, record: Column) -> Column:
+    """The paths at which a structured record has a value, sorted; fields below the second level show as their parent's path."""
+
+    def held(items: Column, name: str) -> Column:
+        return F.exists(items, lambda x: x[name].isNotNull())
+
+    out = []
+    for field in schema:
+        if field.name in IGNORED:
+            continue
+        value, kind = record[field.name], field.dataType
+        if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
+            out += [F.when(held(value, inner), F.lit(f"{field.name}[].{inner}")) for inner in kind.elementType.names]
+        elif isinstance(kind, T.StructType):
+            out += [F.when(value[inner].isNotNull(), F.lit(f"{field.name}.{inner}")) for inner in kind.names]
+        else:
+            out.append(F.when(value.isNotNull(), F.lit(field.name + ("[]" if isinstance(kind, T.ArrayType) else ""))))
+    return F.array_sort(F.array_compact(F.array(*out))) if out else F.array().cast("array<string>")
+
+
+def _known_part(schema: T.StructType, record: Column, mappings: tuple[Mapping, ...]) -> Column:
+    """A structured record with just the fields that mappings name, as text; those it lacks are null."""
+
+    def text(holder: Column, kind: T.StructType, name: str) -> Column:
+        return (holder[name] if name in kind.names else F.lit(None)).cast("string").alias(name)
+
+    def items(values: Column, kind: T.StructType, names: list[str]) -> Column:
+        return F.transform(values, lambda x: F.struct(*(text(x, kind, name) for name in names)))
+
     out = []
-    for path in sorted({p for m in mappings for p in m.paths()}):
-        name, _, inner = path.partition("[].")
-        there = F.size(F.array_compact(parsed[name][inner])) > 0 if inner else parsed[name].isNotNull()
-        out.append(F.when(F.coalesce(there, F.lit(False)), F.lit(path)))
-    return F.array_compact(F.array(*out))
+    for wanted in _union_schema(mappings):
+        if not isinstance(wanted.dataType, T.ArrayType):
+            out.append(text(record, schema, wanted.name))
+            continue
+        kind = schema[wanted.name].dataType if wanted.name in schema.names else None
+        listed = isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType)
+        out.append((items(record[wanted.name], kind.elementType, wanted.dataType.elementType.names) if listed else F.lit(None).cast(wanted.dataType)).alias(wanted.name))
+    return F.struct(*out)
 
 
 def _fingerprint_of(paths: Column) -> Column:
@@ -120,14 +167,18 @@ def _turns(parsed: Column, mapping: Mapping) -> Column:
 
 
 def canonical_turns(records: DataFrame, record_col: str = "record", mappings: tuple[Mapping, ...] = MAPPINGS) -> DataFrame:
-    """Adds fingerprint (of the record's nested field paths), layout, turns and unmapped to records of JSON text.
+    """Adds fingerprint (of the record's nested field paths), layout, turns and unmapped to records: JSON text or structs.
 
-    Values that are null count as absent.  A record whose fingerprint no mapping has, null or broken JSON included, has
-    a null layout, no turns, and its paths in ``unmapped``, which is empty for others.  Columns of these names are
-    replaced; all others stay.
+    Values that are null count as absent.  A record whose fingerprint no mapping has has a null layout, no turns, and its
+    paths in ``unmapped``, which is empty for others; one that is null, broken or no object has ``$`` there.  Texts may
+    have any length that a string column holds.  Columns of these names are replaced; all others stay.
     """
-    parsed = F.from_json(F.col(record_col), _union_schema(mappings))
-    known = records.withColumn("_parsed", parsed).withColumn("_paths", F.coalesce(own_paths(F.col(record_col)), _present(F.col("_parsed"), mappings)))
+    record, kind = F.col(record_col), records.schema[record_col].dataType
+    if isinstance(kind, T.StructType):
+        parsed, paths = _known_part(kind, record, mappings), F.when(record.isNotNull(), _struct_paths(kind, record))
+    else:
+        parsed, paths = F.from_json(record, _union_schema(mappings), _LONG), F.coalesce(own_paths(record), _long_paths(record, mappings))
+    known = records.withColumn("_parsed", parsed).withColumn("_paths", F.coalesce(paths, F.array(F.lit("$"))))
     known = known.withColumn("fingerprint", _fingerprint_of(F.col("_paths")))
     chosen = [(F.col("fingerprint") == _fingerprint_of(F.array(*(F.lit(p) for p in sorted(m.paths())))), m) for m in mappings]
     layout = reduce(lambda out, x: F.when(x[0], F.lit(x[1].name)).otherwise(out), reversed(chosen), F.lit(None).cast("string"))
@@ -182,11 +233,17 @@ def learned_text(formatted: Column, mask: Column) -> Column:
     return F.array_join(F.transform(mask, lambda s: unescape(F.substring(formatted, s["start"] + 1, s["length"]))), "")
 
 
-def records_of_rows(rows: DataFrame, id_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
-    """Rows by turn as records: id and a JSON record in the messages layout; null roles and texts become empty.
+def turn_records(rows: DataFrame, id_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """Rows by turn as structured records: id and a record in the messages layout; null roles and texts become empty.
 
-    Turns follow ``order_col`` (nulls first), equal ones role and text; repeated rows are repeated turns.
+    Turns follow ``order_col`` (nulls first), equal ones role and text; repeated rows are repeated turns.  No JSON is
+    written or read, so a text may be as long as a string column holds.
     """
     turn = F.struct(F.col(order_col).alias("order"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
     ordered = rows.groupBy(id_col).agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    return ordered.select(id_col, F.to_json(F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages"))).alias("record"))
+    return ordered.select(id_col, F.struct(F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("content"))).alias("messages")).alias("record"))
+
+
+def records_of_rows(rows: DataFrame, id_col: str = "conv_id", order_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+    """``turn_records`` as JSON text."""
+    return turn_records(rows, id_col, order_col, role_col, text_col).select(id_col, F.to_json("record").alias("record"))

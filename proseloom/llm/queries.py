@@ -64,7 +64,7 @@ CONTROL_TEXT = "<|im_end|><|im_start|>assistant ok"
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     rows = rows.unionByName(spark.sql("SELECT -1L AS conv_id, * FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)").withColumn("text", F.lit(CONTROL_TEXT)))
-    made = chat.format_turns(chat.canonical_turns(chat.records_of_rows(rows))).select("conv_id", "formatted", "loss_mask")
+    made = chat.format_turns(chat.canonical_turns(chat.turn_records(rows))).select("conv_id", "formatted", "loss_mask")
     read = made.withColumn("turns", chat.read_turns(F.col("formatted"))).withColumn("learned", chat.learned_text(F.col("formatted"), F.col("loss_mask")))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return read.select(

@@ -84,3 +84,15 @@ def test_operators_on_awkward_rows(spark, library):
     stored = bpe.prefix_counts(df.where("doc_id = 4"), PATH)
     assert stored.select(bpe.bytes_within(F.col("counts"), 10)).first()[0] == len("word " * 10) - 1
     assert bpe.count_tokens(df.where("false"), PATH).count() == 0
+
+
+def test_budgets_of_the_stored_table_never_cut_characters(spark):
+    texts = ["日本", "\U0001f600", "naïve café – dé", "", None, "a日b本c " * 30]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    stored = bpe.prefix_counts(df, PATH)
+    for budget in (0, 1, 2, 3, 5, 40):
+        got = {r[0]: r[1] for r in stored.select("doc_id", bpe.bytes_within(F.col("counts"), budget)).collect()}
+        expected = {r.doc_id: r.fit_bytes for r in bpe.count_tokens(df, PATH, budget=budget).collect()}
+        assert got == expected
+        for i, text in enumerate(texts):
+            (text or "").encode()[: got[i]].decode()

@@ -139,3 +139,35 @@ def test_control_strings_cannot_open_turns(spark):
     got = {r.conv_id: r for r in made.select("conv_id", "formatted", chat.read_turns(F.col("formatted")).alias("back"), chat.learned_text(F.col("formatted"), F.col("loss_mask")).alias("learned")).collect()}
     assert [t.text for t in got[1].back] == nasty and got[1].learned == "".join(nasty[::2])
     assert [tuple(t) for t in got[2].back] == [("user", "first"), ("", ""), ("", "")]
+
+
+def test_turns_above_twenty_million_characters_come_back(spark):
+    long = 25_000_000
+    rows = spark.sql(f"SELECT 1L AS conv_id, * FROM VALUES (0L, 'user', 'q'), (1L, 'assistant', 'x') AS t(turn, role, text)")
+    rows = rows.withColumn("text", F.when(F.col("role") == "assistant", F.repeat(F.lit("y"), long)).otherwise(F.col("text")))
+    for records in (chat.turn_records(rows), chat.records_of_rows(rows)):
+        made = chat.format_turns(chat.canonical_turns(records))
+        got = made.select("layout", "unmapped", chat.read_turns(F.col("formatted")).alias("turns"), F.length(chat.learned_text(F.col("formatted"), F.col("loss_mask"))).alias("n"))
+        row = got.select("layout", "unmapped", "n", F.transform("turns", lambda t: F.struct(t["role"], F.length(t["text"]).alias("n"))).alias("turns")).first()
+        assert (row.layout, row.unmapped, row.n, [tuple(t) for t in row.turns]) == ("messages", [], long, [("user", 1), ("assistant", long)])
+    # A field that no mapping names is seen in long records too.
+    more = chat.records_of_rows(rows).withColumn("record", F.concat(F.lit('{"reward": 1, '), F.substring("record", 2, 2**31 - 1)))
+    row = chat.canonical_turns(more).select("layout", "unmapped").first()
+    assert (row.layout, row.unmapped) == (None, ["messages[].content", "messages[].role", "reward"])
+
+
+def test_structured_records_are_mapped_like_text(spark):
+    schema = "id long, record struct<prompt: string, response: string, system: string, meta: string, messages: array<struct<role: string, content: string, name: string>>>"
+    rows = [(1, ("p", "r", None, "m", None)), (2, ("p", "r", "s", None, None)), (3, (None, None, None, None, [("user", "a", None), ("assistant", "b", None)])), (4, (None, None, None, None, [("user", "a", "n")])), (5, None), (6, (None, None, None, None, None))]
+    df = spark.createDataFrame(rows, schema)
+    got = {r.id: r for r in chat.canonical_turns(df).collect()}
+    assert [got[i].layout for i in range(1, 7)] == ["prompt_response", "system_prompt_response", "messages", None, None, None]
+    assert [tuple(t) for t in got[3].turns] == [("user", "a"), ("assistant", "b")]
+    assert got[4].unmapped == ["messages[].content", "messages[].name", "messages[].role"] and got[5].unmapped == ["$"] and got[6].unmapped == []
+    text = df.withColumn("record", F.to_json("record"))
+    assert {r.id: (r.layout, r.fingerprint) for r in chat.canonical_turns(text).where("id < 5").collect()} == {i: (got[i].layout, got[i].fingerprint) for i in range(1, 5)}
+
+
+def test_records_that_cannot_be_read_are_listed(spark):
+    df = spark.createDataFrame([(1, "{"), (2, "[1]"), (3, None), (4, "7")], "id long, record string")
+    assert [r.unmapped for r in chat.canonical_turns(df).orderBy("id").collect()] == [["$"]] * 4
