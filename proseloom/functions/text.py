@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -19,6 +21,14 @@ PICTOGRAPHIC = (
 )
 
 
+def _class_end(body: str, i: int) -> int:
+    """Where the character class that begins at i ends."""
+    i += 1
+    while body[i] != "]":
+        i += 2 if body[i] == "\\" else 1
+    return i
+
+
 def _alternatives(body: str) -> list[str]:
     """A pattern cut at its outermost bars."""
     out, depth, at, i = [], 0, 0, 0
@@ -27,7 +37,7 @@ def _alternatives(body: str) -> list[str]:
         if c == "\\":
             i += 1
         elif c == "[":
-            i = body.index("]", i + 2)
+            i = _class_end(body, i)
         elif c == "|" and not depth:
             out.append(body[at:i])
             at = i + 1
@@ -44,7 +54,7 @@ def _close(body: str) -> int:
         if body[i] == "\\":
             i += 1
         elif body[i] == "[":
-            i = body.index("]", i + 2)
+            i = _class_end(body, i)
         else:
             depth += (body[i] == "(") - (body[i] == ")")
             if not depth:
@@ -71,6 +81,7 @@ def portable(pattern: str, flags: str = "u") -> str:
 
     A border before letters looks at the next and the last character only, which passes most places at once.
     """
+    pattern = _java_classes(pattern)
     parts = pattern.split(r"\b")
     java = parts[0]
     for i, part in enumerate(parts[1:], 1):
@@ -92,13 +103,33 @@ def _balanced(part: str) -> bool:
         if part[i] == "\\":
             i += 1
         elif part[i] == "[":
-            i = part.index("]", i + 2)
+            i = _class_end(part, i)
         else:
             depth += (part[i] == "(") - (part[i] == ")")
         i += 1
     return not depth
 
 
+def _java_classes(pattern: str) -> str:
+    """Code points and character classes as Java writes them."""
+    pattern = re.sub(r"\\u\{([0-9A-Fa-f]+)\}", r"\\x{\1}", pattern)
+    out, i = [], 0
+    while i < len(pattern):
+        if pattern[i] == "\\":
+            out.append(pattern[i : i + 2])
+            i += 2
+        elif pattern[i] == "[":
+            end = _class_end(pattern, i)
+            inner = pattern[i + 1 : end]
+            # A bracket or two ampersands inside a class are letters to a rule, operators to Java.
+            out.append("[" + re.sub(r"(?<!\\)((?:\\\\)*)(\[|&(?=&))", r"\1\\\2", inner) + "]")
+            i = end + 1
+        else:
+            out.append(pattern[i])
+            i += 1
+    return "".join(out)
+
+
 def phrase_pattern(phrases: list[str]) -> str:
     """Any of the phrases, whatever their case, not inside longer words."""
     quoted = "|".join(r"\Q" + p + r"\E" for p in phrases)

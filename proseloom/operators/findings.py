@@ -21,8 +21,8 @@ def _rank(column: str, ranks: dict[str, int]):
 
 def rule_table(spark, rules: tuple[Rule, ...]) -> DataFrame:
     """The catalogue as a dimension table; its size is the catalogue's."""
-    rows = [(r.id, r.category, r.area, r.severity, r.review, r.act, r.review_only) for r in rules]
-    return spark.createDataFrame(rows, "rule_id string, category string, domain string, severity string, review double, act double, review_only boolean")
+    rows = [(r.id, r.category, r.area, r.severity, r.review, r.act, r.review_only, r.tier) for r in rules]
+    return spark.createDataFrame(rows, "rule_id string, category string, domain string, severity string, review double, act double, review_only boolean, tier string")
 
 
 def findings(fired: DataFrame, rules: DataFrame, probability: str = "probability") -> DataFrame:
@@ -95,6 +95,15 @@ def exit_summary(found: DataFrame, fail_on: str = "minor", units: DataFrame | No
     return found.agg(F.count("*").alias("findings"), failing.alias("failing")).withColumn("exit_code", code)
 
 
+def _report() -> list:
+    return ["line", _rank("band", BAND_RANK), _rank("severity", SEVERITY_RANK), F.desc("probability"), "rule_id", "unit_id"]
+
+
 def ordered(found: DataFrame) -> DataFrame:
-    """Findings as a report lists them: by file, line, column, rule and unit."""
-    return found.orderBy(*(c for c in ("file", "line", "column", "rule_id", "unit_id") if c in found.columns))
+    """Findings as a report lists them: by file, line, band, severity, falling probability; equal ones by rule and unit."""
+    return found.orderBy("file", *_report())
+
+
+def places(found: DataFrame) -> DataFrame:
+    """Adds place, from 1, of each finding in its file's part of the report; files are sorted apart from each other."""
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("file").orderBy(*_report())))

@@ -1,69 +1,99 @@
-"""Rules compiled to columns and evaluated in one projection over units."""
+"""Rules compiled to columns over units: one pass tells which can match, and only those are searched for."""
 
 from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from proseloom.functions import globs, text
+from proseloom.functions.literals import Prefilter, without_literals
 from proseloom.plans.catalogue import Rule
 
 #: What a unit is taken to have where its table lacks the column.
 DEFAULTS = {"role": "unknown", "in_code": False, "generated": False, "own_quotes": False}
 _EVERYWHERE = ("**", "**/*")
+#: Texts that the prefilter holds as Python strings at a time.
+_SLICE = 1024
 
 
 def pattern_of(rule: Rule) -> str:
     return text.phrase_pattern(list(rule.phrases)) if rule.phrases else text.portable(rule.pattern, rule.flags)
 
 
-def completed(units: DataFrame) -> DataFrame:
-    """Units with every column that a precondition reads, and ``_seen``: the text with spaces over its code spans."""
-    for name, value in DEFAULTS.items():
-        if name not in units.columns:
-            units = units.withColumn(name, F.lit(value))
-    units = units.withColumn("_seen", text.mask_spans(F.col("text"), F.col("code_spans")) if "code_spans" in units.columns else F.col("text"))
-    # Lower case as a search that ignores case sees it.
-    return units.withColumn("_low", F.translate(F.lower("_seen"), "ſ", "s"))
-
-
-def eligible(rule: Rule) -> Column:
-    """Whether a unit meets a rule's kind, path and preconditions; cheap tests first."""
-    out = F.col("kind").isin(*rule.kinds)
-    if rule.doc_types:
-        out &= F.col("doc_type").isin(*rule.doc_types)
-    if rule.roles:
-        out &= F.col("role").isin(*rule.roles)
-    if rule.not_in_code:
+def searched(rule: Rule) -> bool:
+    return bool(rule.pattern or rule.phrases)
+
+
+def decided(rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
+    """The rules that their pattern decides; the others ask a question."""
+    return tuple(r for r in rules if r.tier == "mechanical")
+
+
+def _scope(rule: Rule) -> tuple:
+    return rule.kinds, *rule.scope
+
+
+def _demands(rule: Rule) -> tuple:
+    return rule.doc_types, rule.roles, rule.not_in_code, rule.not_generated, rule.own_quotes, rule.min_words
+
+
+def scope_number(rule: Rule, rules: tuple[Rule, ...]) -> int:
+    return list(dict.fromkeys(map(_scope, rules))).index(_scope(rule))
+
+
+def demand_number(rule: Rule, rules: tuple[Rule, ...]) -> int:
+    return list(dict.fromkeys(map(_demands, rules))).index(_demands(rule))
+
+
+def _in_scope(kinds: tuple[str, ...], include: tuple[str, ...], exclude: tuple[str, ...]) -> Column:
+    """Whether a unit has a kind and a file that a rule is about; elements of rendered pages have an address, not a path."""
+    inside = F.lit(True) if set(include) & set(_EVERYWHERE) else globs.matches_any(F.col("file"), list(include))
+    return F.col("kind").isin(*kinds) & ((F.col("kind") == "element") | (inside & ~globs.matches_any(F.col("file"), list(exclude))))
+
+
+def _meets(doc_types: tuple[str, ...], roles: tuple[str, ...], not_in_code: bool, not_generated: bool, own_quotes: bool, min_words: int) -> Column:
+    """Whether a unit meets a rule's preconditions; cheap tests first."""
+    out = F.lit(True)
+    if doc_types:
+        out &= F.col("doc_type").isin(*doc_types)
+    if roles:
+        out &= F.col("role").isin(*roles)
+    if not_in_code:
         out &= ~F.col("in_code")
-    if rule.not_generated:
+    if not_generated:
         out &= ~F.col("generated")
-    # Elements of rendered pages have an address, not a path.
-    path = F.lit(True) if set(rule.include) & set(_EVERYWHERE) else globs.matches_any(F.col("file"), list(rule.include))
-    if rule.exclude:
-        path &= ~globs.matches_any(F.col("file"), list(rule.exclude))
-    if rule.exclude or not set(rule.include) & set(_EVERYWHERE):
-        out &= (F.col("kind") == "element") | path
-    if not rule.own_quotes:
+    if not own_quotes:
         out &= ~(F.col("own_quotes") & F.col("kind").isin("paragraph", "heading") & F.col("file").rlike(r"\.mdx?$"))
-    if rule.min_words:
-        out &= text.prose_words(F.col("text")) >= rule.min_words
-    return out
+    if min_words:
+        out &= text.prose_words(F.col("text")) >= min_words
+    return F.coalesce(out, F.lit(False))
+
+
+def completed(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Units with every column that a condition reads, and what many rules share, worked out once: ``_seen``, the text with
+    spaces over its code spans; ``_scopes`` and ``_demands``, which of the rules' distinct scopes and preconditions hold."""
+    for name, value in DEFAULTS.items():
+        if name not in units.columns:
+            units = units.withColumn(name, F.lit(value))
+    seen = F.col("text") if "code_spans" not in units.columns else F.when(F.size("code_spans") > 0, text.mask_spans(F.col("text"), F.col("code_spans"))).otherwise(F.col("text"))
+    none = F.array().cast("array<boolean>")
+    scopes, demands = dict.fromkeys(map(_scope, rules)), dict.fromkeys(map(_demands, rules))
+    return units.withColumns({"_seen": seen, "_scopes": F.array(*(_in_scope(*x) for x in scopes)) if rules else none, "_demands": F.array(*(_meets(*x) for x in demands)) if rules else none})
 
 
-def matches(rule: Rule, seen: str = "text", low: str | None = None) -> Column:
-    """All matches of a rule in order; none where its ``absent`` pattern occurs.
+def eligible(rule: Rule, rules: tuple[Rule, ...]) -> Column:
+    """Whether a unit of ``completed(units, rules)`` is in a rule's scope and meets its preconditions."""
+    return F.get("_scopes", F.lit(scope_number(rule, rules))) & F.get("_demands", F.lit(demand_number(rule, rules)))
 
-    Most units match nothing, and a search is cheaper than an extraction; for phrases, with ``low`` a column of the text
-    in lower case, a look for plain strings is cheaper still.
-    """
-    pattern, none = F.lit(pattern_of(rule)), F.array().cast("array<string>")
-    may = F.regexp_like(seen, pattern)
-    if rule.phrases and low:
-        may = reduce(lambda out, p: out | F.contains(F.col(low), F.lit(p.lower())), rule.phrases, F.lit(False)) & may
-    found = F.when(may, F.regexp_extract_all(seen, pattern, F.lit(0))).otherwise(none)
+
+def matches(rule: Rule, seen: str = "text") -> Column:
+    """All matches of a rule in order; none where its ``absent`` pattern occurs."""
+    none = F.array().cast("array<string>")
+    found = F.regexp_extract_all(seen, F.lit(pattern_of(rule)), F.lit(0))
     return F.when(F.col(seen).rlike(text.portable(rule.absent, rule.flags)), none).otherwise(found) if rule.absent else found
 
 
@@ -72,32 +102,79 @@ def meeting(rules: tuple[Rule, ...], kinds: set[str], roles: set[str]) -> tuple[
     return tuple(r for r in rules if kinds & set(r.kinds) and (not r.roles or roles & set(r.roles)))
 
 
-def _outcome(rule: Rule) -> Column:
-    return F.when(eligible(rule), F.struct(F.lit(rule.id).alias("rule_id"), F.lit(rule.least).alias("least"), matches(rule, "_seen", "_low").alias("found")))
+def _nominated(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Adds ``_may``, the numbers of the rules whose literals a unit's text holds, and ``_code``, a script's text without
+    its strings and comments, where a rule needs it: one pass of one automaton for all rules."""
+    searches = [(r.pattern, r.phrases) for r in rules]
+    code = any(r.code_only for r in rules)
+    columns = units.columns
+    seen, kind = columns.index("_seen"), columns.index("kind")
 
+    def find(batches):
+        may = Prefilter(searches)
+        for batch in batches:
+            for at in range(0, batch.num_rows, _SLICE):
+                part = batch.slice(at, _SLICE)
+                texts = part.column(seen).to_pylist()
+                arrays = [*part.columns, pa.array([may(t or "") for t in texts], pa.list_(pa.int32()))]
+                if code:
+                    arrays.append(pa.array([without_literals(t) if k == "source" and t else t for t, k in zip(texts, part.column(kind).to_pylist())], pa.string()))
+                yield pa.RecordBatch.from_arrays(arrays, names=[*columns, "_may", *(["_code"] if code else [])])
 
-def _rows(units: DataFrame, made: Column) -> DataFrame:
-    rows = completed(units).withColumn("o", F.explode(made))
-    shown = F.transform(F.slice("o.found", 1, 3), lambda m: F.substring(text.normalise(m), 1, 80))
-    return rows.select(*units.columns, "o.rule_id", F.size("o.found").alias("n_matches"), (F.size("o.found") >= F.col("o.least")).alias("fired"), shown.alias("evidence"))
+    schema = T.StructType([*units.schema.fields, T.StructField("_may", T.ArrayType(T.IntegerType()))])
+    return units.mapInArrow(find, schema.add("_code", T.StringType()) if code else schema)
 
 
-def outcomes(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """A row for each unit and eligible rule: rule_id, n_matches, fired, evidence (first three matches, 80 characters).
+def _by_rule(number: Column, rules: tuple[Rule, ...], of) -> Column:
+    """The column ``of`` a rule, by its number among the rules."""
+    return reduce(lambda out, pair: out.when(number == pair[0], of(pair[1])), enumerate(rules[1:], 1), F.when(number == 0, of(rules[0])))
+
 
-    All rules are columns of one projection, so units are read once and no unit meets the catalogue in a join.
+def scanned(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Units with ``hits``: (rule_id, n_matches, evidence, offset) of every rule with a pattern that fires on them.
+
+    Evidence is the first three matches, 80 characters each, and offset where the first begins (UTF-16 units, from 0).
+    Of all rules only those that the prefilter names are searched for, in the unit's own row; nothing is shuffled.
     """
-    return _rows(units, F.array_compact(F.array(*map(_outcome, rules))))
+    found = tuple(r for r in rules if searched(r))
+    base = completed(units, rules)
+    if not found:
+        return base.withColumn("hits", F.array().cast("array<struct<rule_id:string,n_matches:int,evidence:array<string>,offset:int>>"))
+    seen = lambda r: "_code" if r.code_only else "_seen"
+    fires = lambda r: F.when(eligible(r, rules), F.get(F.filter(F.array(matches(r, seen(r))), lambda m: F.size(m) >= r.least), F.lit(0)))
+    tried = F.transform("_may", lambda i: F.struct(i.alias("i"), _by_rule(i, found, fires).alias("m")))
+    ids = F.array(*(F.lit(r.id) for r in found))
+    # A match with look-around is found again where it was: of several places only the first counts.
+    place = lambda r: F.regexp_instr(F.col(seen(r)), F.lit(pattern_of(r)), F.lit(0)) - 1
+    shown = lambda m: F.transform(F.slice(m, 1, 3), lambda x: F.substring(text.normalise(x), 1, 80))
+    hit = lambda h: F.struct(F.element_at(ids, h["i"] + 1).alias("rule_id"), F.size(h["m"]).alias("n_matches"), shown(h["m"]).alias("evidence"), _by_rule(h["i"], found, place).alias("offset"))
+    rows = _nominated(base, found).withColumn("_fired", F.filter(tried, lambda h: h["m"].isNotNull()))
+    return rows.withColumn("hits", F.transform("_fired", hit)).drop("_fired", "_may", "_code")
 
 
 def hits(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """The rows of ``outcomes`` that fired; the others are never made."""
-    return _rows(units, F.filter(F.array(*map(_outcome, rules)), lambda o: F.coalesce(F.size(o["found"]) >= o["least"], F.lit(False))))
+    """A row for each unit and rule that fires on it: the unit's columns, rule_id, n_matches, evidence, offset.
+
+    In a source unit the line is that of the first match.
+    """
+    rows = scanned(units, rules).withColumn("h", F.explode("hits"))
+    line = F.when(F.col("kind") == "source", F.col("line") + text.line_of(F.col("text"), F.col("h.offset")) - 1).otherwise(F.col("line"))
+    return rows.select(*(line.cast("long").alias(c) if c == "line" else c for c in units.columns), "h.rule_id", "h.n_matches", "h.evidence", "h.offset")
+
+
+def outcomes(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """A row for each unit and eligible rule with a pattern: rule_id, n_matches, fired, evidence."""
+    rows = scanned(units, rules)
+    able = F.array_compact(F.array(*(F.when(eligible(r, rules), F.lit(r.id)) for r in rules if searched(r))))
+    rows = rows.withColumn("rule_id", F.explode(able))
+    rows = rows.withColumn("h", F.get(F.filter("hits", lambda h: h["rule_id"] == F.col("rule_id")), F.lit(0)))
+    return rows.select(*units.columns, "rule_id", F.coalesce("h.n_matches", F.lit(0)).alias("n_matches"), F.col("h").isNotNull().alias("fired"), F.coalesce("h.evidence", F.array().cast("array<string>")).alias("evidence"))
 
 
 def counts(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """rule_id, eligible, answered and negative of each rule, in one aggregation over units."""
-    fired = lambda r: eligible(r) & (F.size(matches(r, "_seen", "_low")) >= r.least)
-    sums = [F.struct(F.lit(r.id).alias("rule_id"), F.count_if(eligible(r)).alias("eligible"), F.count_if(fired(r)).alias("answered")) for r in rules]
-    rows = completed(units).agg(F.array(*sums).alias("rules")).select(F.explode("rules").alias("r")).select("r.*")
+    """rule_id, eligible, answered and negative units of each rule with a pattern, in one aggregation over units."""
+    found = tuple(r for r in rules if searched(r))
+    has = lambda r: F.exists("hits", lambda h: h["rule_id"] == r.id)
+    sums = [F.struct(F.lit(r.id).alias("rule_id"), F.count_if(eligible(r, rules)).alias("eligible"), F.count_if(has(r)).alias("answered")) for r in found]
+    rows = scanned(units, rules).agg(F.array(*sums).alias("rules")).select(F.explode("rules").alias("r")).select("r.*")
     return rows.withColumn("negative", F.col("eligible") - F.col("answered"))

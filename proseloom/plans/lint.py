@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from proseloom.operators import findings as reduce
-from proseloom.operators import mechanical, units
+from proseloom.operators import mechanical, planning, units
 from proseloom.plans.catalogue import RULES, Rule
 
 
@@ -22,26 +22,38 @@ class LintResult:
     findings: DataFrame
     evaluated: tuple[Rule, ...]
 
+    @cached_property
+    def plan(self) -> DataFrame:
+        """A row for each unit with the outcome of every rule."""
+        return planning.plan(self.units, self.evaluated)
+
+    @cached_property
+    def jobs(self) -> DataFrame:
+        """The requests that rules with a question leave for a judge."""
+        return planning.jobs(self.plan, self.evaluated)
+
     @cached_property
     def outcomes(self) -> DataFrame:
-        """A row for each unit and eligible rule."""
+        """A row for each unit and eligible rule with a pattern."""
         return mechanical.outcomes(self.units, self.evaluated)
 
     @cached_property
     def counts(self) -> DataFrame:
-        """Eligible, answered and negative units of each rule."""
-        return self.rules.select("rule_id").join(F.broadcast(mechanical.counts(self.units, self.evaluated)), "rule_id", "left").na.fill(0)
+        """Eligible, answered and negative units of each rule that its pattern decides."""
+        decided = self.rules.where("tier = 'mechanical'").select("rule_id")
+        return decided.join(F.broadcast(mechanical.counts(self.units, mechanical.decided(self.evaluated))), "rule_id", "left").na.fill(0)
 
 
 def run_lint(files: DataFrame, rules: tuple[Rule, ...] = RULES, pragmas: DataFrame | None = None, unit: DataFrame | None = None) -> LintResult:
     """Mechanical lint of files (file, text), or of units that another extractor made.
 
-    A unit meets a rule once, so there is nothing to dedupe within a rule, and findings need no shuffle.
+    Only rules that their pattern decides give findings; what nominates a question is a job of the plan.  A unit meets a
+    rule once, so there is nothing to dedupe within a rule, and findings need no shuffle.
     """
     table = reduce.rule_table(files.sparkSession, rules)
     if unit is None:
         unit, rules = units.line_units(files), mechanical.meeting(rules, {"paragraph"}, {"body"})
-    fired = mechanical.hits(unit, rules).withColumn("probability", F.lit(1.0)).withColumn("seq", F.lit(0))
+    fired = mechanical.hits(unit, mechanical.decided(rules)).withColumn("probability", F.lit(1.0)).withColumn("seq", F.lit(0))
     found = reduce.findings(fired, table)
     found = reduce.suppress(found, pragmas) if pragmas is not None else found.withColumn("suppressed", F.lit(False))
     return LintResult(unit, table, found, rules)

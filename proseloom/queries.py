@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseloom import markup_queries  # noqa: F401  registers its queries
+from proseloom import markup_queries, plan_queries  # noqa: F401  they register their queries
 from proseloom.functions import globs, stats, text
 from proseloom.operators import evaluation, judge, mechanical, repetition, structure, units
 from proseloom.operators import findings as reduce
@@ -72,14 +72,14 @@ def _quoted(x: str) -> str:
 
 def _outcomes_sql() -> str:
     parts = []
-    for r in filter(_meets_lines, RULES):
+    for r in mechanical.decided(tuple(filter(_meets_lines, RULES))):
         where = f" WHERE doc_type IN ({', '.join(map(_quoted, r.doc_types))})" if r.doc_types else ""
         parts.append(f"SELECT file, unit_id, line, {_quoted(r.id)} AS rule_id, {_quoted(r.category)} AS category, {_quoted(r.area)} AS domain, {'TRUE' if r.review_only else 'FALSE'} AS review_only, {_fires(r)} AS fired FROM units{where}")
     return _UNITS + ", outcomes AS (" + " UNION ALL ".join(parts) + "), findings AS (SELECT *, CASE WHEN review_only THEN 'review' ELSE 'act' END AS band FROM outcomes WHERE fired)"
 
 
-_RULE_ROWS = ", ".join(f"({_quoted(r.id)}, {_quoted(r.category)}, {_quoted(r.area)})" for r in RULES)
-_OUTCOMES = _outcomes_sql() + f", rules(rule_id, category, domain) AS (VALUES {_RULE_ROWS})"
+_RULE_ROWS = ", ".join(f"({_quoted(r.id)}, {_quoted(r.category)}, {_quoted(r.area)}, {_quoted(r.tier)})" for r in RULES)
+_OUTCOMES = _outcomes_sql() + f", rules(rule_id, category, domain, tier) AS (VALUES {_RULE_ROWS})"
 
 
 @_register(_UNITS + "SELECT file, unit_id, line, start, text, doc_type FROM units")
@@ -116,7 +116,7 @@ for _by in ("category", "domain", "rule_id"):
     _register(_OUTCOMES + f"SELECT r.{_by}, count(*) FILTER (WHERE band = 'act') AS act, count(*) FILTER (WHERE band = 'review') AS review, CAST(0 AS BIGINT) AS suppressed FROM (SELECT DISTINCT {_by} FROM rules) r LEFT JOIN findings f ON r.{_by} = f.{_by} GROUP BY r.{_by}")(_scorecard(_by))
 
 
-@_register(_OUTCOMES + "SELECT r.rule_id, count(o.unit_id) AS eligible, count(*) FILTER (WHERE o.fired) AS answered, count(*) FILTER (WHERE NOT o.fired) AS negative FROM rules r LEFT JOIN outcomes o ON r.rule_id = o.rule_id GROUP BY r.rule_id")
+@_register(_OUTCOMES + "SELECT r.rule_id, count(o.unit_id) AS eligible, count(*) FILTER (WHERE o.fired) AS answered, count(*) FILTER (WHERE NOT o.fired) AS negative FROM rules r LEFT JOIN outcomes o ON r.rule_id = o.rule_id WHERE r.tier = 'mechanical' GROUP BY r.rule_id")
 def coverage_by_rule(spark: SparkSession, d: str) -> DataFrame:
     return run_lint(_files(spark, d)).counts
 
@@ -138,6 +138,19 @@ def exit_of_nothing(spark: SparkSession, d: str) -> DataFrame:
     return reduce.exit_summary(result.findings, units=result.units)
 
 
+@_register(_OUTCOMES + "SELECT count(*) AS findings, count(*) FILTER (WHERE band = 'act') AS failing, 2 AS exit_code FROM findings WHERE file LIKE '%/src1/%'")
+def exit_of_unfinished_run(spark: SparkSession, d: str) -> DataFrame:
+    """A run that was stopped fails with code 2, whatever it found."""
+    result = run_lint(_files(spark, d).where("file like '%/src1/%'"))
+    return reduce.exit_summary(result.findings, units=result.units, complete=False)
+
+
+@_register(_OUTCOMES + """SELECT file, rule_id, line, row_number() OVER (PARTITION BY file ORDER BY line, CASE band WHEN 'act' THEN 0 ELSE 1 END, CASE WHEN rule_id IN (SELECT rule_id FROM major) THEN 0 ELSE 1 END, rule_id, unit_id) AS place
+  FROM findings""".replace("SELECT file", ", major(rule_id) AS (VALUES " + ", ".join(f"({_quoted(r.id)})" for r in RULES if r.severity == "major") + ") SELECT file", 1))
+def finding_order(spark: SparkSession, d: str) -> DataFrame:
+    return reduce.places(run_lint(_files(spark, d)).findings).select("file", "rule_id", "line", "place")
+
+
 @_register(_OUTCOMES + ", pragmas AS (SELECT DISTINCT file, line FROM lines WHERE line % 5 = 1) SELECT f.file, f.line, f.rule_id, p.file IS NOT NULL AS suppressed FROM findings f LEFT JOIN (SELECT DISTINCT file, line + k AS line FROM pragmas, (VALUES (0), (1)) AS t(k)) p ON f.file = p.file AND f.line = p.line")
 def suppression(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d).where("text is not null")
