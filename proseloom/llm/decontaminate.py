@@ -3,12 +3,13 @@
 Texts are lower-cased sequences of letters and digits; shingles are ``SHINGLE`` words in a row.  A window has as many
 words as a benchmark item.  Its 64-bit SimHash weighs each shingle by how often it occurs.  Fingerprints are cut into
 eight blocks of 8 bits; of two fingerprints within ``RADIUS`` bits one block differs in ``RADIUS // 8`` bits at most, so
-items are filed under every block value within that many bits, windows look their blocks up, and all fingerprints within
-the radius meet.  Those pairs are verified by the exact weighted Jaccard similarity of their shingles.
+items are filed by their size under every block value within that many bits, windows of that size look their blocks up,
+and all fingerprints within the radius meet.  Those pairs are verified by the exact weighted Jaccard similarity of their
+shingles.
 
 Windows are placed where they can matter: a window as similar as asked shares all but D of the item's shingles, so one of
-any D + 1 of them is in it, and gives the place, up to D words away where words were inserted or left out before it.
-Texts without such a shingle need no fingerprint.
+any D + 1 of them is in it.  Every window of an item's size that holds one of these is fingerprinted, whatever the order
+of the words around it; texts without such a shingle need no fingerprint.
 """
 
 from __future__ import annotations
@@ -110,47 +111,64 @@ def _short_items(texts: DataFrame, items: DataFrame) -> DataFrame:
     return read.join(small(whole), ["shingle", "size"]).select("id", "item_id", F.lit(1.0).alias("similarity"), F.lit(0).alias("distance"), "start")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """Documents with a window that is as similar as ``percent`` / 100 to a benchmark item, and near in SimHash.
+def windows_of(texts: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """id, size, start, fingerprint and keys of the windows of (id, text) that an item of their size may be as similar to.
 
-    Returns, for each document and item, id, item_id, similarity, distance (bits) and start_word of the best window;
-    ties go to the first.  Null and empty texts match nothing; an item of fewer than ``SHINGLE`` words has one shingle and
-    matches windows of just its words; a document shorter than an item is one window.  Rows of one id count together,
-    equal items are all reported, and other columns are not read.  What comes of the benchmark, and the places where
-    windows lie, are broadcast within ``small``'s bound of bytes, else joined by shuffles, of the documents too.
+    The anchors of an item, one shingle more than a window may lack, are the first ones by hash; a window that holds none
+    of them cannot be similar enough.
     """
-    items = settle(_items(benchmark, item_col, item_text_col, percent), "items")
     spare = F.size("shingles") - F.ceil(F.size("shingles") * F.lit(percent) / 100).cast("int")
-    placed = F.transform("shingles", lambda h, i: F.struct(h.alias("shingle"), i.alias("at")))
-    anchors = items.select("size", spare.alias("spare"), F.explode(F.slice(F.array_sort(placed), F.lit(1), spare + 1)).alias("a")).select("size", "spare", "a.shingle", "a.at").distinct()
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
-    read = texts.select("id", F.posexplode(shingle_list(word_list(F.col("text")))).alias("at_doc", "shingle"))
-    found = read.join(small(anchors), "shingle").select("id", "size", "spare", (F.col("at_doc") - F.col("at")).alias("start"))
-    places = settle(found.groupBy("id").agg(F.collect_set(F.struct("size", "spare", "start")).alias("places")), "places")
-
-    around = F.array_distinct(F.flatten(F.transform("places", lambda p: F.transform(F.sequence(-p["spare"], p["spare"]), lambda k: F.struct(p["size"].alias("size"), (p["start"] + k).alias("start"))))))
+    anchors = items.select("size", F.explode(F.slice(F.array_sort(F.array_distinct("shingles")), F.lit(1), spare + 1)).alias("shingle")).distinct()
+    read = texts.select("id", F.posexplode(shingle_list(word_list(F.col("text")))).alias("at", "shingle"))
+    found = read.join(small(anchors), "shingle").groupBy("id").agg(F.collect_set(F.struct("size", "at")).alias("places"))
+    places = settle(found, "places")
 
     def cut(shingles: Column) -> Column:
         # Windows are cut before they become rows, so that no row carries the whole text.
-        def one(p: Column) -> Column:
+        def starts(p: Column) -> Column:
             width = F.greatest(F.lit(1), p["size"] - (SHINGLE - 1))
-            inside = F.greatest(F.lit(0), F.least(p["start"], F.size(shingles) - width))
-            return F.struct(inside.alias("start"), F.slice(shingles, inside + 1, width).alias("shingles"))
+            last = F.greatest(F.lit(0), F.size(shingles) - width)
+            return F.transform(F.sequence(F.least(last, F.greatest(F.lit(0), p["at"] - width + 1)), F.least(last, p["at"])), lambda i: F.struct(p["size"].alias("size"), i.alias("start")))
+
+        def one(w: Column) -> Column:
+            return F.struct(w["size"].alias("size"), w["start"].alias("start"), F.slice(shingles, w["start"] + 1, F.greatest(F.lit(1), w["size"] - (SHINGLE - 1))).alias("shingles"))
 
-        return F.array_distinct(F.transform(around, one))
+        return F.transform(F.array_distinct(F.flatten(F.transform("places", starts))), one)
 
     again = texts.join(small(places, 16 * F.size("places")), "id")
-    windows = again.select("id", F.explode(_let(shingle_list(word_list(F.col("text"))), cut)).alias("w")).select("id", "w.*")
-    windows = windows.withColumn("fingerprint", simhash(F.col("shingles"))).withColumn("keys", numbered(F.col("shingles")))
-    probes = windows.select("id", "start", "keys", F.col("fingerprint").alias("f"), F.explode(F.array(*(F.struct(F.lit(k).alias("block"), block(F.col("fingerprint"), k).alias("value")) for k in range(BLOCKS)))).alias("b")).select("id", "start", "keys", "f", "b.*")
-    filed = items.select("item_id", F.col("fingerprint").alias("g"), F.explode(F.array(*(F.struct(F.lit(k).alias("block"), block(F.col("fingerprint"), k).alias("base")) for k in range(BLOCKS)))).alias("b"))
-    filed = filed.select("item_id", "g", "b.block", F.explode(F.transform(F.array(*map(F.lit, _MASKS)), lambda m: m.bitwiseXOR(F.col("b.base")))).alias("value"))
+    cuts = again.select("id", F.explode(_let(shingle_list(word_list(F.col("text"))), cut)).alias("w")).select("id", "w.*")
+    return cuts.select("id", "size", "start", simhash(F.col("shingles")).alias("fingerprint"), numbered(F.col("shingles")).alias("keys"))
+
+
+def meeting(windows: DataFrame, items: DataFrame) -> tuple[DataFrame, Column]:
+    """Windows by the value of each block, with the items of their size that are filed there; and what makes a pair count."""
+    blocks = lambda name: F.explode(F.array(*(F.struct(F.lit(k).alias("block"), block(F.col(name), k).alias("value")) for k in range(BLOCKS)))).alias("b")
+    probes = windows.select("id", "size", "start", "keys", F.col("fingerprint").alias("f"), blocks("fingerprint")).select("id", "size", "start", "keys", "f", "b.*")
+    filed = items.select("item_id", "size", F.col("fingerprint").alias("g"), blocks("fingerprint")).select("item_id", "size", "g", "b.block", F.explode(F.transform(F.array(*map(F.lit, _MASKS)), lambda m: m.bitwiseXOR(F.col("b.value")))).alias("value"))
     # A pair can meet in several blocks; the first of them counts.
     bits = lambda k: F.bit_count(block(F.col("f"), k).bitwiseXOR(block(F.col("g"), k)))
     first = F.coalesce(*(F.when(bits(k) <= RADIUS // BLOCKS, F.lit(k)) for k in range(BLOCKS)))
-    probes, filed = probes.alias("p"), small(filed).alias("i")
-    met = (F.col("p.block") == F.col("i.block")) & (F.col("p.value") == F.col("i.value")) & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS) & (first == F.col("p.block"))
-    near = probes.join(filed, met).select("id", "start", "keys", "item_id", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).alias("distance"))
+    return probes.join(small(filed), ["size", "block", "value"]), (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= RADIUS) & (first == F.col("block"))
+
+
+def near_pairs(windows: DataFrame, items: DataFrame) -> DataFrame:
+    """id, start, keys, item_id and distance of all windows and items of one size within ``RADIUS`` bits."""
+    met, counts = meeting(windows, items)
+    return met.where(counts).select("id", "start", "keys", "item_id", F.bit_count(F.col("f").bitwiseXOR(F.col("g"))).alias("distance"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """Documents with a window that is as similar as ``percent`` / 100 to a benchmark item, and near in SimHash.
+
+    Returns, for each document and item, id, item_id, similarity, distance (bits) and start_word of the best window;
+    ties go to the first.  Null and empty texts match nothing; an item of fewer than ``SHINGLE`` words has one shingle and
+    matches windows of just its words; a document shorter than an item is one window.  Rows of one id count together,
+    equal items are all reported, and other columns are not read.  What comes of the benchmark, and the places where
+    windows lie, are broadcast within ``small``'s bound of bytes, else joined by shuffles, of the documents too.
+    """
+    items = settle(_items(benchmark, item_col, item_text_col, percent), "items")
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where("id is not null and text is not null")
+    near = near_pairs(windows_of(texts, items, percent), items)
     sets = small(items.select("item_id", F.col("keys").alias("item_keys")), 8 * F.size("item_keys"))
     verified = near.join(sets, "item_id").withColumn("similarity", similarity(F.col("keys"), F.col("item_keys"))).where(F.col("similarity") * 100 >= percent)
     verified = verified.select("id", "item_id", "similarity", "distance", "start").unionByName(_short_items(texts, items))

@@ -282,3 +282,26 @@ def test_decontamination_is_similarity_of_shingles(spark):
     edited = words[:3] + ["x"] + words[4:]
     got = decontaminate.contaminated(documents(spark, [(1, "a b c " + " ".join(edited) + " d")]), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).first()
     assert got.start_word == 3 and got.similarity == pytest.approx(52 / 60) and got.distance <= decontaminate.RADIUS
+
+
+def test_decontamination_finds_reordered_items_and_compares_few_pairs(spark):
+    rnd = random.Random(8)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(4000)]
+    items = [(i, " ".join(rnd.choices(words, k=rnd.randrange(16, 100)))) for i in range(5000)]
+    rows, wanted = [], set()
+    for i in range(0, 5000, 25):
+        w = items[i][1].split()
+        # Cut in two and changed over, with other words around: only the shingles over the cuts are gone.
+        cut = rnd.randrange(len(w) // 3, 2 * len(w) // 3)
+        rows.append((i, " ".join(rnd.choices(words, k=rnd.randrange(0, 60)) + w[cut:] + w[:cut] + rnd.choices(words, k=30))))
+        kept, all_ = len(w) - 4 - 4, len(w) - 4
+        if kept / (2 * all_ - kept) >= 0.8:
+            wanted.add((i, i))
+    rows += [(10_000 + i, " ".join(rnd.choices(words, k=300))) for i in range(100)]
+    docs, benchmark = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(docs, benchmark).select("doc_id", "item_id").collect()}
+    assert len(wanted) > 50 and len(wanted - got) <= len(wanted) // 50 and all(d == i for d, i in got)
+    held = decontaminate.settle(decontaminate._items(benchmark, "item_id", "text", 80), "items")
+    windows = decontaminate.settle(decontaminate.windows_of(docs.select(F.col("doc_id").alias("id"), "text"), held), "windows")
+    met, _ = decontaminate.meeting(windows, held)
+    assert met.select("id", "size", "start", "item_id").distinct().count() < 0.05 * windows.count() * 5000
