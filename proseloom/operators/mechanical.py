@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 import pyarrow as pa
@@ -28,6 +29,11 @@ def searched(rule: Rule) -> bool:
     return bool(rule.pattern or rule.phrases)
 
 
+def decides(rule: Rule) -> bool:
+    """Whether a pattern or a check says if a rule has anything to report."""
+    return searched(rule) or rule.check
+
+
 def decided(rules: tuple[Rule, ...]) -> tuple[Rule, ...]:
     """The rules that their pattern decides; the others ask a question."""
     return tuple(r for r in rules if r.tier == "mechanical")
@@ -130,16 +136,21 @@ def _by_rule(number: Column, rules: tuple[Rule, ...], of) -> Column:
     return reduce(lambda out, pair: out.when(number == pair[0], of(pair[1])), enumerate(rules[1:], 1), F.when(number == 0, of(rules[0])))
 
 
-def scanned(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Units with ``hits``: (rule_id, n_matches, evidence, offset) of every rule with a pattern that fires on them.
+def scanned(units: DataFrame, rules: tuple[Rule, ...], checks: Mapping[str, Column] | None = None) -> DataFrame:
+    """Units with ``hits``: (rule_id, n_matches, evidence, offset) of every rule with a pattern or check that fires on them.
 
+    ``checks`` has, by rule id, the evidence of rules that a check decides, null where they do not fire.
     Evidence is the first three matches, 80 characters each, and offset where the first begins (UTF-16 units, from 0).
     Of all rules only those that the prefilter names are searched for, in the unit's own row; nothing is shuffled.
     """
     found = tuple(r for r in rules if searched(r))
     base = completed(units, rules)
+    kind = "array<struct<rule_id:string,n_matches:int,evidence:array<string>,offset:int>>"
+    checked = [(r, checks[r.id]) for r in rules if r.check and checks and r.id in checks]
+    proven = [F.when(eligible(r, rules) & said.isNotNull(), F.struct(F.lit(r.id), F.lit(1), F.array(said), F.lit(None).cast("int"))) for r, said in checked]
+    base = base.withColumn("_proven", (F.array_compact(F.array(*proven)) if proven else F.array()).cast(kind))
     if not found:
-        return base.withColumn("hits", F.array().cast("array<struct<rule_id:string,n_matches:int,evidence:array<string>,offset:int>>"))
+        return base.withColumnRenamed("_proven", "hits")
     seen = lambda r: "_code" if r.code_only else "_seen"
     fires = lambda r: F.when(eligible(r, rules), F.get(F.filter(F.array(matches(r, seen(r))), lambda m: F.size(m) >= r.least), F.lit(0)))
     tried = F.transform("_may", lambda i: F.struct(i.alias("i"), _by_rule(i, found, fires).alias("m")))
@@ -149,7 +160,7 @@ def scanned(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     shown = lambda m: F.transform(F.slice(m, 1, 3), lambda x: F.substring(text.normalise(x), 1, 80))
     hit = lambda h: F.struct(F.element_at(ids, h["i"] + 1).alias("rule_id"), F.size(h["m"]).alias("n_matches"), shown(h["m"]).alias("evidence"), _by_rule(h["i"], found, place).alias("offset"))
     rows = _nominated(base, found).withColumn("_fired", F.filter(tried, lambda h: h["m"].isNotNull()))
-    return rows.withColumn("hits", F.transform("_fired", hit)).drop("_fired", "_may", "_code")
+    return rows.withColumn("hits", F.concat(F.transform("_fired", hit).cast(kind), "_proven")).drop("_fired", "_may", "_code", "_proven")
 
 
 def hits(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:

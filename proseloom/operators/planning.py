@@ -95,20 +95,22 @@ def _literal(value) -> str:
     return str(value) if isinstance(value, int) else "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def plan(units: DataFrame, rules: tuple[Rule, ...], abstentions: Mapping[str, tuple[Column, bool]] | None = None) -> DataFrame:
+def plan(units: DataFrame, rules: tuple[Rule, ...], abstentions: Mapping[str, tuple[Column, bool]] | None = None, checks: Mapping[str, tuple[Column, Column | None]] | None = None) -> DataFrame:
     """Units with ``outcomes``: for each rule one of ``OUTCOMES``, and a reason, the matches and the first one's place.
 
     A rule of another kind of unit or file is out of scope; a unit that fails a precondition is not asked.  A pattern that
     finds nothing is negative.  What it finds is a finding, or a job where the rule has a question; a question whose
     evidence is missing is unknown.  ``abstentions`` maps a rule's id to a reason column and whether the reason holds for
     the whole run: such a reason is kept for the first unit (by file and start) and a precondition for all others.
+    ``checks`` has the evidence of rules that a check decides, and why the check abstains, both over the units' columns.
     Files that did not parse have no outcomes.  Everything is read off one row a unit: no shuffle but for reasons of a run.
     What rules have in common is worked out once a unit, and one expression over the rules as rows refers to it.
     """
-    abstentions = dict(abstentions or {})
+    checks = checks or {}
+    abstentions = {i: (reason, False) for i, (_, reason) in checks.items() if reason is not None} | dict(abstentions or {})
     needs = list(dict.fromkeys(r.asks for r in rules if r.asks is not None))
     held_back = [r.id for r in rules if r.id in abstentions]
-    rows = mechanical.scanned(units.where("kind <> 'file'"), rules)
+    rows = mechanical.scanned(units.where("kind <> 'file'"), rules, {i: said for i, (said, _) in checks.items()})
     texts = lambda columns: F.array(*columns) if columns else F.array().cast("array<string>")
     rows = rows.withColumns({"_evidence": texts([missing_evidence(units, keys) for keys in needs]), "_abstained": texts([abstentions[i][0] for i in held_back])})
     if not rules:
@@ -119,7 +121,7 @@ def plan(units: DataFrame, rules: tuple[Rule, ...], abstentions: Mapping[str, tu
             "scope": mechanical.scope_number(r, rules),
             "demands": mechanical.demand_number(r, rules),
             "abstains": held_back.index(r.id) if r.id in abstentions else -1,
-            "searched": mechanical.searched(r),
+            "searched": mechanical.decides(r),
             "asks": r.asks is not None,
             "needs": needs.index(r.asks) if r.asks is not None else -1,
         }

@@ -15,7 +15,7 @@ class Rule:
 
     ``pattern`` or ``phrases`` decides, with ``least`` matches, and ``absent`` vetoes.  A rule with ``asks``, the keys of
     the context that its question needs, asks a judge: of what its pattern found, or of every eligible unit if it has
-    none.  ``question`` is the wording, which comes with rule files.  The other fields say which units are eligible:
+    none.  A rule with ``check`` is decided by a column of its id.  ``question`` is the wording, which comes with rule files.  The other fields say which units are eligible:
     kind, path (``include`` and ``exclude`` globs), doc type, role, words, and whether code, generated files and files whose build makes its own quotes count.  ``code_only`` looks
     past strings and comments of source units.
     """
@@ -28,6 +28,7 @@ class Rule:
     absent: str = ""
     least: int = 1
     code_only: bool = False
+    check: bool = False
     asks: tuple[str, ...] | None = None
     kinds: tuple[str, ...] = ("paragraph",)
     include: tuple[str, ...] = ("**",)
@@ -51,7 +52,7 @@ class Rule:
     @property
     def tier(self) -> str:
         """mechanical: decided by its pattern; judged: by a question; both: its pattern nominates what the question decides."""
-        searched = bool(self.pattern or self.phrases)
+        searched = bool(self.pattern or self.phrases or self.check)
         return "mechanical" if self.asks is None else "both" if searched else "judged"
 
     @property

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseloom import markup_queries, plan_queries  # noqa: F401  they register their queries
+from proseloom import component_queries, markup_queries, plan_queries  # noqa: F401  they register their queries
 from proseloom.functions import globs, stats, text
 from proseloom.operators import evaluation, judge, mechanical, repetition, structure, units
 from proseloom.operators import findings as reduce
