@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proseloom.operators import class_rules, component_units, planning, tailwind
 from proseloom.registry import read, register
+from proseloom.sources.shared import spread
 
 _HEAD = "import { cn } from './cn';\n\nexport default ({ x, v }) => (\n  <section>\n"
 _TAIL = "  </section>\n);\nconst copy = { title: 'The end', other: 'not copy' };\n"
@@ -36,7 +37,7 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     plain = lambda x: F.trim(F.regexp_replace(x, "[^A-Za-z.]+", " "))
     lines = F.filter(F.transform(F.split("text", "\n", -1), plain), lambda x: x != "")
     made = F.concat(F.lit("app/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".tsx")).alias("file")
-    return read(spark, d, "documents").select(made, F.concat(F.lit(_HEAD), F.array_join(F.transform(lines, _line), ""), F.lit(_TAIL)).alias("text"))
+    return spread(read(spark, d, "documents")).select(made, F.concat(F.lit(_HEAD), F.array_join(F.transform(lines, _line), ""), F.lit(_TAIL)).alias("text"))
 
 
 _LISTS = (

@@ -15,7 +15,7 @@ ITEM = re.compile(r"([-+*]|(\d{1,9})[.)])(?=[ \t]|$)")
 ATX = re.compile(r"(#{1,6})(?=[ \t]|$)")
 FENCE = re.compile(r"(`{3,}(?=[^`]*$)|~{3,})")
 DELIMITERS = re.compile(r"\|?[ \t]*:?-+:?[ \t]*(?:\|[ \t]*:?-+:?[ \t]*)*\|?[ \t]*$")
-DEFINITION = re.compile(r"\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*(?:<[^<>]*>|\S+)(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*$")
+DEFINITION = re.compile(r"\[((?:[^\[\]\\]|\\.)+)\]:[ \t]*(?:<([^<>]*)>|(\S+))(?:[ \t]+(?:\"[^\"]*\"|'[^']*'|\([^()]*\)))?[ \t]*$")
 NOTE = re.compile(r"\[(\^[^\]\s]+)\]:")
 #: (start, end) of raw HTML; without an end it ends at a blank line.
 HTML = (
@@ -38,7 +38,10 @@ _MODULE = re.compile(r"(?:import|export)\b")
 
 
 class Block(NamedTuple):
-    """A paragraph, heading, cell or component's tag; ``parts`` are its lines as (place in the source, text)."""
+    """A paragraph, heading, cell, component's tag, code or definition; ``parts`` are its lines as (place in the source, text).
+
+    Code has the words after its fence as first part, a definition its address.
+    """
 
     kind: str
     role: str
@@ -98,6 +101,7 @@ class _Scanner:
         self.open: list[str] = []  # components
         self.paragraph: list[tuple[int, str]] = []
         self.fence: tuple[str, int, int] | None = None
+        self.code: list[tuple[int, str]] = []
         self.html: tuple[re.Pattern | None, int] | None = None
         self.columns = 0
         self.labels: set[str] = set()
@@ -114,6 +118,8 @@ class _Scanner:
         parts, self.paragraph = self.paragraph, []
         while parts and (match := DEFINITION.match(parts[0][1])):
             self.labels.add(_label(match[1]))
+            place, address = parts[0][0], match[2] if match[2] is not None else match[3]
+            self.emit("definition", "unknown", place, place + len(parts[0][1].rstrip()), [(place, address)])
             parts = parts[1:]
         if parts:
             place, text = parts[-1]
@@ -127,6 +133,10 @@ class _Scanner:
         self.columns = 0
         del self.stack[depth:]
 
+    def end_fence(self, end: int) -> None:
+        self.emit("code", "unknown", self.code[0][0], end, self.code)
+        self.fence = None
+
     def starts_block(self, rest: str, indent: int) -> bool:
         if indent >= 4:
             return False
@@ -202,9 +212,11 @@ class _Scanner:
                 _, j = _indent(line, i, column)
                 rest = line[j:].rstrip()
                 if rest and set(rest) == {char} and len(rest) >= size:
-                    self.fence = None
+                    self.end_fence(place + len(line))
+                else:
+                    self.code.append((place + i, line[i:]))
                 return place + len(line)
-            self.fence = None
+            self.end_fence(place - 1)
         if self.html:
             end, depth = self.html
             if matched >= depth and not (end is None and blank):
@@ -274,6 +286,7 @@ class _Scanner:
             if match := FENCE.match(rest):
                 self.close(matched)
                 self.fence = (match[1][0], len(match[1]), matched)
+                self.code = [(place + j, rest[match.end() :].strip())]
                 return done
             if RULE.match(rest):
                 self.close(matched)
@@ -310,7 +323,7 @@ class _Scanner:
 def blocks(source: str, mdx: bool = False) -> tuple[Iterator[Block], frozenset[str]]:
     """The blocks of a Markdown text in order, and the labels that links and notes may name.
 
-    Code, raw HTML, rules, definitions, notes, modules and frontmatter have no blocks.  With ``mdx`` components' tags are
+    Raw HTML, rules, notes, modules and frontmatter have no blocks.  With ``mdx`` components' tags are
     blocks, and ``Unbalanced`` is raised where one does not close.  A tab that a container's edge cuts counts whole.
     """
     scan, place, done = _Scanner(source, mdx), 0, 0
@@ -325,6 +338,8 @@ def blocks(source: str, mdx: bool = False) -> tuple[Iterator[Block], frozenset[s
             if not module:
                 done = scan.line(place, line)
         place += size
+    if scan.fence:
+        scan.end_fence(len(source))
     scan.close(0)
     if scan.open:
         raise Unbalanced(scan.open[-1])

@@ -55,10 +55,13 @@ class Tag(NamedTuple):
 
 
 class Rendered(NamedTuple):
+    """``nodes`` are links, images and code, as (kind, address or code, start, end) in the source."""
+
     text: str
     code_spans: list[tuple[int, int]]
     fix_ranges: list[tuple[int, int]]
     tags: list[Tag]
+    nodes: list[tuple[str, str, int, int]]
 
 
 def _flanks(text: str, start: int, end: int) -> tuple[bool, bool]:
@@ -120,9 +123,13 @@ def render(source: Source, labels: frozenset[str] = frozenset(), mdx: bool = Fal
     runs: list[_Run] = []
     brackets: list[tuple[int, bool, int, int]] = []  # output place, image, place after the bracket, runs before
     tags: list[Tag] = []
+    nodes: list[tuple[str, str, int, int]] = []
     opened: list[str] = []
     absent: set[int] = set()
 
+    def node(kind: str, value: str, start: int, end: int) -> None:
+        nodes.append((kind, value, source.place(start), source.place(end - 1) + 1))
+
     def put(piece: str, start: int, end: int) -> None:
         if piece:
             out.append((piece, start, end, False))
@@ -163,6 +170,7 @@ def render(source: Source, labels: frozenset[str] = frozenset(), mdx: bool = Fal
             inner = text[end : close.start()].replace("\n", " ")
             lead = 1 if len(inner) > 2 and inner[0] == inner[-1] == " " and inner.strip(" ") else 0
             out.append((inner[lead : len(inner) - lead], end + lead, close.start() - lead, True))
+            node("inlineCode", inner[lead : len(inner) - lead], i, close.end())
             i = close.end()
             continue
         if c == "<":
@@ -180,6 +188,7 @@ def render(source: Source, labels: frozenset[str] = frozenset(), mdx: bool = Fal
             if mdx:
                 raise Unbalanced("<")
             if match := AUTOLINK.match(text, i):
+                node("link", match[1], i, match.end())
                 put(match[1], match.start(1), match.end(1))
                 i = match.end()
                 continue
@@ -222,6 +231,8 @@ def render(source: Source, labels: frozenset[str] = frozenset(), mdx: bool = Fal
                 elif _label(text[inside:i]) in labels and not (name and name[1]):
                     end = name.end() if name else i + 1
             if end:
+                if target:
+                    node("image" if image else "link", _address(target[0]), inside - 1 - image, end)
                 _pair(runs[before:])
                 for run in runs[before:]:
                     run.opens = run.closes = False
@@ -244,14 +255,20 @@ def render(source: Source, labels: frozenset[str] = frozenset(), mdx: bool = Fal
         if run.left < run.size:
             piece = out[run.at]
             out[run.at] = (piece[0][: run.left], piece[1], piece[1] + run.left, False)
-    return _collapsed(out, source, tags)
+    return _collapsed(out, source, tags, nodes)
+
+
+def _address(target: str) -> str:
+    """The address of a link's target, without brackets, title and escapes."""
+    found = re.match(r"\(\s*(?:<([^<>\n]*)>|((?:[^\s()\\]|\\.|\((?:[^\s()\\]|\\.)*\))*))", target)
+    return html.unescape(ESCAPE.sub(r"\1", found[1] if found[1] is not None else found[2]))
 
 
 def _label(text: str) -> str:
     return SPACE.sub(" ", text).strip().casefold()
 
 
-def _collapsed(out: list[tuple[str, int, int, bool]], source: Source, tags: list[Tag]) -> Rendered:
+def _collapsed(out: list[tuple[str, int, int, bool]], source: Source, tags: list[Tag], nodes: list[tuple[str, str, int, int]]) -> Rendered:
     """Joins the pieces with one space for each run of white space, spans following their letters."""
     made: list[str] = []
     size, pending, spans, ranges = 0, False, [], []
@@ -280,4 +297,4 @@ def _collapsed(out: list[tuple[str, int, int, bool]], source: Source, tags: list
             first, _, before = ranges.pop()
             seen = seen or before
         ranges.append((first, last, seen))
-    return Rendered("".join(made), spans, [(a, b) for a, b, seen in ranges if seen], tags)
+    return Rendered("".join(made), spans, [(a, b) for a, b, seen in ranges if seen], tags, nodes)

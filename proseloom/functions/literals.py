@@ -33,10 +33,15 @@ def _characters(items: list) -> frozenset[str] | None:
     return frozenset(map(folded, out))
 
 
+def _weight(literal: str) -> float:
+    """How much finding a literal tells: white space nothing, a letter or sign little, more the longer it is."""
+    return sum(0 if c.isspace() else 1.2 if c.isdigit() else 1 for c in literal)
+
+
 def _better(one: frozenset[str] | None, two: frozenset[str] | None) -> frozenset[str] | None:
-    """The set that tells more: longer literals, then fewer."""
-    sets = [s for s in (one, two) if s and len(s) <= MOST and "" not in s]
-    return max(sets, key=lambda s: (min(map(len, s)), -len(s)), default=None)
+    """The set that tells more: literals of more weight, then fewer."""
+    sets = [s for s in (one, two) if s and len(s) <= MOST and all(map(_weight, s))]
+    return max(sets, key=lambda s: (min(map(_weight, s)), -len(s)), default=None)
 
 
 def _of(items) -> frozenset[str] | None:
@@ -88,7 +93,7 @@ class Prefilter:
                 held.setdefault(literal, set()).add(i)
         self.automaton = ahocorasick.Automaton()
         for literal, rules in held.items():
-            self.automaton.add_word(literal, tuple(rules))
+            self.automaton.add_word(literal, frozenset(rules))
         if held:
             self.automaton.make_automaton()
         self.empty = not held
@@ -97,7 +102,7 @@ class Prefilter:
         found = set(self.always)
         if not self.empty:
             for _, rules in self.automaton.iter(folded(text)):
-                found.update(rules)
+                found |= rules
         return sorted(found)
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from proseloom.operators import markdown
 from proseloom.registry import read, register
+from proseloom.sources.shared import spread
 
 _HEAD = "---\ntitle: made\n---\n\n"
 
@@ -38,7 +39,7 @@ def files(spark: SparkSession, d: str) -> DataFrame:
     lines = F.filter(F.transform(F.split("text", "\n", -1), plain), lambda x: x != "")
     body = F.array_join(F.transform(lines, _block), "\n\n")
     made = F.concat(F.lit("docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 1, ".mdx").otherwise(".md")).alias("file")
-    return read(spark, d, "documents").select(made, F.concat(F.lit(_HEAD), body).alias("text"))
+    return spread(read(spark, d, "documents")).select(made, F.concat(F.lit(_HEAD), body).alias("text"))
 
 
 _PLAIN = "trim(regexp_replace(x, '[^A-Za-z,.?]+', ' ', 'g'))"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ def _attributes(tag: inline.Tag) -> Iterator[tuple[str, str, int, int, tuple[int
 
 def _drafts(block: Block, labels: frozenset[str], mdx: bool, skip: frozenset[str], unwrap: frozenset[str]) -> Iterator[tuple]:
     """(kind, role, level, start, end, text, code spans, fix ranges, component, attribute) of a block."""
-    if skip.intersection(block.components):
+    if block.kind in ("code", "definition") or skip.intersection(block.components):
         return
     named = [c for c in block.components if c not in unwrap]
     component = named[-1] if named else None
@@ -64,22 +65,66 @@ def _drafts(block: Block, labels: frozenset[str], mdx: bool, skip: frozenset[str
         yield kind, block.role, block.level, block.start, block.end, made.text, made.code_spans, made.fix_ranges, component, None
 
 
-def _file_rows(file: str, source: str, skip: frozenset[str], unwrap: frozenset[str]) -> list[tuple]:
-    mdx = fallback = file.endswith(".mdx")
-    if mdx:
+def _line_starts(source: str) -> list[int]:
+    return [0, *(m.end() for m in re.finditer("\n", source))]
+
+
+def _parsed(file: str, source: str) -> tuple[list[Block], frozenset[str], bool]:
+    """The blocks and labels of a file, and whether MDX had to be read as Markdown."""
+    if file.endswith(".mdx"):
         try:
             found, labels = blocks(source, True)
-            drafts = [d for b in found for d in _drafts(b, labels, True, skip, unwrap)]
-            fallback = False
+            return list(found), labels, False
         except inline.Unbalanced:
-            mdx = False
-    if not mdx:
-        found, labels = blocks(source)
-        drafts = [d for b in found for d in _drafts(b, labels, False, skip, unwrap)]
-    starts, at = [0], source.find("\n")
-    while at >= 0:
-        starts.append(at + 1)
-        at = source.find("\n", at + 1)
+            found, labels = blocks(source)
+            return list(found), labels, True
+    found, labels = blocks(source)
+    return list(found), labels, False
+
+
+def _node_rows(file: str, source: str) -> list[tuple]:
+    parsed, labels, fallback = _parsed(file, source)
+    mdx, rows = file.endswith(".mdx") and not fallback, []
+    for block in parsed:
+        if block.kind == "code":
+            info = block.parts[0][1].split()
+            rows.append(("code", "\n".join(t for _, t in block.parts[1:]), info[0] if info else None, block.start, block.end))
+        elif block.kind == "definition":
+            rows.append(("definition", block.parts[0][1], None, block.start, block.end))
+        elif not block.tag:
+            try:
+                found = inline.render(inline.Source.of(block.parts), labels, mdx).nodes
+            except inline.Unbalanced:
+                found = inline.render(inline.Source.of(block.parts), labels).nodes
+            rows += [(kind, value, None, start, end) for kind, value, start, end in found]
+    starts = _line_starts(source)
+    return [(file, *row, bisect_right(starts, row[3])) for row in sorted(rows, key=lambda r: r[3])]
+
+
+def document_nodes(files: DataFrame, file_col: str = "file", text_col: str = "text") -> DataFrame:
+    """(file, node, value, lang, start, end, line): links, images and definitions with their address, code and inline code
+    with its text, of Markdown files.  Null and empty texts have none."""
+
+    def read(batches):
+        for batch in batches:
+            rows = [r for i in range(batch.num_rows) for r in _node_rows(batch.column(0)[i].as_py() or "", batch.column(1)[i].as_py() or "")]
+            columns = list(zip(*rows)) if rows else [()] * 7
+            kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["file", "node", "value", "lang", "start", "end", "line"])
+
+    return files.select(F.col(file_col), F.col(text_col)).mapInArrow(read, "file string, node string, value string, lang string, start long, end long, line long")
+
+
+def _file_rows(file: str, source: str, skip: frozenset[str], unwrap: frozenset[str]) -> list[tuple]:
+    parsed, labels, fallback = _parsed(file, source)
+    mdx = file.endswith(".mdx") and not fallback
+    try:
+        drafts = [d for b in parsed for d in _drafts(b, labels, mdx, skip, unwrap)]
+    except inline.Unbalanced:
+        fallback = True
+        parsed, labels = blocks(source)
+        drafts = [d for b in parsed for d in _drafts(b, labels, False, skip, unwrap)]
+    starts = _line_starts(source)
 
     def position(place: int) -> tuple[int, int]:
         line = bisect_right(starts, place)

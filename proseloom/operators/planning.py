@@ -89,6 +89,11 @@ def missing_evidence(units: DataFrame, keys: tuple[str, ...]) -> Column:
     return out.when(F.when(total > budget * per_token - 2 * per_token * (len(used) + 1), build_state(units, lambda key: key in keys)["truncated"]).otherwise(False), too_much)
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _literal(value) -> str:
     if isinstance(value, bool):
         return str(value).lower()
@@ -130,21 +135,29 @@ def plan(units: DataFrame, rules: tuple[Rule, ...], abstentions: Mapping[str, tu
     as_rows = F.expr("array(" + ", ".join("named_struct(" + ", ".join(f"'{k}', {_literal(v)}" for k, v in x.items()) + ")" for x in table) + ")")
     nothing = F.lit(None).cast("string")
 
-    def decided(r: Column, hit: Column) -> Column:
-        missing, abstained = F.get("_evidence", r["needs"]), F.get("_abstained", r["abstains"])
-        said = F.when(~F.get("_scopes", r["scope"]), "out_of_scope").when(~F.get("_demands", r["demands"]), "precondition")
+    def decided(r: Column, u: Column, hit: Column) -> Column:
+        missing, abstained = F.get(u["evidence"], r["needs"]), F.get(u["abstained"], r["abstains"])
+        said = F.when(~F.get(u["scopes"], r["scope"]), "out_of_scope").when(~F.get(u["demands"], r["demands"]), "precondition")
         said = said.when(abstained.isNotNull(), "unknown").when(r["searched"] & hit.isNull(), "negative").when(~r["asks"], "finding").when(missing.isNotNull(), "unknown").otherwise("job")
-        # A reason is the rule's own, or that of its question.
-        why = F.when(said == "unknown", F.coalesce(abstained, missing)).otherwise(nothing)
-        told = lambda name, kind: F.when(said.isin("finding", "job") | (said == "unknown") & abstained.isNull(), hit[name]).cast(kind).alias(name)
-        return F.struct(r["rule_id"].alias("rule_id"), said.alias("outcome"), why.alias("reason"), told("n_matches", "int"), told("evidence", "array<string>"), told("offset", "int"))
 
-    def outcome(r: Column) -> Column:
-        # The hit is bound once: a column is computed again wherever it stands.
-        hit = F.filter("hits", lambda h: h["rule_id"] == r["rule_id"])
-        return F.get(F.transform(F.array(F.get(hit, F.lit(0))), lambda h: decided(r, h)), F.lit(0))
+        def told(outcome: Column) -> Column:
+            # A reason is the rule's own, or that of its question; only what was found has matches.
+            why = F.when(outcome == "unknown", F.coalesce(abstained, missing)).otherwise(nothing)
+            of = lambda name, kind: F.when(outcome.isin("finding", "job") | (outcome == "unknown") & abstained.isNull(), hit[name]).cast(kind).alias(name)
+            return F.struct(r["rule_id"].alias("rule_id"), outcome.alias("outcome"), why.alias("reason"), of("n_matches", "int"), of("evidence", "array<string>"), of("offset", "int"))
+
+        return _let(said, told)
+
+    def outcome(u: Column) -> Column:
+        def of(r: Column) -> Column:
+            hit = F.get(F.filter(u["hits"], lambda h: h["rule_id"] == r["rule_id"]), F.lit(0))
+            return _let(hit, lambda h: decided(r, u, h))
+
+        return F.transform(as_rows, of)
 
-    rows = rows.withColumn("outcomes", F.transform(as_rows, outcome).cast(f"array<{_OUTCOME}>")).select(*units.columns, "outcomes")
+    # What the rules look at is bound once a unit: a column that a lambda names is computed again for each of them.
+    shared = F.struct("hits", F.col("_evidence").alias("evidence"), F.col("_abstained").alias("abstained"), F.col("_scopes").alias("scopes"), F.col("_demands").alias("demands"))
+    rows = rows.withColumn("outcomes", _let(shared, outcome).cast(f"array<{_OUTCOME}>")).select(*units.columns, "outcomes")
     once = {name: reason for name, (reason, run) in abstentions.items() if run}
     return _first_of_run(rows, once) if once else rows
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from proseloom import component_queries, markup_queries, plan_queries  # noqa: F401  they register their queries
+from proseloom import component_queries, markup_queries, plan_queries, reference_queries  # noqa: F401  they register their queries
 from proseloom.functions import globs, stats, text
 from proseloom.operators import evaluation, judge, mechanical, repetition, structure, units
 from proseloom.operators import findings as reduce
@@ -14,10 +14,11 @@ from proseloom.plans.lint import run_lint
 from proseloom.registry import QUERIES, SQL, Query
 from proseloom.registry import read as _read
 from proseloom.registry import register as _register
+from proseloom.sources.shared import spread
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
     """Documents as files docs/<source>/<id>.md."""
-    return _read(spark, d, "documents").select(F.concat(F.lit("docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), "text")
+    return spread(_read(spark, d, "documents")).select(F.concat(F.lit("docs/"), "source", F.lit("/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), "text")
 
 
 _FILES = "SELECT 'docs/' || source || '/' || doc_id || '.md' AS file, doc_id, text FROM documents"

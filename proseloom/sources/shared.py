@@ -43,6 +43,15 @@ def drop_settled(*tables: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a table with fewer files than there are cores, dealt out to all of them; other tables stay as they are.
+
+    A file may be one row group, which one task reads whole, and all that follows without a shuffle stays in that task.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 0 < len(df.inputFiles()) < cores else df
+
+
 def row_bytes(df: DataFrame) -> int | None:
     """Bytes of a row of fixed width, strings at ``STRING_BYTES``; None if a row has arrays, maps or binaries, whose length is open."""
     out = 16

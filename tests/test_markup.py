@@ -139,4 +139,4 @@ def test_sections_and_outline(spark):
 
 def test_made_files_hold_all_kinds(spark):
     units = markup_queries.markdown_units(spark, "/root/testdata/sf0.001")
-    assert {r.role for r in units.select("role").distinct().collect()} == {"heading", "body", "list-item", "cell"}
+    assert {r.role for r in units.select("role").distinct().collect()} == {"heading", "body", "list-item", "cell", "caption"}
