@@ -208,4 +208,21 @@ def fix_referral(text: Column) -> Column:
     return F.replace(F.regexp_replace(text, r"([?&])utm_source=chatgpt\.com&", "$1"), F.lit("&utm_source=chatgpt.com"), F.lit(""))
 
 
-FIXES = {"ellipsis": fix_ellipsis, "smartQuotes": fix_quotes, "multiplicationSign": fix_multiplication, "nbspValueUnit": fix_unit_space, "stripUtm": fix_referral}
+#: Fixed value: words and how they are spelt in Australia.
+AU_SPELLING = {
+    "analyze": "analyse", "analyzed": "analysed", "apologize": "apologise", "behavior": "behaviour", "behaviors": "behaviours", "canceled": "cancelled", "canceling": "cancelling", "catalog": "catalogue", "color": "colour",
+    "colored": "coloured", "colors": "colours", "customize": "customise", "customized": "customised", "favorite": "favourite", "favorites": "favourites", "gray": "grey", "honor": "honour", "labeled": "labelled", "labeling": "labelling",
+    "modeling": "modelling", "neighbor": "neighbour", "optimize": "optimise", "optimized": "optimised", "organization": "organisation", "organizations": "organisations", "organize": "organise", "organized": "organised",
+    "prioritize": "prioritise", "realize": "realise", "realized": "realised", "recognize": "recognise", "traveling": "travelling",
+}
+
+
+def fix_spelling(text: Column) -> Column:
+    """Whole words in lower case or with a capital; what holds a slash is an address and stays."""
+    both = {**AU_SPELLING, **{k.capitalize(): v.capitalize() for k, v in AU_SPELLING.items()}}
+    known = F.create_map(*(F.lit(x) for pair in both.items() for x in pair))
+    spelt = lambda token: F.array_join(F.transform(F.regexp_extract_all(token, F.lit(r"(\w+|\W+)"), F.lit(1)), lambda w: F.coalesce(known[w], w)), "")
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(r"(\s+|\S+)"), F.lit(1)), lambda t: F.when(t.contains("/"), t).otherwise(spelt(t))), "")
+
+
+FIXES = {"ellipsis": fix_ellipsis, "smartQuotes": fix_quotes, "multiplicationSign": fix_multiplication, "nbspValueUnit": fix_unit_space, "auSpelling": fix_spelling, "stripUtm": fix_referral}

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from proseloom import markup_queries
 from proseloom.functions.globs import glob_pattern
-from proseloom.operators import markdown, mechanical, planning
+from proseloom.operators import fixer, markdown, mechanical, planning
 from proseloom.plans.catalogue import RULES, Rule
-from proseloom.registry import register
+from proseloom.plans.lint import run_lint
+from proseloom.registry import read, register
+from proseloom.sources.shared import spread
 
 _KINDS = {"paragraph", "heading", "attr-string"}
 _ROLES = {"body", "list-item", "cell", "heading", "caption"}
@@ -135,3 +137,23 @@ _RULE_ROWS = ", ".join(f"({_quoted(r.id)}, {_quoted(r.category)})" for r in _PLA
 )
 def plan_coverage(spark: SparkSession, d: str) -> DataFrame:
     return planning.coverage(_planned(spark, d), _PLANNED)
+
+
+def _mendable(spark: SparkSession, d: str) -> DataFrame:
+    """(file, text): each line of a document as a paragraph with quotes, dots, a product and a size, and code with the same."""
+    plain = lambda x: F.trim(F.regexp_replace(x, "[^A-Za-z]+", " "))
+    lines = F.filter(F.transform(F.split("text", "\n", -1), plain), lambda x: x != "")
+    made = F.transform(lines, lambda t: F.concat(F.lit('He said "'), t, F.lit("\"... it's 3 x 4 `\"code\"...` in 10 px.")))
+    return spread(read(spark, d, "documents")).select(F.concat(F.lit("docs/src0/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("file"), F.array_join(made, "\n\n").alias("text"))
+
+
+@register(
+    """WITH texts AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[^A-Za-z]+', ' ', 'g'))), lambda x: x <> '') AS lines FROM documents WHERE text IS NOT NULL)
+SELECT 'docs/src0/' || doc_id || '.md' AS file, CAST(2 * len(lines) AS INTEGER) AS n_edits, array_to_string(list_transform(lines, lambda t: 'He said “' || t || '”… it’s 3×4 `"code"...` in 10' || chr(160) || 'px.'), chr(10) || chr(10)) AS text
+FROM texts WHERE len(lines) > 0"""
+)
+def fixed_files(spark: SparkSession, d: str) -> DataFrame:
+    """Files after the fixes of all findings that act; code in them stays as it is."""
+    files = _mendable(spark, d)
+    found = run_lint(files, unit=markdown.markdown_units(files)).findings
+    return fixer.apply_edits(files, fixer.edits(found, RULES)).select("file", "n_edits", "text")

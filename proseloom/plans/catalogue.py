@@ -15,7 +15,7 @@ class Rule:
 
     ``pattern`` or ``phrases`` decides, with ``least`` matches, and ``absent`` vetoes.  A rule with ``asks``, the keys of
     the context that its question needs, asks a judge: of what its pattern found, or of every eligible unit if it has
-    none.  A rule with ``check`` is decided by a column of its id.  ``question`` is the wording, which comes with rule files.  The other fields say which units are eligible:
+    none.  A rule with ``check`` is decided by a column of its id; ``fix`` names what mends what its pattern flags.  ``question`` is the wording, which comes with rule files.  The other fields say which units are eligible:
     kind, path (``include`` and ``exclude`` globs), doc type, role, words, and whether code, generated files and files whose build makes its own quotes count.  ``code_only`` looks
     past strings and comments of source units.
     """
@@ -43,6 +43,7 @@ class Rule:
     status: str = "active"
     review: float = REVIEW
     act: float = ACT
+    fix: str = ""
     question: str = ""
 
     @property
@@ -245,13 +246,13 @@ RULES = (
     filed("seo-sitemap-build-time-lastmod", "search-visibility", r"lastModified\s*:\s*new\s+Date\(\s*\)|lastmod\s*:\s*new\s+Date\(\s*\)", kinds=_SOURCE, include=("**/sitemap.{ts,js,mjs,tsx}", "**/sitemap/**/*.{ts,js}"), not_generated=True, **_REVIEWED),
     filed("seo-unconditional-noindex", "search-visibility", r"""\brobots\s*:\s*\{[^}]*\bindex\s*:\s*false|\bnoindex\b|\brobots\s*:\s*["'`][^"'`]*noindex""", asks=(), kinds=_SOURCE, include=("**/*.{tsx,jsx,ts,js}", "**/*.html"), exclude=_MADE, not_generated=True, severity="major", **_REVIEWED),
     filed("typography-dashes", "typographic-detail", r"(?<=\S)--(?=\S)|(?<=\p{L}) - (?=\p{L})", kinds=_ALL, doc_types=_PROSE, not_in_code=True),
-    filed("typography-ellipsis", "typographic-detail", r"\.\.\.", kinds=_ALL, doc_types=_PROSE, not_in_code=True),
+    filed("typography-ellipsis", "typographic-detail", r"\.\.\.", kinds=_ALL, doc_types=_PROSE, not_in_code=True, fix="ellipsis"),
     filed("typography-hover-weight-shift", "reading-comfort", r"hover:font-(?:thin|extralight|light|normal|medium|semibold|bold|extrabold|black)|data-\[(?:state=active|selected)\]:font-|aria-selected:font-|aria-current:font-", kinds=_SOURCE, include=("**/*.tsx", "**/*.jsx", "**/*.css"), **_REVIEWED),
     filed("typography-midpoint-separators", "typographic-detail", r"\S \| \S|\S • \S", kinds=("jsx-text", "attr-string", "paragraph"), roles=("body", "caption", "label", "list-item", "cell", "unknown"), not_in_code=True),
-    filed("typography-multiplication-sign", "typographic-detail", r"(?<![\w.])[1-9]\d*\s?x\s?\d+(?![\w.%])", kinds=_ALL, doc_types=_PROSE, not_in_code=True),
-    filed("typography-nbsp-value-unit", "typographic-detail", r"\d (?:px|pt|em|rem|ms|min|KB|MB|GB|TB|kg|km|cm|mm|fps|%)(?![\p{L}\d])", kinds=_COPY, doc_types=_PROSE, not_in_code=True),
+    filed("typography-multiplication-sign", "typographic-detail", r"(?<![\w.])[1-9]\d*\s?x\s?\d+(?![\w.%])", kinds=_ALL, doc_types=_PROSE, not_in_code=True, fix="multiplicationSign"),
+    filed("typography-nbsp-value-unit", "typographic-detail", r"\d (?:px|pt|em|rem|ms|min|KB|MB|GB|TB|kg|km|cm|mm|fps|%)(?![\p{L}\d])", kinds=_COPY, doc_types=_PROSE, not_in_code=True, fix="nbspValueUnit"),
     filed("typography-readable-scale", "reading-comfort", r"(?:\bbody\b|\bhtml\b|:root|\.prose)[^{}/]*\{[^}]*font-(?:size:\s*(?:0?\.\d+rem|(?<![\d.])(?:\d|1[0-5])(?:\.\d+)?px)|weight:\s*[123]00\b)", "gus", kinds=_SOURCE, include=("**/*.css", "**/*.scss"), **_REVIEWED),
-    filed("typography-straight-quotes", "typographic-detail", r""""|(?<=\p{L})'(?=\p{L})|(?<=\s)'(?=\d)""", kinds=_ALL, doc_types=("tutorial", "howto", "reference", "explanation", "lesson", "marketing", "ui", "unknown", "readme"), not_in_code=True, own_quotes=False),
+    filed("typography-straight-quotes", "typographic-detail", r""""|(?<=\p{L})'(?=\p{L})|(?<=\s)'(?=\d)""", kinds=_ALL, doc_types=("tutorial", "howto", "reference", "explanation", "lesson", "marketing", "ui", "unknown", "readme"), not_in_code=True, own_quotes=False, fix="smartQuotes"),
     filed("typography-title-case-heading", "typographic-detail", "^(?:[A-Z][a-z]+|of|the|and|for|to|a|in|on|with)(?: (?:[A-Z][a-z]+|of|the|and|for|to|a|in|on|with)){2,}[?!:.]?$", "u", asks=("role",), kinds=("heading", "jsx-text", "attr-string"), exclude=("**/README.md",), doc_types=_PROSE, roles=("heading", "button", "label", "aria"), not_in_code=True, **_STYLE),
     filed("typography-trending-display-serif", "type-voice", r"""Instrument_Serif\s*\(|Instrument\+Serif|font-family:\s*["']?Instrument Serif""", kinds=_SOURCE, include=("**/*.tsx", "**/*.jsx", "**/*.ts", "**/*.css"), **_REVIEWED),
 )

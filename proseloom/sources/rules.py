@@ -179,7 +179,7 @@ def rule_of(value, place: str, expected_id: str, domain: str | None = None, cate
         raise rule.wrong("fix", "must be a mapping")
     fix.text("hint", dashes=False)
     if fix.has("function"):
-        fix.one_of("function", FIXES)
+        made["fix"] = fix.one_of("function", FIXES)
     if rule.has("preconditions"):
         before = rule.inner("preconditions", ("notInCode", "docType", "role", "smartQuotesAtBuild", "minWords", "notGenerated"))
         made |= {"not_in_code": before.flag("notInCode"), "not_generated": before.flag("notGenerated"), "own_quotes": not before.flag("smartQuotesAtBuild", False)}
