@@ -414,8 +414,11 @@ def nearest_manifest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    from proseloom import stream_queries  # noqa: F401  it registers its query, over the SQL of this module
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(SQL)
