@@ -114,7 +114,7 @@ def rule_evidence(spark: SparkSession, d: str) -> DataFrame:
 
 def _scorecard(by: str) -> Query:
     def card(spark: SparkSession, d: str) -> DataFrame:
-        result = run_lint(_files(spark, d))
+        result = _hits(_files(spark, d))
         return reduce.scorecard(result.findings, result.rules, by)
 
     card.__name__ = f"scorecard_by_{by.removesuffix('_id')}"
@@ -122,7 +122,7 @@ def _scorecard(by: str) -> Query:
 
 
 for _by in ("category", "domain", "rule_id"):
-    _register(_OUTCOMES + f"SELECT r.{_by}, count(*) FILTER (WHERE band = 'act') AS act, count(*) FILTER (WHERE band = 'review') AS review, CAST(0 AS BIGINT) AS suppressed FROM (SELECT DISTINCT {_by} FROM rules) r LEFT JOIN findings f ON r.{_by} = f.{_by} GROUP BY r.{_by}")(_scorecard(_by))
+    _register(_HITS + f"SELECT r.{_by}, count(*) FILTER (WHERE band = 'act') AS act, count(*) FILTER (WHERE band = 'review') AS review, CAST(0 AS BIGINT) AS suppressed FROM (SELECT DISTINCT {_by} FROM rules) r LEFT JOIN findings f ON r.{_by} = f.{_by} GROUP BY r.{_by}")(_scorecard(_by))
 
 
 @_register(_OUTCOMES + "SELECT r.rule_id, count(o.unit_id) AS eligible, count(*) FILTER (WHERE o.fired) AS answered, count(*) FILTER (WHERE NOT o.fired) AS negative FROM rules r LEFT JOIN outcomes o ON r.rule_id = o.rule_id WHERE r.tier = 'mechanical' GROUP BY r.rule_id")
