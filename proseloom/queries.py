@@ -125,9 +125,9 @@ for _by in ("category", "domain", "rule_id"):
     _register(_HITS + f"SELECT r.{_by}, count(*) FILTER (WHERE band = 'act') AS act, count(*) FILTER (WHERE band = 'review') AS review, CAST(0 AS BIGINT) AS suppressed FROM (SELECT DISTINCT {_by} FROM rules) r LEFT JOIN findings f ON r.{_by} = f.{_by} GROUP BY r.{_by}")(_scorecard(_by))
 
 
-@_register(_OUTCOMES + "SELECT r.rule_id, count(o.unit_id) AS eligible, count(*) FILTER (WHERE o.fired) AS answered, count(*) FILTER (WHERE NOT o.fired) AS negative FROM rules r LEFT JOIN outcomes o ON r.rule_id = o.rule_id WHERE r.tier = 'mechanical' GROUP BY r.rule_id")
+@_register(_HITS + "SELECT r.rule_id, count(o.unit_id) AS eligible, count(*) FILTER (WHERE o.fired) AS answered, count(*) FILTER (WHERE NOT o.fired) AS negative FROM rules r LEFT JOIN outcomes o ON r.rule_id = o.rule_id GROUP BY r.rule_id")
 def coverage_by_rule(spark: SparkSession, d: str) -> DataFrame:
-    return run_lint(_files(spark, d)).counts
+    return _hits(_files(spark, d)).counts
 
 
 @_register(_OUTCOMES + "SELECT rule_id, count(*) AS n FROM findings GROUP BY rule_id ORDER BY n DESC, rule_id LIMIT 5")
