@@ -160,11 +160,11 @@ def finding_order(spark: SparkSession, d: str) -> DataFrame:
     return reduce.places(run_lint(_files(spark, d)).findings).select("file", "rule_id", "line", "place")
 
 
-@_register(_OUTCOMES + ", pragmas AS (SELECT DISTINCT file, line FROM lines WHERE line % 5 = 1) SELECT f.file, f.line, f.rule_id, p.file IS NOT NULL AS suppressed FROM findings f LEFT JOIN (SELECT DISTINCT file, line + k AS line FROM pragmas, (VALUES (0), (1)) AS t(k)) p ON f.file = p.file AND f.line = p.line")
+@_register(_HITS + ", pragmas AS (SELECT DISTINCT file, line FROM lines WHERE line % 5 = 1) SELECT f.file, f.line, f.rule_id, p.file IS NOT NULL AS suppressed FROM findings f LEFT JOIN (SELECT DISTINCT file, line + k AS line FROM pragmas, (VALUES (0), (1)) AS t(k)) p ON f.file = p.file AND f.line = p.line")
 def suppression(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d).where("text is not null")
     pragmas = files.select("file", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw")).select("file", (F.col("at") + 1).alias("line")).where("line % 5 = 1").withColumn("rule_id", F.lit("all"))
-    return run_lint(files, pragmas=pragmas).findings.select("file", "line", "rule_id", "suppressed")
+    return _hits(files, pragmas).findings.select("file", "line", "rule_id", "suppressed")
 
 
 @_register(_OUTCOMES + "SELECT file, line, rule_id FROM findings WHERE line BETWEEN 2 AND 4")
