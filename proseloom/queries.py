@@ -167,11 +167,11 @@ def suppression(spark: SparkSession, d: str) -> DataFrame:
     return _hits(files, pragmas).findings.select("file", "line", "rule_id", "suppressed")
 
 
-@_register(_OUTCOMES + "SELECT file, line, rule_id FROM findings WHERE line BETWEEN 2 AND 4")
+@_register(_HITS + "SELECT file, line, rule_id FROM findings WHERE line BETWEEN 2 AND 4")
 def changed_line_filter(spark: SparkSession, d: str) -> DataFrame:
     files = _files(spark, d)
     changed = structure.changed_ranges(files.select("file", F.lit("@@ -1,2 +2,3 @@ x").alias("patch")))
-    return reduce.on_changed_lines(run_lint(files).findings, changed).select("file", "line", "rule_id")
+    return reduce.on_changed_lines(_hits(files).findings, changed).select("file", "line", "rule_id")
 
 
 # Findings for dedupe: order lines as units, suppliers as rules, return flags as categories.

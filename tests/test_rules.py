@@ -210,3 +210,18 @@ def test_runs_without_units_or_unfinished_fail(spark):
     result = run_lint(spark.createDataFrame([("x.md", "")], "file string, text string"))
     code = lambda **k: reduce.exit_summary(result.findings, units=result.units, **k).first().exit_code
     assert (code(), code(strict=False), code(strict=False, complete=False)) == (2, 0, 2)
+
+
+def test_every_rule_with_a_pattern_hits_where_no_judge_is_asked(spark, tmp_path):
+    from proseloom import queries
+
+    text = "This is really very simple.\nWait..."
+    spark.createDataFrame([(1, text, "src0")], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    known = queries.queries()
+    assert {(r.rule_id, r.band) for r in known["rule_hits"](spark, str(tmp_path)).collect()} >= {("copywriting-filler-words", "review"), ("typography-ellipsis", "act")}
+    assert known["exit_summary"](spark, str(tmp_path)).first().findings == known["rule_hits"](spark, str(tmp_path)).count() == known["top_rules"](spark, str(tmp_path)).agg({"n": "sum"}).first()[0]
+    assert known["coverage_by_rule"](spark, str(tmp_path)).where("rule_id = 'copywriting-filler-words' and answered = 1").count() == 1
+    assert known["scorecard_by_rule"](spark, str(tmp_path)).where("rule_id = 'copywriting-filler-words' and review = 1").count() == 1
+    assert known["scorecard_by_category"](spark, str(tmp_path)).agg({"review": "sum"}).first()[0] == known["scorecard_by_domain"](spark, str(tmp_path)).agg({"review": "sum"}).first()[0] > 0
+    assert {r.suppressed for r in known["suppression"](spark, str(tmp_path)).where("rule_id = 'copywriting-filler-words'").collect()} == {True}
+    assert known["changed_line_filter"](spark, str(tmp_path)).where("line = 2").count() == 1
