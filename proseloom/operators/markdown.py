@@ -177,9 +177,13 @@ def sections(units: DataFrame) -> DataFrame:
 
 
 def outline(units: DataFrame) -> DataFrame:
-    """Headings with the level before them in the file, whether they jump a level, and whether no unit follows up to the next heading."""
+    """Headings with the level before them in the file, whether they jump a level, and whether no unit follows up to the next heading.
+
+    One window over the units of a file tells all, so that files are read once.
+    """
     order = Window.partitionBy("file").orderBy("seq")
-    heads = units.where("kind = 'heading'").select("file", "unit_id", "seq", "line", "level", "text", F.lag("level").over(order).alias("level_before"), F.lead("seq").over(order).alias("next_seq"))
-    last = units.groupBy("file").agg((F.max("seq") + 1).alias("n_units"))
-    empty = F.coalesce("next_seq", "n_units") == F.col("seq") + 1
-    return heads.join(last, "file").select("file", "unit_id", "line", "level", "text", "level_before", F.coalesce(F.col("level") > F.col("level_before") + 1, F.lit(False)).alias("jumps"), empty.alias("empty"))
+    head = F.col("kind") == "heading"
+    rows = units.select("file", "unit_id", "seq", "line", "level", F.when(head, F.col("text")).alias("text"), head.alias("_head"))
+    before = F.last(F.when(F.col("_head"), F.col("level")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
+    heads = rows.withColumns({"level_before": before, "empty": F.coalesce(F.lead("_head").over(order), F.lit(True))}).where("_head")
+    return heads.select("file", "unit_id", "line", "level", "text", "level_before", F.coalesce(F.col("level") > F.col("level_before") + 1, F.lit(False)).alias("jumps"), "empty")
