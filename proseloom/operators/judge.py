@@ -55,6 +55,29 @@ def chunk_numbers(tokens: Column, limit: int = REQUEST_TOKENS) -> Column:
     return F.aggregate(tokens, state, step)["out"]
 
 
+class Ends:
+    """With what sum and how many chunks questions end, for every sum from 0 to ``limit`` + 1 that they may begin with.
+
+    Beginnings that come to the same sum go on as one, so that a question soon costs a few steps and not ``limit`` of them.
+    """
+
+    def __init__(self, limit: int):
+        self.limit, self.of, self.sums = limit, np.arange(limit + 2), np.arange(limit + 2)
+        self.before, self.added, self.n = np.zeros(limit + 2, np.int64), np.zeros(limit + 2, np.int64), 0
+
+    def add(self, t: int) -> None:
+        over = (self.sums > 0) & (self.sums + t > self.limit)
+        self.sums, self.added, self.n = np.where(over, t, self.sums + t), self.added + over, self.n + 1
+        if self.n % 64 == 0 and len(self.sums) > 1:
+            met, place = np.unique(self.sums, return_inverse=True)
+            if len(met) < len(self.sums):
+                self.before += self.added[self.of]
+                self.of, self.sums, self.added = place[self.of], met, np.zeros(len(met), np.int64)
+
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        return self.sums[self.of], self.before + self.added[self.of]
+
+
 def chunk_rows(questions: DataFrame, group: str, order: str, tokens: str, limit: int = REQUEST_TOKENS) -> DataFrame:
     """group, order, chunk: ``chunk_numbers`` of each group's questions, one row each, for groups of any size.
 
@@ -68,27 +91,24 @@ def chunk_rows(questions: DataFrame, group: str, order: str, tokens: str, limit:
     ordered = blocks.repartition(n, "block").sortWithinPartitions("block", "g", "o", "t")
 
     def summarise(batches):
-        block = first = last = single = sums = added = total = chunk = None
+        block = first = last = single = held = total = chunk = None
 
         def row():
-            ends = (sums if isinstance(sums, np.ndarray) else np.full(limit + 2, sums), added)
+            ends = held.table()
             return pa.RecordBatch.from_pylist([{"block": block, "first": first, "last": last, "single": single, "sums": ends[0].astype("<i8").tobytes(), "added": ends[1].astype("<i8").tobytes(), "sum": total, "chunk": chunk}], schema=pa.schema([("block", pa.int32()), ("first", kind), ("last", kind), ("single", pa.bool_()), ("sums", pa.binary()), ("added", pa.binary()), ("sum", pa.int64()), ("chunk", pa.int64())]))
 
         for batch in batches:
             kind = batch.schema.field(1).type
-            for at, (b, g, t) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist())):
+            for b, g, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist()):
                 if b != block:
                     if block is not None:
                         yield row()
                     block, first, last, single, total, chunk = b, g, g, True, 0, 0
-                    sums, added = np.arange(limit + 2), np.zeros(limit + 2, np.int64)
+                    held = Ends(limit)
                 if g != last:
                     last, single, total, chunk = g, False, 0, 0
                 if single:
-                    over = (sums > 0) & (sums + t > limit)
-                    sums, added = (np.where(over, t, sums + t), added + over) if isinstance(sums, np.ndarray) else (t if over else sums + t, added + over)
-                    if isinstance(sums, np.ndarray) and at % 16 == 0 and sums.min() == sums.max():
-                        sums = int(sums[0])
+                    held.add(t)
                 else:
                     over = total > 0 and total + t > limit
                     total, chunk = (t, chunk + 1) if over else (total + t, chunk)
