@@ -119,7 +119,9 @@ def package_names(text: Column) -> Column:
 
         return F.flatten(F.transform(starts, names))
 
-    return F.array_distinct(F.flatten(F.transform(runs, of)))
+    # Most runs have no mark, and are one name: only the others are cut.
+    whole = lambda run: F.array(F.substring(run, F.lit(1), F.lit(NAME_CHARS + 1)))
+    return F.array_distinct(F.flatten(F.transform(runs, lambda run: F.when(run.rlike("[./@~]"), of(run)).otherwise(whole(run)))))
 
 
 def unused_dependencies(files: DataFrame, peers: DataFrame | None = None) -> DataFrame:
