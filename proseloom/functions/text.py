@@ -186,8 +186,9 @@ def fix_ellipsis(text: Column) -> Column:
 
 
 def fix_quotes(text: Column) -> Column:
-    text = F.regexp_replace(text, r"(^|[\s(\[{—–-])\"", "$1“")
-    text = F.regexp_replace(F.replace(text, F.lit('"'), F.lit("”")), r"(^|[\s(\[{])'(?=[^\s\d])", "$1‘")
+    # The mark comes first in a pattern, so that other letters are passed by one look at each.
+    text = F.regexp_replace(text, r"\"(?<=(?:^|[\s(\[{—–-])\")", "“")
+    text = F.regexp_replace(F.replace(text, F.lit('"'), F.lit("”")), r"'(?<=(?:^|[\s(\[{])')(?=[^\s\d])", "‘")
     return F.replace(text, F.lit("'"), F.lit("’"))
 
 

@@ -151,16 +151,40 @@ def scanned(units: DataFrame, rules: tuple[Rule, ...], checks: Mapping[str, Colu
     base = base.withColumn("_proven", (F.array_compact(F.array(*proven)) if proven else F.array()).cast(kind))
     if not found:
         return base.withColumnRenamed("_proven", "hits")
-    seen = lambda r: "_code" if r.code_only else "_seen"
-    fires = lambda r: F.when(eligible(r, rules), F.get(F.filter(F.array(matches(r, seen(r))), lambda m: F.size(m) >= r.least), F.lit(0)))
-    tried = F.transform("_may", lambda i: F.struct(i.alias("i"), _by_rule(i, found, fires).alias("m")))
+    matched = F.transform("_fired", lambda i: F.struct(i.alias("i"), _by_rule(i, found, _matches).alias("m")))
+    hit = lambda h: F.struct(*(c.alias(name) for name, c in _told(h["i"], h["m"], found).items()))
+    return _fired(base, found, rules).withColumn("hits", F.concat(F.transform(matched, hit).cast(kind), "_proven")).drop("_fired", "_may", "_code", "_proven")
+
+
+def _searched_in(rule: Rule) -> str:
+    return "_code" if rule.code_only else "_seen"
+
+
+def _matches(rule: Rule) -> Column:
+    return matches(rule, _searched_in(rule))
+
+
+def _fires(rule: Rule) -> Column:
+    """Whether a rule matches often enough; where one match does, the search ends there."""
+    if rule.least > 1:
+        return F.size(_matches(rule)) >= rule.least
+    seen = F.col(_searched_in(rule))
+    once = seen.rlike(pattern_of(rule))
+    return once & ~seen.rlike(text.portable(rule.absent, rule.flags)) if rule.absent else once
+
+
+def _fired(base: DataFrame, found: tuple[Rule, ...], rules: tuple[Rule, ...]) -> DataFrame:
+    """Units of ``completed(units, rules)`` with ``_fired``, the numbers among ``found`` of the rules that fire on them."""
+    return _nominated(base, found).withColumn("_fired", F.filter("_may", lambda i: _by_rule(i, found, lambda r: eligible(r, rules) & _fires(r))))
+
+
+def _told(i: Column, m: Column, found: tuple[Rule, ...]) -> dict[str, Column]:
+    """What is told of the matches ``m`` of the i-th rule."""
     ids = F.array(*(F.lit(r.id) for r in found))
     # A match with look-around is found again where it was: of several places only the first counts.
-    place = lambda r: F.regexp_instr(F.col(seen(r)), F.lit(pattern_of(r)), F.lit(0)) - 1
-    shown = lambda m: F.transform(F.slice(m, 1, 3), lambda x: F.substring(text.normalise(x), 1, 80))
-    hit = lambda h: F.struct(F.element_at(ids, h["i"] + 1).alias("rule_id"), F.size(h["m"]).alias("n_matches"), shown(h["m"]).alias("evidence"), _by_rule(h["i"], found, place).alias("offset"))
-    rows = _nominated(base, found).withColumn("_fired", F.filter(tried, lambda h: h["m"].isNotNull()))
-    return rows.withColumn("hits", F.concat(F.transform("_fired", hit).cast(kind), "_proven")).drop("_fired", "_may", "_code", "_proven")
+    place = lambda r: F.regexp_instr(F.col(_searched_in(r)), F.lit(pattern_of(r)), F.lit(0)) - 1
+    evidence = F.transform(F.slice(m, 1, 3), lambda x: F.substring(text.normalise(x), 1, 80))
+    return {"rule_id": F.element_at(ids, i + 1), "n_matches": F.size(m), "evidence": evidence, "offset": _by_rule(i, found, place)}
 
 
 def hits(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
@@ -168,9 +192,16 @@ def hits(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 
     In a source unit the line is that of the first match.
     """
-    rows = scanned(units, rules).withColumn("h", F.explode("hits"))
-    line = F.when(F.col("kind") == "source", F.col("line") + text.line_of(F.col("text"), F.col("h.offset")) - 1).otherwise(F.col("line"))
-    return rows.select(*(line.cast("long").alias(c) if c == "line" else c for c in units.columns), "h.rule_id", "h.n_matches", "h.evidence", "h.offset")
+    found = tuple(r for r in rules if searched(r))
+    if not found:
+        return units.select(*units.columns, F.lit("").alias("rule_id"), F.lit(0).alias("n_matches"), F.array().cast("array<string>").alias("evidence"), F.lit(0).alias("offset")).where("false")
+    # Outer, as Spark works out what an inner explode is given again to leave out empty ones; what is told of a match are
+    # columns of its row, so that only those that are read are worked out.
+    rows = _fired(completed(units, rules), found, rules).withColumn("_i", F.explode_outer("_fired")).where("_i is not null")
+    rows = rows.withColumn("_m", _by_rule(F.col("_i"), found, _matches))
+    told = _told(F.col("_i"), F.col("_m"), found)
+    line = F.when(F.col("kind") == "source", F.col("line") + text.line_of(F.col("text"), told["offset"]) - 1).otherwise(F.col("line"))
+    return rows.select(*(line.cast("long").alias(c) if c == "line" else c for c in units.columns), *(c.alias(name) for name, c in told.items()))
 
 
 def outcomes(units: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:

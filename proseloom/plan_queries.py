@@ -155,5 +155,7 @@ FROM texts WHERE len(lines) > 0"""
 def fixed_files(spark: SparkSession, d: str) -> DataFrame:
     """Files after the fixes of all findings that act; code in them stays as it is."""
     files = _mendable(spark, d)
-    found = run_lint(files, unit=markdown.markdown_units(files)).findings
+    # Only what rules and fixes read of a unit goes on to the rules.
+    units = markdown.markdown_units(files).select("file", "kind", "role", "doc_type", "line", "text", "code_spans", "fix_ranges")
+    found = run_lint(files, rules=fixer.mending(RULES), unit=units).findings
     return fixer.apply_edits(files, fixer.edits(found, RULES)).select("file", "n_edits", "text")

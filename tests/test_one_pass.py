@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from proseloom.operators import judge, markdown, planning
+from proseloom.operators import fixer, judge, markdown, mechanical, planning, units
 from proseloom.plans.catalogue import Rule
 
 
@@ -40,3 +40,22 @@ def test_first_units_of_a_run_do_not_need_the_plan(spark):
     planned = planning.plan(units, rules, {"a-x": (F.lit("no report"), True)})
     assert plan_of(planned).count("MapInArrow") == 2
     assert sorted(r.outcomes[0].outcome for r in planned.collect()) == ["precondition", "unknown"]
+
+
+def test_hits_search_each_unit_once(spark):
+    rules = tuple(Rule(f"{x}-x", "c", pattern=f"zebra {x}", kinds=("paragraph",)) for x in "abcdef")
+    files = spark.createDataFrame([("a.md", "zebra a\n\nzebra b zebra a zebra b"), ("b.md", "none")], "file string, text string")
+    made = mechanical.hits(units.line_units(files), rules)
+    assert plan_of(made.select("file", "rule_id")).count("zebra a") == 1
+    got = sorted((r.file, r.line, r.rule_id, r.n_matches, r.evidence, r.offset) for r in made.collect())
+    assert got == [("a.md", 1, "a-x", 1, ["zebra a"], 0), ("a.md", 3, "a-x", 1, ["zebra a"], 8), ("a.md", 3, "b-x", 2, ["zebra b", "zebra b"], 0)]
+    assert mechanical.hits(units.line_units(files), ()).count() == 0
+
+
+def test_files_are_cut_by_place_and_not_counted_through_for_each_edit(spark):
+    text = "é\U0001f600 x..." * 3000
+    files = spark.createDataFrame([("a", text), ("b", None)], "file string, text string")
+    changes = spark.createDataFrame([("a", 7 * i + 3, 7 * i + 7, ["ellipsis"]) for i in range(3000)] + [("b", 0, 1, ["ellipsis"])], "file string, start long, end long, fixes array<string>")
+    made = fixer.apply_edits(files, changes)
+    assert [tuple(r) for r in made.orderBy("file").collect()] == [("a", text.replace("...", "…"), 3000), ("b", None, 1)]
+    assert "substring" not in plan_of(made).lower()
