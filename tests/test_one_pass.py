@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from proseloom.functions.literals import required
 from proseloom.operators import fixer, judge, markdown, mechanical, planning, units
 from proseloom.plans.catalogue import Rule
 
@@ -59,3 +60,9 @@ def test_files_are_cut_by_place_and_not_counted_through_for_each_edit(spark):
     made = fixer.apply_edits(files, changes)
     assert [tuple(r) for r in made.orderBy("file").collect()] == [("a", text.replace("...", "…"), 3000), ("b", None, 1)]
     assert "substring" not in plan_of(made).lower()
+
+
+def test_sets_and_groups_within_a_literal_are_written_out():
+    assert required(r"(?:it|this)(?:['’]s| is)(?: not|n['’]t)") == {" not", "n't", "n’t"}
+    assert required(r"\bnot (?:just|only) (?:a )?\w") == {"not just ", "not just a ", "not only ", "not only a "}
+    assert required(r"ab[c-e]?f") == {"abf", "abcf", "abdf", "abef"}

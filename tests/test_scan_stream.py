@@ -1,5 +1,6 @@
 """A stream of file versions: added, changed, unchanged and deleted files."""
 
+import hashlib
 import json
 import os
 
@@ -35,3 +36,12 @@ def test_findings_follow_the_files(spark, tmp_path):
     # Nothing new: no batch runs.
     calls.clear()
     assert feed("5") == [(a, 1), (c, 1)] and not any(calls)
+
+
+def test_a_batch_is_not_a_call_for_each_file(spark):
+    versions = spark.createDataFrame([("a", "old", 1), ("a", "new", 2), ("b", "same", 1), ("c", None, 3), ("c", "x", 2), ("d", None, 1), (None, "x", 1), ("e", "back", None)], "file string, text string, seq int")
+    digests = {t: hashlib.sha256(t.encode()).hexdigest() for t in ("before", "same", "x")}
+    known = spark.createDataFrame([("a", digests["before"]), ("b", digests["same"]), ("c", digests["x"]), ("e", "")], "file string, digest string")
+    made = scan.changed_files(versions, known)
+    assert sorted((r.file, r.text, r.kind) for r in made.collect()) == [("a", "new", "changed"), ("c", None, "deleted"), ("e", "back", "added")]
+    assert "Python" not in made._jdf.queryExecution().optimizedPlan().toString()
