@@ -4,9 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from proseloom import queries
 from proseloom.functions.literals import required
 from proseloom.operators import fixer, judge, markdown, mechanical, planning, units
-from proseloom.plans.catalogue import Rule
+from proseloom.plans.catalogue import RULES, Rule
 
 
 def plan_of(df):
@@ -66,3 +67,9 @@ def test_sets_and_groups_within_a_literal_are_written_out():
     assert required(r"(?:it|this)(?:['’]s| is)(?: not|n['’]t)") == {" not", "n't", "n’t"}
     assert required(r"\bnot (?:just|only) (?:a )?\w") == {"not just ", "not just a ", "not only ", "not only a "}
     assert required(r"ab[c-e]?f") == {"abf", "abcf", "abdf", "abef"}
+
+
+def test_scorecard_by_rule_judges_every_rule_with_a_pattern():
+    sql = queries.oracle_sql()["scorecard_by_rule"]
+    judged = [r.id for r in RULES if mechanical.searched(r) and mechanical.meeting((r,), {"paragraph"}, {"body"})]
+    assert len(judged) == 43 and all(f"'{i}' AS rule_id" in sql for i in judged)
