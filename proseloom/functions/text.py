@@ -151,7 +151,8 @@ def count_words(text: Column) -> Column:
 
 def prose_words(text: Column) -> Column:
     """Letters and digits with inner apostrophes and hyphens."""
-    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*"))
+    # Possessive, so that a long chain of hyphens is a loop: nothing follows that a shorter match could serve.
+    return F.regexp_count(text, F.lit(r"[\p{L}\p{N}]+(?:['’-][\p{L}\p{N}]+)*+"))
 
 
 def sentences(text: Column) -> Column:
@@ -167,7 +168,7 @@ def token_estimate(text: Column, dense: Column | bool = False) -> Column:
 
 def strip_variants(name: Column) -> Column:
     """A class name without its variants: everything up to the last colon outside brackets."""
-    return F.regexp_replace(name, r"^(?:(?:[^\[\]:]|\[[^\]]*\])*:)*", "")
+    return F.regexp_replace(name, r"^(?:(?:[^\[\]:]++|\[[^\]]*\])*+:)*+", "")
 
 
 def mask_spans(text: Column, spans: Column) -> Column:

@@ -143,17 +143,37 @@ def scanned(units: DataFrame, rules: tuple[Rule, ...], checks: Mapping[str, Colu
     Evidence is the first three matches, 80 characters each, and offset where the first begins (UTF-16 units, from 0).
     Of all rules only those that the prefilter names are searched for, in the unit's own row; nothing is shuffled.
     """
+    rows = with_hits(judged(units, rules, checks), rules, checks)
+    return rows.drop("_fired", "_said", "_may", "_code")
+
+
+def with_hits(rows: DataFrame, rules: tuple[Rule, ...], checks: Mapping[str, Column] | None = None) -> DataFrame:
+    """Units of ``judged(units, rules, checks)`` with the ``hits`` of ``scanned``."""
     found = tuple(r for r in rules if searched(r))
-    base = completed(units, rules)
     kind = "array<struct<rule_id:string,n_matches:int,evidence:array<string>,offset:int>>"
-    checked = [(r, checks[r.id]) for r in rules if r.check and checks and r.id in checks]
-    proven = [F.when(eligible(r, rules) & said.isNotNull(), F.struct(F.lit(r.id), F.lit(1), F.array(said), F.lit(None).cast("int"))) for r, said in checked]
-    base = base.withColumn("_proven", (F.array_compact(F.array(*proven)) if proven else F.array()).cast(kind))
+    said = lambda k: F.get("_said", F.lit(k))
+    proven = [F.when(said(k).isNotNull(), F.struct(F.lit(r.id), F.lit(1), F.array(said(k)), F.lit(None).cast("int"))) for k, r in enumerate(checked(rules, checks))]
+    proven = (F.array_compact(F.array(*proven)) if proven else F.array()).cast(kind)
     if not found:
-        return base.withColumnRenamed("_proven", "hits")
+        return rows.withColumn("hits", proven)
     matched = F.transform("_fired", lambda i: F.struct(i.alias("i"), _by_rule(i, found, _matches).alias("m")))
     hit = lambda h: F.struct(*(c.alias(name) for name, c in _told(h["i"], h["m"], found).items()))
-    return _fired(base, found, rules).withColumn("hits", F.concat(F.transform(matched, hit).cast(kind), "_proven")).drop("_fired", "_may", "_code", "_proven")
+    return rows.withColumn("hits", F.concat(F.transform(matched, hit).cast(kind), proven))
+
+
+def checked(rules: tuple[Rule, ...], checks: Mapping[str, Column] | None) -> list[Rule]:
+    """The rules that one of the checks decides."""
+    return [r for r in rules if r.check and checks and r.id in checks]
+
+
+def judged(units: DataFrame, rules: tuple[Rule, ...], checks: Mapping[str, Column] | None = None) -> DataFrame:
+    """Units of ``completed(units, rules)`` with ``_fired``, the numbers among the rules with a pattern of those that fire, and
+    ``_said``, the evidence of each of ``checked(rules, checks)`` that fires."""
+    found = tuple(r for r in rules if searched(r))
+    base = completed(units, rules)
+    rows = _fired(base, found, rules) if found else base.withColumn("_fired", F.array().cast("array<int>"))
+    said = [F.when(eligible(r, rules), checks[r.id]) for r in checked(rules, checks)]
+    return rows.withColumn("_said", F.array(*said) if said else F.array().cast("array<string>"))
 
 
 def _searched_in(rule: Rule) -> str:

@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from proseloom.functions.columns import let
 from proseloom.functions.text import strip_variants
 
 # The default scales, names of colours, and alignments that are no sizes.
@@ -48,49 +49,79 @@ def _length_em(raw: Column) -> Column:
     return _number(raw, "em|px") / F.when(raw.endswith("px"), ROOT_PX).otherwise(1)
 
 
+def _judged(cls: Column, base: Column) -> Column:
+    """Whether a class stands under no variants, or under dark alone."""
+    return F.substring(cls, F.lit(1), F.length(cls) - F.length(base)).rlike("^(?:dark:)*$")
+
+
+def _typographic(cls: Column) -> Column:
+    """Whether a class can say anything of typography; the others have no effect, and are not taken apart."""
+    return let(strip_variants(cls), lambda base: base.rlike("^(?:text-|leading-|tracking-|font-|(?:uppercase|normal-case|lowercase|capitalize|italic)$)") & _judged(cls, base))
+
+
 def _effect(cls: Column, theme: Mapping[str, str]) -> Column:
-    """What one class says: at most a size with its leading, a leading, a tracking, a weight, a family, a case or italics."""
-    base = strip_variants(cls)
-    judged = F.substring(cls, F.lit(1), F.length(cls) - F.length(base)).rlike("^(?:dark:)*$")
-    after = lambda prefix: F.when(judged & base.startswith(prefix), F.substring(base, F.lit(len(prefix) + 1), F.length(base)))
-    text, parts = after("text-"), F.split(after("text-"), "/")
-    size, own = F.get(parts, F.lit(0)), F.get(parts, F.lit(1))
-    declared = F.create_map(*(F.lit(x) for pair in theme.items() for x in pair))[size] if theme else F.lit(None).cast("string")
-    colour = declared.isNull() & (size.rlike(_ARBITRARY_COLOUR) | F.regexp_replace(size, r"-\d{2,3}$", "").isin(*COLOURS))
-    is_size = text.isNotNull() & ~colour & ~size.isin(*ALIGNMENTS)
-    explicit = F.coalesce(declared, F.regexp_replace(_inside(size), "^length:", ""))
-    known = _of({k: v[0] for k, v in FONT_SIZES.items()}, size)
-    leading = F.coalesce(after("leading-"), F.when(is_size, F.nullif(own, F.lit(""))))
-    inner = _inside(leading)
-    ratio = F.coalesce(_of(LEADING, leading), F.when(inner.rlike(r"^\d*\.?\d+$"), inner.cast("double")))
-    px = F.coalesce(F.when(leading.rlike(r"^\d+$"), leading.cast("double") * 4), length_px(inner))
-    tracking, font = after("tracking-"), after("font-")
-    spacing = F.coalesce(_of(TRACKING, tracking), _length_em(_inside(tracking)))
-    numeric = F.when(_inside(font).rlike(r"^\d+(?:\.\d+)?$"), _inside(font).cast("double"))
-    weight = F.coalesce(_of(WEIGHTS, font), F.when(numeric.between(100, 900), numeric))
-    family = F.when(font.isin(*FAMILIES), font)
-    yes = lambda c: F.coalesce(c, F.lit(False))
-    return F.struct(
-        cls.alias("cls"),
-        yes(is_size & explicit.isNotNull()).alias("explicit"),
-        F.when(is_size, F.when(explicit.isNotNull(), length_px(explicit)).otherwise(known)).alias("size"),
-        F.when(is_size & explicit.isNull(), _of({k: v[1] for k, v in FONT_SIZES.items()}, size)).alias("default_px"),
-        leading.isNotNull().alias("leads"),
-        ratio.alias("ratio"),
-        F.when(ratio.isNull(), px).alias("px"),
-        spacing.alias("spacing"),
-        weight.alias("weight"),
-        family.alias("family"),
-        F.when(judged & (base == "uppercase"), True).when(judged & base.isin("normal-case", "lowercase", "capitalize"), False).alias("uppercase"),
-        F.when(judged & (base == "italic"), True).alias("italic"),
-        yes(text.isNotNull() & colour).alias("colour"),
-        (
-            F.when(yes(is_size & F.when(explicit.isNotNull(), length_px(explicit)).otherwise(known).isNull()), 1).otherwise(0)
-            + F.when(yes(leading.isNotNull() & ratio.isNull() & px.isNull()), 1).otherwise(0)
-            + F.when(yes(tracking.isNotNull() & spacing.isNull()), 1).otherwise(0)
-            + F.when(yes(font.isNotNull() & weight.isNull() & family.isNull()), 1).otherwise(0)
-        ).alias("unresolved"),
-    )
+    """What one typographic class says: at most a size with its leading, a leading, a tracking, a weight, a family, a case or
+    italics.  What several of these are read from is bound once: a column that is named twice is computed twice."""
+
+    def named(base: Column) -> Column:
+        after = lambda prefix: F.when(base.startswith(prefix), F.substring(base, F.lit(len(prefix) + 1), F.length(base)))
+        parts = F.split(after("text-"), "/")
+        return F.struct(base.alias("base"), F.get(parts, F.lit(0)).alias("size"), F.get(parts, F.lit(1)).alias("own"), after("leading-").alias("leading"), after("tracking-").alias("tracking"), after("font-").alias("font"))
+
+    def sized(n: Column) -> Column:
+        size = n["size"]
+        declared = F.create_map(*(F.lit(x) for pair in theme.items() for x in pair))[size] if theme else F.lit(None).cast("string")
+        colour = declared.isNull() & (size.rlike(_ARBITRARY_COLOUR) | F.regexp_replace(size, r"-\d{2,3}$", "").isin(*COLOURS))
+        explicit = F.coalesce(declared, F.regexp_replace(_inside(size), "^length:", ""))
+        return F.struct(n.alias("n"), colour.alias("colour"), (size.isNotNull() & ~colour & ~size.isin(*ALIGNMENTS)).alias("is_size"), explicit.alias("explicit"))
+
+    def valued(s: Column) -> Column:
+        n, is_size, explicit = s["n"], s["is_size"], s["explicit"]
+        tracking, font, inside = n["tracking"], n["font"], _inside(n["font"])
+        numeric = F.when(inside.rlike(r"^\d+(?:\.\d+)?$"), inside.cast("double"))
+        return F.struct(
+            s.alias("s"),
+            F.when(is_size, F.when(explicit.isNotNull(), length_px(explicit)).otherwise(_of({k: v[0] for k, v in FONT_SIZES.items()}, n["size"]))).alias("size"),
+            F.coalesce(n["leading"], F.when(is_size, F.nullif(n["own"], F.lit("")))).alias("leading"),
+            F.when(tracking.isNotNull(), F.coalesce(_of(TRACKING, tracking), _length_em(_inside(tracking)))).alias("spacing"),
+            F.when(font.isNotNull(), F.coalesce(_of(WEIGHTS, font), F.when(numeric.between(100, 900), numeric))).alias("weight"),
+            F.when(font.isin(*FAMILIES), font).alias("family"),
+        )
+
+    def led(v: Column) -> Column:
+        leading, inner = v["leading"], _inside(v["leading"])
+        ratio = F.coalesce(_of(LEADING, leading), F.when(inner.rlike(r"^\d*\.?\d+$"), inner.cast("double")))
+        px = F.coalesce(F.when(leading.rlike(r"^\d+$"), leading.cast("double") * 4), length_px(inner))
+        return F.struct(v.alias("v"), F.when(leading.isNotNull(), ratio).alias("ratio"), F.when(leading.isNotNull(), px).alias("px"))
+
+    def said(x: Column) -> Column:
+        v, s, n = x["v"], x["v"]["s"], x["v"]["s"]["n"]
+        yes = lambda c: F.coalesce(c, F.lit(False))
+        one = lambda c: F.when(yes(c), 1).otherwise(0)
+        sets = s["is_size"] & s["explicit"].isNotNull()
+        return F.struct(
+            cls.alias("cls"),
+            yes(sets).alias("explicit"),
+            v["size"].alias("size"),
+            F.when(s["is_size"] & s["explicit"].isNull(), _of({k: t[1] for k, t in FONT_SIZES.items()}, n["size"])).alias("default_px"),
+            v["leading"].isNotNull().alias("leads"),
+            x["ratio"].alias("ratio"),
+            F.when(x["ratio"].isNull(), x["px"]).alias("px"),
+            v["spacing"].alias("spacing"),
+            v["weight"].alias("weight"),
+            v["family"].alias("family"),
+            F.when(n["base"] == "uppercase", True).when(n["base"].isin("normal-case", "lowercase", "capitalize"), False).alias("uppercase"),
+            F.when(n["base"] == "italic", True).alias("italic"),
+            yes(n["size"].isNotNull() & s["colour"]).alias("colour"),
+            (
+                one(s["is_size"] & v["size"].isNull())
+                + one(v["leading"].isNotNull() & x["ratio"].isNull() & x["px"].isNull())
+                + one(n["tracking"].isNotNull() & v["spacing"].isNull())
+                + one(n["font"].isNotNull() & v["weight"].isNull() & v["family"].isNull())
+            ).alias("unresolved"),
+        )
+
+    return let(let(let(let(let(strip_variants(cls), named), sized), valued), led), said)
 
 
 def resolve(classes: Column, theme: Mapping[str, str] | None = None) -> Column:
@@ -129,7 +160,7 @@ def resolve(classes: Column, theme: Mapping[str, str] | None = None) -> Column:
         line = F.coalesce(s["line"], F.round(s["line_px"] / s["size"], 3))
         return F.struct(s["size"].alias("size_px"), line.alias("line_height"), s["spacing"].alias("spacing_em"), s["weight"].alias("weight"), s["family"].alias("family"), s["uppercase"].alias("uppercase"), s["italic"].alias("italic"), s["colours"].alias("colours"), s["unresolved"].alias("unresolved"))
 
-    return F.aggregate(F.transform(classes, lambda c: _effect(c, theme or {})), start, add, done)
+    return F.aggregate(F.transform(F.filter(classes, _typographic), lambda c: _effect(c, theme or {})), start, add, done)
 
 
 def plain_number(value: Column) -> Column:
