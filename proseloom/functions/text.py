@@ -81,7 +81,7 @@ def portable(pattern: str, flags: str = "u") -> str:
 
     A border before letters looks at the next and the last character only, which passes most places at once.
     """
-    pattern = _java_classes(pattern)
+    pattern = _without_recursion(_java_classes(pattern))
     parts = pattern.split(r"\b")
     java = parts[0]
     for i, part in enumerate(parts[1:], 1):
@@ -130,6 +130,23 @@ def _java_classes(pattern: str) -> str:
     return "".join(out)
 
 
+def _without_recursion(pattern: str) -> str:
+    """A pattern that ends in a repeated group of words, each after the same sign, with the group gone through in a loop.
+
+    Java calls itself for each round of such a group, and some thousand words in a row, as junk has them, overflow its stack,
+    which ends an executor.  A possessive group is a loop, and matches the same here: a word is letters and digits and must
+    be followed by the sign or by what ends the pattern, so only whole words pass, and the end never begins with the sign.
+    """
+    for begin in re.finditer(r"\(\?:([ ,;:/&-])", pattern):
+        end = begin.start() + _close(pattern[begin.start() :])
+        words, sign = pattern[begin.end() : end], begin[1]
+        after = re.fullmatch(r"(\*|\+|\{\d+,\})((?:\[[^\]\[\\^&\w-]+\]\??)*\$)", pattern[end + 1 :])
+        simple = re.sub(r"\[(?:[A-Za-z0-9](?:-[A-Za-z0-9])?)+\]|\(\?:", "(", words)
+        if after and sign not in after[2] and len(_alternatives(words)) == 1 and re.fullmatch(r"[A-Za-z0-9()|+*?]+", simple):
+            return f"{pattern[:end]}(?={sign}|{after[2]})){after[1]}+{after[2]}"
+    return pattern
+
+
 def phrase_pattern(phrases: list[str]) -> str:
     """Any of the phrases, whatever their case, not inside longer words."""
     quoted = "|".join(r"\Q" + p + r"\E" for p in phrases)

@@ -92,6 +92,16 @@ planned AS (SELECT unit_id, file, rule_id, CASE WHEN nth > 1 AND outcome = 'unkn
 )
 
 
+#: What rules, reasons and questions read of a unit here; nothing else goes through the search.
+_READ = ("file", "start", "line", "column", "kind", "role", "level", "doc_type", "text", "code_spans", "heading_above")
+
+
+def _marks(spark: SparkSession, d: str) -> planning.Marks:
+    units = markdown.markdown_units(markup_queries.files(spark, d)).select(*_READ)
+    units = units.withColumn("unit_id", F.concat_ws(":", "file", "line", "column"))
+    return planning.marks(units, _PLANNED, {i: (F.expr(sql), run) for i, (sql, run) in _ABSTAIN.items()})
+
+
 def _planned(spark: SparkSession, d: str) -> DataFrame:
     units = markdown.markdown_units(markup_queries.files(spark, d))
     units = units.withColumn("unit_id", F.concat_ws(":", "file", "line", "column"))
@@ -136,7 +146,7 @@ _RULE_ROWS = ", ".join(f"({_quoted(r.id)}, {_quoted(r.category)})" for r in _PLA
     + "count(*) FILTER (outcome = 'negative') AS negative, count(*) FILTER (outcome = 'job') AS pending, count(*) FILTER (outcome = 'unknown') AS unknown FROM rules r LEFT JOIN planned p USING (rule_id) GROUP BY r.rule_id, r.category"
 )
 def plan_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return planning.coverage(_planned(spark, d), _PLANNED)
+    return _marks(spark, d).coverage()
 
 
 def _mendable(spark: SparkSession, d: str) -> DataFrame:

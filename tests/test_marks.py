@@ -73,6 +73,37 @@ def test_long_class_names_and_chains_of_hyphens_are_gone_through_in_a_loop(spark
     assert [tuple(r) for r in df.select(text.strip_variants(F.col("c")), text.prose_words(F.col("t"))).collect()] == [("p-[a:b]", 2), ("text-sm", 2)]
 
 
+def test_long_titles_do_not_overflow_the_stack(spark):
+    title = "The" + " and Of to" * 30_000
+    rows = [("a.md", str(i), "heading", "heading", "ui", 1, i, t, None, None) for i, t in enumerate((title + "?", title + " x", title + "??"))]
+    units = spark.createDataFrame(rows, "file string, unit_id string, kind string, role string, doc_type string, line long, start long, text string, heading_above string, section string")
+    rules = tuple(r for r in RULES if r.id == "typography-title-case-heading")
+    assert {r.unit_id: r.outcome for r in planning.marks(units, rules).told(("unit_id",), *planning.OUTCOMES).collect()} == {"0": "unknown", "1": "negative", "2": "negative"}
+
+
+def test_loops_match_what_the_pattern_matches():
+    rnd, n = random.Random(7), 0
+    for pattern in (r"^(?:[A-Z][a-z]+|of|a|an|and)(?: (?:[A-Z][a-z]+|of|a|an|and)){2,}[?!:.]?$", r"x(?:-(?:a|ab|abc?))*[.]?$", r"(?:,[a-c0-2]+)+[?][!]?$"):
+        loop = text.portable(pattern)
+        assert loop != pattern and re.search(r"(?:\*|\+|\})\+", loop)
+        for _ in range(20_000):
+            said = "".join(rnd.choice((" ", "-", ",", "a", "ab", "abc", "an", "and", "of", "Foo", "F", "1", "x", "?", "!", ".", "\n")) for _ in range(rnd.randrange(1, 9)))
+            one, two = re.search(pattern, said), re.search(loop, said)
+            assert (one and one.span()) == (two and two.span()), said
+            n += bool(one)
+    assert n > 300
+    for other in (r"(?: a| b)+$", r"(?: a|b)+$", r"(?: \w+)+$", r"(?:-a)+b$", r"(?:-a)+[-.]?$", r"((?:-a)+)$", r"(?:-a)+", r"(?:-a-b)+$"):
+        assert text.portable(other) == other
+
+
+def test_coverage_is_that_of_the_plan_in_one_pass(spark, folder, units, planned):
+    marks = planning.marks(units, RULES, reasons())
+    got, want = ({tuple(r) for r in x.collect()} for x in (marks.coverage(), planning.coverage(planned, RULES)))
+    assert got == want and len(got) == len(RULES) and any(r[6] for r in got)
+    plan = plan_of(plan_queries.plan_coverage(spark, folder))
+    assert plan.count("MapInArrow") == 2 and "broadcast" not in plan.lower()
+
+
 def test_checks_of_classes_are_told_as_the_plan_tells_them(spark):
     rnd = random.Random(3)
     pool = ["text-sm", "text-huge", "uppercase", "font-bold", "italic", "transition-all", "duration-500", "ease-in", "animate-spin", "w-[13px]", "text-[13px]", "text-red-500", "tracking-wide", "leading-9"]
