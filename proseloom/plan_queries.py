@@ -133,7 +133,7 @@ def plan_decisions(spark: SparkSession, d: str) -> DataFrame:
 )
 def plan_jobs(spark: SparkSession, d: str) -> DataFrame:
     """Requests of units, each with its questions and the length of its state; no unit here needs two requests."""
-    made = planning.jobs(_planned(spark, d), _PLANNED)
+    made = _marks(spark, d).jobs("unit_id", "kind", "role", "doc_type", "text", "heading_above")
     return made.select("unit_id", F.array_join(F.array_sort("rule_ids"), ",").alias("rules"), F.length("state").cast("long").alias("state_chars"))
 
 

@@ -104,6 +104,15 @@ def test_coverage_is_that_of_the_plan_in_one_pass(spark, folder, units, planned)
     assert plan.count("MapInArrow") == 2 and "broadcast" not in plan.lower()
 
 
+def test_jobs_are_those_of_the_plan_and_need_no_first_units(spark, folder, units, planned):
+    rows = lambda df: sorted((r.unit_id, sorted(r.rule_ids), r.state, r.truncated) for r in df.collect())
+    made = planning.marks(units, RULES, reasons()).jobs(*units.columns)
+    got = rows(made)
+    assert got == rows(planning.jobs(planned, RULES)) and len(got) > 50
+    plan = plan_of(plan_queries.plan_jobs(spark, folder))
+    assert plan.count("MapInArrow") == 2 and "Join" not in plan
+
+
 def test_checks_of_classes_are_told_as_the_plan_tells_them(spark):
     rnd = random.Random(3)
     pool = ["text-sm", "text-huge", "uppercase", "font-bold", "italic", "transition-all", "duration-500", "ease-in", "animate-spin", "w-[13px]", "text-[13px]", "text-red-500", "tracking-wide", "leading-9"]
