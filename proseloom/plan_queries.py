@@ -116,8 +116,7 @@ def plan_outcomes(spark: SparkSession, d: str) -> DataFrame:
 
 @register(_PLAN + " SELECT unit_id, rule_id, outcome, reason FROM planned WHERE outcome IN ('finding', 'job', 'unknown')")
 def plan_decisions(spark: SparkSession, d: str) -> DataFrame:
-    kept = F.filter("outcomes", lambda o: o["outcome"].isin("finding", "job", "unknown"))
-    return _planned(spark, d).select("unit_id", F.explode(kept).alias("o")).select("unit_id", "o.rule_id", "o.outcome", "o.reason")
+    return _marks(spark, d).first_of_run().told(("unit_id",), "finding", "job", "unknown")
 
 
 @register(

@@ -113,6 +113,14 @@ def test_jobs_are_those_of_the_plan_and_need_no_first_units(spark, folder, units
     assert plan.count("MapInArrow") == 2 and "Join" not in plan
 
 
+def test_decisions_are_those_of_the_plan_and_units_are_read_once(spark, folder, units, outcomes):
+    made = planning.marks(units, RULES, reasons()).first_of_run()
+    got = Counter(tuple(r) for r in made.told(("unit_id",), "finding", "job", "unknown").collect())
+    assert got == Counter((u, r, o, why) for u, _, r, o, why in outcomes if o in ("finding", "job", "unknown"))
+    assert {why for _, _, o, why in got if o == "unknown"} >= {"unresolved level", "no pages", "no sizes", "not today"}
+    assert "MapInArrow" not in plan_of(plan_queries.plan_decisions(spark, folder))
+
+
 def test_checks_of_classes_are_told_as_the_plan_tells_them(spark):
     rnd = random.Random(3)
     pool = ["text-sm", "text-huge", "uppercase", "font-bold", "italic", "transition-all", "duration-500", "ease-in", "animate-spin", "w-[13px]", "text-[13px]", "text-red-500", "tracking-wide", "leading-9"]
