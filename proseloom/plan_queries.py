@@ -102,16 +102,9 @@ def _marks(spark: SparkSession, d: str) -> planning.Marks:
     return planning.marks(units, _PLANNED, {i: (F.expr(sql), run) for i, (sql, run) in _ABSTAIN.items()})
 
 
-def _planned(spark: SparkSession, d: str) -> DataFrame:
-    units = markdown.markdown_units(markup_queries.files(spark, d))
-    units = units.withColumn("unit_id", F.concat_ws(":", "file", "line", "column"))
-    return planning.plan(units, _PLANNED, {i: (F.expr(sql), run) for i, (sql, run) in _ABSTAIN.items()})
-
-
 @register(_PLAN + " SELECT rule_id, outcome, count(*) AS n_units, count(DISTINCT file) AS n_files FROM planned GROUP BY rule_id, outcome")
 def plan_outcomes(spark: SparkSession, d: str) -> DataFrame:
-    rows = _planned(spark, d).select("file", F.explode("outcomes").alias("o"))
-    return rows.groupBy("o.rule_id", "o.outcome").agg(F.count("*").alias("n_units"), F.count_distinct("file").alias("n_files"))
+    return _marks(spark, d).first_of_run().counted()
 
 
 @register(_PLAN + " SELECT unit_id, rule_id, outcome, reason FROM planned WHERE outcome IN ('finding', 'job', 'unknown')")

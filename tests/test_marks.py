@@ -121,6 +121,15 @@ def test_decisions_are_those_of_the_plan_and_units_are_read_once(spark, folder,
     assert "MapInArrow" not in plan_of(plan_queries.plan_decisions(spark, folder))
 
 
+def test_counts_of_outcomes_are_those_of_the_plan_and_units_are_read_once(spark, folder, units, outcomes):
+    got = {(r.rule_id, r.outcome): (r.n_units, r.n_files) for r in planning.marks(units, RULES, reasons()).first_of_run().counted().collect()}
+    n_units = Counter((r, o) for _, _, r, o, _ in outcomes)
+    n_files = Counter((r, o) for _, r, o in {(f, r, o) for _, f, r, o, _ in outcomes})
+    assert got == {k: (n, n_files[k]) for k, n in n_units.items()} and {o for _, o in got} == set(planning.OUTCOMES)
+    plan = plan_of(plan_queries.plan_outcomes(spark, folder))
+    assert "MapInArrow" not in plan and "Expand" not in plan
+
+
 def test_checks_of_classes_are_told_as_the_plan_tells_them(spark):
     rnd = random.Random(3)
     pool = ["text-sm", "text-huge", "uppercase", "font-bold", "italic", "transition-all", "duration-500", "ease-in", "animate-spin", "w-[13px]", "text-[13px]", "text-red-500", "tracking-wide", "leading-9"]
